@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenwright.llm import mix_sources, quality_rules, token_output
+from fenwright.llm import decontaminate, mix_sources, near_dedup, quality_rules, token_output
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,6 +25,35 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.judge(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+patterns AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS p
+  FROM items, LATERAL (SELECT unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i) WHERE len(w) > 0),
+windows AS (
+  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS p
+  FROM lowered, (SELECT DISTINCT n FROM patterns), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+found AS (SELECT doc_id, item_id, i, n FROM windows JOIN patterns USING (n, p)),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS joined
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.judge(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources.judge(table(spark, sf_dir, "documents"))
 
@@ -57,8 +86,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op9_mix_sources, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_output, op4_decontaminate, op7_near_dedup, op9_mix_sources, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": OP9_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op9_mix_sources": OP9_SQL}
