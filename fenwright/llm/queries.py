@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from fenwright.llm import decontaminate, mix_sources, near_dedup, quality_rules, token_output
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,7 +87,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op4_decontaminate, op7_near_dedup, op9_mix_sources, op10_quality_rules)}
+    found = (op1_token_output, op4_decontaminate, op7_near_dedup, op9_mix_sources, op10_quality_rules)
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
