@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fenwright.llm import decontaminate, mix_sources, near_dedup, quality_rules, token_output
+from fenwright.llm import decontaminate, mix_sources, near_dedup, quality_rules, token_output, url_filter, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,6 +26,52 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.judge(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _hit(term: str) -> str:
+    return f"regexp_matches(low, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')::BIGINT"
+
+
+OP2_SQL = rf"""
+WITH p AS (SELECT page_id, translate(coalesce(url, ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS low,
+  translate(regexp_extract(coalesce(url, ''), '{url_filter.PARTS}', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+  regexp_extract(coalesce(url, ''), '{url_filter.PARTS}', 2) AS path FROM pages),
+r AS (SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+  {" + ".join(map(_hit, url_filter.STRICT))} AS n_strict,
+  {" + ".join(_hit(w) for w, _ in url_filter.SOFT)} AS n_soft,
+  {" + ".join(f"{n} * {_hit(w)}" for w, n in url_filter.SOFT)} AS soft_weight FROM p)
+SELECT page_id, host, path, rule, n_strict, n_soft, soft_weight,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN n_strict > 0 OR (n_soft >= {url_filter.MIN_SOFT} AND soft_weight >= {url_filter.MIN_WEIGHT}) THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.judge(table(spark, sf_dir, "pages"))
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN m USING (h)
+"""
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,9 +133,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_output, op4_decontaminate, op7_near_dedup, op9_mix_sources, op10_quality_rules)
+    found = (op1_token_output, op2_url_filter, op4_decontaminate, op6_warc, op7_near_dedup, op9_mix_sources, op10_quality_rules)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op9_mix_sources": OP9_SQL}
+    return {"op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL, "op4_decontaminate": OP4_SQL, "op9_mix_sources": OP9_SQL}
