@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fenwright.llm import decontaminate, mix_sources, near_dedup, quality_rules, token_output, url_filter, warc
+from fenwright.llm import decontaminate, html_extract, mix_sources, near_dedup, quality_rules, token_output, url_filter, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,6 +57,10 @@ FROM r
 """
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.judge(table(spark, sf_dir, "pages"))
 
@@ -133,7 +137,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_output, op2_url_filter, op4_decontaminate, op6_warc, op7_near_dedup, op9_mix_sources, op10_quality_rules)
+    found = (op1_token_output, op2_url_filter, op4_decontaminate, op5_html_extract, op6_warc, op7_near_dedup, op9_mix_sources, op10_quality_rules)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
