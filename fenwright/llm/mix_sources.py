@@ -51,8 +51,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return filled.select("source", "source_size", F.when(F.col("capped") | F.col("water").isNull(), F.col("cap")).otherwise(F.col("water") * F.col("weight")).cast("double").alias("target"))
 
 
-def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> tuple[DataFrame, str]:
-    """docs (doc_id, source, text and others) with one struct column more, and its name: size,
+def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix", keep: list[str] | None = None) -> tuple[DataFrame, str]:
+    """docs (doc_id, source, text and others; or the columns of `keep`) with one struct column more, and its name: size,
     source_size, target, start (words of the source before the document), finish (virtual, of
     its first copy) and takes (words taken of each copy)."""
     spark = docs.sparkSession
@@ -72,7 +72,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         goals = F.broadcast(goals)
     buckets = offsets.join(goals, F.col("at_source").eqNullSafe(F.col("of_source"))).drop("of_source")
 
-    rows = docs.select(F.struct("*").alias("row"), own.alias("w")).select("row", "w.*").withColumn("bucket", F.substring("key", 1, digits) if digits else F.lit(""))
+    rows = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), own.alias("w")).select("row", "w.*").withColumn("bucket", F.substring("key", 1, digits) if digits else F.lit(""))
     joined = rows.join(buckets, F.col("source").eqNullSafe(F.col("at_source")) & (F.col("bucket") == F.col("at_bucket")))
     inside = Window.partitionBy("at_source", "at_bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start = F.col("before") + F.sum("size").over(inside) - F.col("size")
@@ -84,7 +84,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, virtual_finish; in order of the virtual time."""
-    timed, q = schedule(docs.select("doc_id", "source", "text"))
+    timed, q = schedule(docs.select("doc_id", "source", "text"), keep=["doc_id"])
     taken = F.aggregate(f"{q}.takes", F.lit(0).cast("long"), lambda a, x: a + x)
     out = timed.select("doc_id", f"{q}.size", f"{q}.source_size", f"{q}.target", taken.alias("taken"), F.col(f"{q}.finish").alias("virtual_finish"))
     return out.repartitionByRange("virtual_finish", "doc_id").sortWithinPartitions("virtual_finish", "doc_id")
