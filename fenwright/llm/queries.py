@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fenwright.llm import decontaminate, html_extract, mix_sources, near_dedup, quality_rules, secret_scan, token_output, url_filter, warc
+from fenwright.llm import decontaminate, html_extract, mix_sources, near_dedup, quality_rules, secret_scan, suffix_dedup, token_output, url_filter, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -76,6 +76,10 @@ FROM p JOIN m USING (h)
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -141,7 +145,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_output, op2_url_filter, op4_decontaminate, op5_html_extract, op6_warc, op7_near_dedup, op8_secret_scan, op9_mix_sources, op10_quality_rules)
+    found = (op1_token_output, op2_url_filter, op3_suffix_dedup, op4_decontaminate, op5_html_extract, op6_warc, op7_near_dedup, op8_secret_scan, op9_mix_sources, op10_quality_rules)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
