@@ -12,9 +12,10 @@ Groups of copies may hold a third of all rows, so pairs are never listed:
 1. Documents of equal sets are one class from the start.
 2. Under each key, every class is held against the smallest one only (if their signatures are
    within the threshold), and components are formed.
-3. Keys that still join several components are searched in blocks: for every class and every
-   other, larger component, a pair within the threshold makes one request, whatever the number
-   of such pairs. A request holds the class against all members of that component, in blocks,
+3. Keys that still join several components are searched in blocks. Each class is held against the
+   nearest one of another component (a few rounds, which merge what is easily merged). Then,
+   for every class and every other, larger component, a pair within the threshold makes one
+   request, whatever the number of such pairs. A request holds the class against all members of that component, in blocks,
    on full sets. So every pair within the threshold is either inside one component or compared.
 
 Cases: null, empty or blank text has no shingles, is linked with nothing and is its own
@@ -39,13 +40,16 @@ from fenwright.llm import _text as X
 from fenwright.operators.graph import connected_components
 
 SLOTS, CHUNKS, DISTANCE = 64, 16, 31
+#: A longer signature of one byte a value, for classes that share a key: beyond its distance with a chance of 5e-7 at 0.8.
+FINE_SLOTS, FINE_DISTANCE = 256, 86
 WIDTH = SLOTS // CHUNKS
 assert DISTANCE // CHUNKS == 1
 BLOCK, PROBES = 256, 2048
 BUCKET_BLOCK = 1024
+NEAREST_ROUNDS = 1
 
 _rng = np.random.default_rng(7_000_003)
-FACTORS = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = _rng.integers(1, 1 << 63, FINE_SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(t: X.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,13 +72,25 @@ def shingle_sets(t: X.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.searchsorted(doc[new], np.arange(t.n + 1))
 
 
-def _signatures(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    out = np.empty((len(begins), SLOTS), np.uint16)
-    for k in range(SLOTS):
-        out[:, k] = X.mix(np.minimum.reduceat(values * FACTORS[k], begins)).astype(np.uint16)
+def _signatures(values: np.ndarray, begins: np.ndarray, slots: int = SLOTS, kind: type = np.uint16) -> np.ndarray:
+    out = np.empty((len(begins), slots), kind)
+    for k in range(slots):
+        out[:, k] = X.mix(np.minimum.reduceat(values * FACTORS[k], begins)).astype(kind)
     return out
 
 
+def _fine(texts: DataFrame, size: int) -> DataFrame:
+    """(set, many, fine): size of the set and its longer signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, t in X.slices(batches, "text"):
+            values, begins = shingle_sets(t, size)
+            fine = _signatures(values, begins[:-1], FINE_SLOTS, np.uint8) if t.n else np.zeros((0, FINE_SLOTS), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(begins), pa.int64()), pa.array([f.tobytes() for f in fine], pa.binary())], names=["set", "many", "fine"])
+
+    return texts.select("set", "text").mapInArrow(run, "set long, many long, fine binary")
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, set (hash of the shingle set), sig; set and sig are null for empty sets."""
     X.small_batches(docs.sparkSession)
@@ -179,57 +195,96 @@ def _confirmed(requests: DataFrame, stored: DataFrame, texts: DataFrame, size: i
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _requests(members: DataFrame) -> DataFrame:
-    """(set, other): for rows (key, n, set, sig, component, weight), each class and each other component that is
-    larger (or as large and smaller in number) with a member within the threshold under some key."""
+def _blocks(members: DataFrame) -> DataFrame:
+    """Rows (key, n, set, many, fine, component, weight) dealt out so that any two of one key meet in some (key, lo, hi):
+    keys of many classes are cut into blocks, and each pair of blocks is one group."""
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set"), blocks).cast("int")
     rows = members.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "set", "component", "weight", "sig")
-    dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "component")
-
-    def search(rows: list[pa.RecordBatch], seen: set) -> list[tuple[int, int]]:
-        t = pa.Table.from_batches(rows)
-        name, comp, weight = (np.asarray(t.column(c).combine_chunks()) for c in ("set", "component", "weight"))
-        if len(name) < 2 or (comp == comp[0]).all():
-            return []
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
-        out = []
-        for at in range(0, len(name), 64):
-            some = slice(at, at + 64)
-            ahead = (weight[some, None] < weight) | ((weight[some, None] == weight) & (comp[some, None] > comp))
-            i, j = np.nonzero(ahead & (comp[some, None] != comp))
-            ok = np.zeros(len(i), bool)
-            for k in range(0, len(i), 1 << 16):
-                ok[k : k + (1 << 16)] = _distance_ok(sig[at + i[k : k + (1 << 16)]], sig[j[k : k + (1 << 16)]])
-            out += [p for p in set(zip(name[at + i[ok]].tolist(), comp[j[ok]].tolist())) if p not in seen]
-        seen.update(out)
-        return out
+    rows = rows.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "set", "component", "weight", "many", "fine")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "component")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(set, component, weight, set sizes, fine signatures) of each (key, lo, hi) that has more than one component."""
+
+    def arrays(held: list[pa.RecordBatch]) -> tuple | None:
+        t = pa.Table.from_batches(held)
+        name, comp, weight, many = (np.asarray(t.column(c).combine_chunks()) for c in ("set", "component", "weight", "many"))
+        if (comp == comp[0]).all():
+            return None
+        return name, comp, weight, many, np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE_SLOTS)
+
+    group, held = None, []
+    for batch in batches:
+        key = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                now = tuple(key[:, lo].tolist())
+                if now != group:
+                    if held and (found := arrays(held)):
+                        yield found
+                    group, held = now, []
+                held.append(batch.slice(lo, hi - lo))
+    if held and (found := arrays(held)):
+        yield found
+
+
+def _alike(many: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be as similar as `percent` at all."""
+    return 100 * np.minimum(many, others) >= percent * np.maximum(many, others)
+
+
+def _nearest(members: DataFrame, percent: int) -> DataFrame:
+    """(set, near): for each class the nearest one of another component under any of its keys, within the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, seen = None, [], set()
+        best: dict[int, tuple[int, int]] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = pa.array(list(best), pa.int64()), pa.array([v for _, v in best.values()], pa.int64()), pa.array([d for d, _ in best.values()], pa.int32())
+            best.clear()
+            return pa.RecordBatch.from_arrays(list(rows), names=["set", "near", "distance"])
+
+        for name, comp, _, many, fine in _groups(batches):
+            for at in range(0, len(name), 64):
+                some = slice(at, at + 64)
+                far = (fine[some, None] != fine[None]).sum(-1)
+                far[(comp[some, None] == comp) | ~_alike(many[some, None], many, percent)] = FINE_SLOTS + 1
+                near = far.argmin(1)
+                for u, v, d in zip(name[some].tolist(), name[near].tolist(), far[np.arange(len(near)), near].tolist()):
+                    if d <= FINE_DISTANCE and (u not in best or (d, v) < best[u]):
+                        best[u] = d, v
+            if len(best) > 1 << 18:
+                yield out()
+        yield out()
 
-        def flush() -> pa.RecordBatch:
+    return _blocks(members).mapInArrow(run, "set long, near long, distance int").groupBy("set").agg(F.min_by("near", F.struct("distance", "near")).alias("near"))
+
+
+def _requests(members: DataFrame, percent: int) -> DataFrame:
+    """(set, other): each class and each other component that is larger (or as large and greater in number)
+    with a member within the threshold under some key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for name, comp, weight, many, fine in _groups(batches):
+            out = []
+            for at in range(0, len(name), 64):
+                some = slice(at, at + 64)
+                ahead = (weight[some, None] < weight) | ((weight[some, None] == weight) & (comp[some, None] < comp))
+                i, j = np.nonzero(ahead & (comp[some, None] != comp) & _alike(many[some, None], many, percent))
+                ok = np.zeros(len(i), bool)
+                for k in range(0, len(i), 1 << 14):
+                    ok[k : k + (1 << 14)] = (fine[at + i[k : k + (1 << 14)]] != fine[j[k : k + (1 << 14)]]).sum(-1) <= FINE_DISTANCE
+                out += [p for p in set(zip(name[at + i[ok]].tolist(), comp[j[ok]].tolist())) if p not in seen]
             if len(seen) > 1 << 20:
                 seen.clear()
-            found = search(held, seen) if held else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["set", "other"])
+            seen.update(out)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["set", "other"])
 
-        for batch in batches:
-            key = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi > lo:
-                    now = tuple(key[:, lo].tolist())
-                    if now != group:
-                        if held:
-                            yield flush()
-                        group, held = now, []
-                    held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield flush()
-
-    return dealt.mapInArrow(run, "set long, other long").distinct()
+    return _blocks(members).mapInArrow(run, "set long, other long").distinct()
 
 
 def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -252,12 +307,26 @@ def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     links = cut(_confirmed(near.select("set", F.col("pivot").alias("grp")), pivots, texts, size, percent), "links")
     found = connected_components(links, "a", "b")
 
-    # 3. Between the components that some key still joins.
-    labelled = members.select("key", "n", "set").join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    weights = found.groupBy("component").agg(F.count("*").alias("weight"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = labelled.join(open_keys, "key").join(weights, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-    asks = cut(_requests(left.join(classes.select("set", "sig"), "set")), "requests")
+    # 3. Between the components that some key still joins: first the nearest class of another component, while that merges any.
+    def still_open() -> tuple[DataFrame, DataFrame]:
+        weights = found.groupBy("component").agg(F.count("*").alias("weight"))
+        labelled = members.select("key", "n", "set").join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+        left = labelled.join(open_keys, "key").join(weights, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+        return left.join(fine, "set"), weights
+
+    fine = cut(_fine(texts, size), "fine")
+    left, weights = still_open()
+    for _ in range(NEAREST_ROUNDS):
+        near = cut(_nearest(left, percent), "nearest")
+        held = near.select(F.col("near").alias("set"), F.col("near").alias("grp")).distinct()
+        more = cut(_confirmed(near.select("set", F.col("near").alias("grp")), held, texts, size, percent), "nearest-links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = connected_components(links, "a", "b")
+        left, weights = still_open()
+    asks = cut(_requests(left, percent), "requests")
     others = asks.select(F.col("other").alias("component")).distinct()
     inside = texts.select("set").join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     inside = inside.join(others, "component").join(weights, "component", "left").withColumn("blocks", F.ceil(F.coalesce("weight", F.lit(1)) / BLOCK).cast("int"))
