@@ -18,15 +18,16 @@ count and bytes. Null doc_ids come first. An empty table gives empty folders. Ex
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fenwright.llm import _store, _text
@@ -34,7 +35,7 @@ from fenwright.llm import _store, _text
 END_ID = 2
 SHARD_TOKENS, BLOCK_TOKENS, MOST_SHARDS = 4 << 20, 1 << 18, 65_536
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
-MEMORY = 400_000
+MEMORY = 600_000
 
 #: Bytes of each of the four tokens that a control byte describes.
 LENGTHS = np.array([[(c >> 2 * j & 3) + 1 for j in range(4)] for c in range(256)], np.uint8)
@@ -51,39 +52,111 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte: itself if printable, else the next beyond 255."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out, more = [], 256
+    for b in range(256):
+        out.append(chr(b if b in plain else more))
+        more += b not in plain
+    return out
+
+
 class Encoder:
-    """Ids of texts, by their pieces between ASCII white space."""
+    """Ids of texts, by their pieces between ASCII white space.
+
+    What the tokenizer does with a piece depends on the piece alone. So does a piece's end of
+    ordinary punctuation after a letter or digit, which it always cuts off. Lower-case Latin words in normal
+    form pass its normaliser and splitter unchanged and go to its merges directly.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.where = np.zeros(1, np.int64)
+        self.letters = dict(enumerate(_byte_letters()))
+        self.forget()
+
+    def forget(self) -> None:
+        """Know the end mark only; it is piece 0."""
+        self.known: dict[str, int] = {"\n": 0}
+        self.ids = np.full(1 << 16, END_ID, np.uint32)  # ids of all pieces, with room to grow
+        self.start = np.zeros(1 << 14, np.int64)
+        self.count = np.ones(1 << 14, np.int64)
+        self.used = 1
+
+    def _add(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n, used = len(self.known), self.used
+        self.known.update(zip(pieces, range(n, n + len(pieces))))
+        while len(self.start) < n + len(pieces):
+            self.start, self.count = np.concatenate([self.start] * 2), np.concatenate([self.count] * 2)
+        while len(self.ids) < used + len(ids):
+            self.ids = np.concatenate([self.ids] * 2)
+        self.start[n : n + len(pieces)] = used + np.cumsum(counts) - counts
+        self.count[n : n + len(pieces)] = counts
+        self.ids[used : used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _add_lists(self, pieces: list[str], found: list[list[int]]) -> None:
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(pieces, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts)
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these pieces one after another, and how many each has."""
+        counts = self.count[numbers]
+        ends = np.cumsum(counts)
+        at = np.repeat(self.start[numbers] - ends + counts, counts)
+        at += np.arange(len(at))
+        return self.ids[at], counts
 
     def _number(self, pieces: list[str]) -> np.ndarray:
         if len(self.known) > MEMORY:
-            self.known, self.ids, self.where = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            n = len(self.known)
-            self.known.update(zip(new, range(n, n + len(new))))
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(counts.sum()))])
-            self.where = np.concatenate([self.where, self.where[-1] + np.cumsum(counts)])
-        return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            self.forget()
+        known, simple, cut = self.known, {}, {}
+        for p in [p for p in pieces if p not in known]:
+            head = p.rstrip(",.;:!?")
+            if head != p and head and head[-1].isalnum():
+                cut[p] = head, p[len(head) :]
+                simple[head] = simple[p[len(head) :]] = None
+            else:
+                simple[p] = None
+        words, rest = [], []
+        for p in simple:
+            if p not in known:
+                plain = p.isalpha() and (p.isascii() or (max(p) < "\u0250" and unicodedata.is_normalized("NFC", p))) and p == p.lower()
+                (words if plain else rest).append(p)
+        merge, letters = self.tokenizer.model.tokenize, self.letters
+        self._add_lists(words, [[t.id for t in merge(p if p.isascii() else p.encode().decode("latin-1").translate(letters))] for p in words])
+        if rest:
+            self._add_lists(rest, [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+        if cut:
+            halves = np.fromiter((known[x] for pair in cut.values() for x in pair), np.int64, 2 * len(cut))
+            ids, counts = self._gather(halves)
+            self._add(list(cut), ids, counts.reshape(-1, 2).sum(1))
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def __call__(self, t: _text.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and the number of ids of each text."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        # Strings in <| |> are the only ones whose case matters to the tokenizer.
+        data = t.data if b"<|" in t.data.tobytes() else _text.LOWER[t.data]
+        texts = pa.LargeStringArray.from_buffers(t.n, pa.py_buffer(np.ascontiguousarray(t.offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        split = pc.ascii_split_whitespace(texts)
         pieces = split.flatten().dictionary_encode()
         number = self._number(pieces.dictionary.to_pylist())
-        word = number[pieces.indices.to_numpy()]
         first = split.offsets.to_numpy() - split.offsets[0].as_py()
-        count = np.diff(self.where)[word]
-        ends = np.concatenate([[0], np.cumsum(count)])[first]
-        flat = self.ids[np.repeat(self.where[word], count) + _text.spread(count)]
-        return np.insert(flat, ends[1:], END_ID).astype(np.uint32), np.diff(ends) + 1
+        # Each text's pieces, and the end mark after them; empty pieces at its borders have no ids.
+        words = np.zeros(len(pieces) + t.n, np.int64)
+        marks = first[1:] + np.arange(t.n)
+        inner = np.ones(len(words), bool)
+        inner[marks] = False
+        words[inner] = number[pieces.indices.to_numpy()]
+        flat, counts = self._gather(words)
+        total = np.concatenate([[0], np.cumsum(counts)])
+        return flat, np.diff(total[np.concatenate([[0], marks + 1])])
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, with what it remembers."""
+    return Encoder(path)
 
 
 def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -115,26 +188,47 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(id, n) of all token ids, end ids included; each task sends at most one row an id."""
+def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, n and ids (bytes, 16 bits each if the vocabulary allows, else 32) of each document."""
+    _text.small_batches(docs.sparkSession)
+    kind = _kind(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(tokenizer)
+        for batch, t in _text.slices(batches, "text"):
+            tokens, counts = encode(t)
+            ends = np.concatenate([[0], np.cumsum(counts)]) * np.dtype(kind).itemsize
+            data = tokens.astype(kind).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array([data[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())], names=["doc_id", "n", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
+
+
+def _kind(tokenizer: str) -> str:
+    return "<u2" if _tokenizer(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
+def token_counts(tokens: DataFrame, kind: str) -> DataFrame:
+    """(id, n) of all token ids; each task sends at most one row an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = Encoder(tokenizer), np.zeros(0, np.int64)
-        for batch, _ in _text.slices(batches, "text"):
-            found = np.bincount(encode(batch.column(0))[0], minlength=len(total))
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=len(total))
             found[: len(total)] += total
             total = found
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Write doc_id and text of docs to path. What comes to the driver is bounded by the vocabulary and by MOST_SHARDS."""
     spark = docs.sparkSession
-    _text.small_batches(spark)
-    counted = token_counts(docs, tokenizer).orderBy(F.desc("n"), "id").collect()
+    kind = _kind(tokenizer)
+    tokens = _store.written(tokenised(docs, tokenizer), "token-ids")
+    counted = token_counts(tokens, kind).orderBy(F.desc("n"), "id").collect()
     ids = np.array([r["id"] for r in counted], np.uint32)
     rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.uint32)
     rank_of[ids] = np.arange(len(ids), dtype=np.uint32)
@@ -142,17 +236,16 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
 
     shards = max(1, min(MOST_SHARDS, -(-sum(r["n"] for r in counted) // SHARD_TOKENS)))
     marks = [i / shards for i in range(1, shards)]
-    bounds = docs.agg(F.percentile_approx("doc_id", marks, 10 * shards)).first()[0] if marks else []
+    bounds = tokens.agg(F.percentile_approx("doc_id", marks, 10 * shards)).first()[0] if marks else []
     bounds = np.unique(np.array(bounds or [], np.int64))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        for batch, _ in _text.slices(batches, "text"):
-            tokens, counts = encoder(batch.column(1))
-            control, data = pack(rank_of[tokens], counts)
+        for batch in batches:
+            counts = np.asarray(batch.column(1))
+            control, data = pack(rank_of[np.frombuffer(b"".join(batch.column(2).to_pylist()), kind)], counts)
             shard = np.searchsorted(bounds, np.asarray(batch.column(0).fill_null(-(1 << 63))), "left")
             shard[np.asarray(batch.column(0).is_null())] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column(0), pa.array(counts, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["shard", "doc_id", "n", "control", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column(0), batch.column(1), pa.array(control, pa.binary()), pa.array(data, pa.binary())], names=["shard", "doc_id", "n", "control", "data"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, offset, held, size = -1, 0, 0, [], 0
@@ -178,7 +271,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
         if held:
             yield out()
 
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "shard int, doc_id long, n long, control binary, data binary")
+    coded = tokens.mapInArrow(encode, "shard int, doc_id long, n long, control binary, data binary")
     placed = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n", "control", "data")
     schema = "shard int, block int, offset long, tokens long, doc_ids array<bigint>, n_tokens array<bigint>, control binary, data binary"
     placed.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
@@ -188,8 +281,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32; start counts the tokens of all documents before it."""
     ids = np.array([r["id"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)
     blocks = spark.read.parquet(f"{path}/blocks")
-    from pyspark.sql import Window
-
     shards = blocks.groupBy("shard").agg(F.sum("tokens").alias("all"))
     base = F.coalesce(F.sum("all").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = {r["shard"]: r["base"] for r in shards.select("shard", base.alias("base")).collect()}  # MOST_SHARDS at most
