@@ -68,13 +68,20 @@ def business(prefix: Column, existing: Column, center_code: Column, by_prefix: M
     return F.coalesce(lookup(prefix, exceptions), lookup(F.substring(prefix, 1, 5), by_prefix), F.when(existing.isin(known), existing), lookup(center_code, by_center))
 
 
+#: Fixed value: where a district's name stands in an address.
+AREA = r"(?:^|[\s(])([가-힣]+(?:동|읍|면|가))(?=[\s)]|$)"
+
+
 def split_address(c: Column) -> Column:
-    """struct(road, old, area): what stands outside and inside the last parentheses, and the district of the old form or else of the road form."""
+    """struct(road, old, area): before the first parenthesis and inside the parentheses if those end the text, else
+    the whole text twice; the district of the old form, or else of the road form."""
     whole = strip(c)
-    old = F.nullif(strip(F.regexp_extract(whole, r"\(([^()]*)\)\s*$", 1)), F.lit(""))
-    road = F.nullif(strip(F.regexp_replace(whole, r"\([^()]*\)\s*$", "")), F.lit(""))
-    area = lambda x: F.nullif(F.regexp_extract(x, r"([가-힣0-9]+(?:동|읍|면|리|가))(?:\s|$)", 1), F.lit(""))
-    return F.struct(road.alias("road"), old.alias("old"), F.coalesce(area(old), area(road)).alias("area"))
+    at = F.instr(whole, "(")
+    split = (at > 1) & whole.endswith(")")
+    road = F.when(split, strip(F.substring_index(whole, "(", 1))).otherwise(whole)
+    old = F.when(split, strip(F.substring(whole, at + 1, F.length(whole) - at - 1))).otherwise(whole)
+    area = lambda x: F.nullif(F.regexp_extract(x, AREA, 1), F.lit(""))
+    return F.struct(F.nullif(road, F.lit("")).alias("road"), F.nullif(old, F.lit("")).alias("old"), F.coalesce(area(old), area(road)).alias("area"))
 
 
 def date_columns(df: DataFrame, suffixes: Sequence[str] = ("일", "일자", "날짜", "date")) -> list[str]:
