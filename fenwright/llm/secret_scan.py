@@ -103,7 +103,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         10: (plain, word, 0), 11: (pick("commit ", "sha1: ", "md5=", "checksum: ", "digest "), F.col("h"), 0), 12: (pick("https://", "http://www.", "see "), F.concat(F.substring(word, 1, 9), F.lit(".example.com/"), F.substring(word, 3, 12), F.lit("/"), F.substring("h", 1, 3)), 0),
         13: (plain, F.substring(digits, 1, 16), 0), 14: (plain, F.concat(F.substring(word, 1, 8), F.lit("."), F.substring(digits, 1, 2)), 0), 15: (key, pick("your_api_key_here_123", "xxxxxxxxxxxxxxxxxxxx1", "example-token-00000000", "changeme1234567890", "INSERT_YOUR_TOKEN_HERE1"), 0),
         16: (pick("@", " ", "de."), F.concat(F.lit("mail"), F.substring(digits, 1, 1), F.lit(".example.com")), 0), 17: (pick("uuid: ", "id ", ""), F.concat_ws("-", F.substring("h", 1, 8), F.substring("h", 9, 4), F.substring("h", 13, 4), F.substring("h", 17, 4), F.substring("h", 21, 12)), 0),
-        18: (plain, F.concat(F.initcap(F.substring(word, 1, 10)), F.initcap(F.substring(word, 3, 10)), F.substring(digits, 1, 2)), 0), 19: (plain, F.concat(F.lit("/usr/lib/"), F.substring(word, 1, 10), F.lit("/"), F.substring(word, 4, 9), F.lit(".py")), 0),
+        18: (plain, F.concat(F.initcap(F.substring(word, 1, 10)), F.initcap(F.substring(word, 3, 10)), F.substring(digits, 1, 2)), 0), 19: (plain, F.concat(pick("/usr/lib/", "./src/", "/var/", "lib/"), F.substring(word, 1, 6), F.lit("/"), F.substring(word, 4, 4), pick("_", "-", "/"), F.substring(word, 2, 8), F.when(F.col("id") % 3 == 0, F.substring(digits, 1, 1)).otherwise(""), F.lit("/"), F.substring(word, 5, 6), pick(".py", ".js", ".html", "")), 0),
     }
     for k, (b, c, label) in cases.items():
         made = made.when(F.col("kind") == k, F.struct(b.alias("b"), c.alias("c"), F.lit(float(label)).alias("l")))
