@@ -62,9 +62,9 @@ EVENT_ROWS_SQL = """event_rows AS (
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, x, y (metres, whole centimetres), label, orders."""
     e = table(spark, sf_dir, "embeddings")
-    metres = lambda i: (F.floor(F.element_at("embedding", i).cast("double") * 100000) / 100.0)
+    metres = lambda i: (F.floor(F.element_at("embedding", i).cast("double") * 1000000) / 100.0)
     return e.select(F.col("vec_id").alias("id"), metres(1).alias("x"), metres(2).alias("y"), "label", (F.col("vec_id") % 7 + 1).alias("orders"))
 
 
 POINTS_SQL = """points AS (
-  SELECT vec_id AS id, floor(embedding[1]::DOUBLE * 100000) / 100.0 AS x, floor(embedding[2]::DOUBLE * 100000) / 100.0 AS y, label, vec_id % 7 + 1 AS orders FROM embeddings)"""
+  SELECT vec_id AS id, floor(embedding[1]::DOUBLE * 1000000) / 100.0 AS x, floor(embedding[2]::DOUBLE * 1000000) / 100.0 AS y, label, vec_id % 7 + 1 AS orders FROM embeddings)"""

@@ -1 +1,150 @@
-"""To come."""
+"""Spatial queries: embeddings as points in the plane, a lattice of squares as parcels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fenwright.functions import geo
+from fenwright.operators import graph, route, spatial
+from fenwright.plans import domain as D
+from fenwright.registry import query
+
+POINTS = f"WITH RECURSIVE {D.POINTS_SQL}"
+SIDE = 700.0
+
+
+def parcels(spark: SparkSession) -> DataFrame:
+    """Squares of a lattice, every third one missing."""
+    n = spark.range(81 * 81).select((F.col("id") % 81 - 40).alias("i"), (F.floor(F.col("id") / 81) - 40).alias("j"), F.col("id").alias("polygon")).where("polygon % 3 <> 0")
+    at = lambda c, more: (F.col(c) + more) * SIDE
+    corner = lambda a, b: F.struct(at("i", a).alias("x"), at("j", b).alias("y"))
+    ring = F.array(corner(0.0, 0.0), corner(1.0, 0.0), corner(1.0, 1.0), corner(0.0, 1.0))
+    shaped = n.select("polygon", geo.segments(ring).alias("segs"), at("i", 0.0).alias("x1"), at("j", 0.0).alias("y1"), at("i", 1.0).alias("x2"), at("j", 1.0).alias("y2"))
+    middle = geo.centroid(F.col("segs"))
+    return shaped.withColumn("area", F.abs(geo.signed_area(F.col("segs")))).withColumn("cx", middle["x"]).withColumn("cy", middle["y"])
+
+
+PARCELS = f"parcels AS (SELECT id AS polygon, (id % 81 - 40) * {SIDE} AS x1, (id // 81 - 40) * {SIDE} AS y1 FROM range(81 * 81) t(id) WHERE id % 3 <> 0)"
+
+
+@query(f"{POINTS}, {PARCELS}, d AS (SELECT id, polygon, sqrt(greatest(x1 - x, 0, x - x1 - {SIDE}) ** 2 + greatest(y1 - y, 0, y - y1 - {SIDE}) ** 2) AS distance FROM points JOIN parcels ON x BETWEEN x1 - 30 AND x1 + {SIDE + 30} AND y BETWEEN y1 - 30 AND y1 + {SIDE + 30}) SELECT id, polygon FROM d WHERE distance <= 30 QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, polygon) = 1")
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.locate(D.points(spark, sf_dir), parcels(spark)).select("id", "polygon")
+
+
+PAIRS = f"{POINTS}, pairs AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM points a JOIN points b ON a.id < b.id AND abs(a.x - b.x) <= 250 AND abs(a.y - b.y) <= 250 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 250)"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.within(D.points(spark, sf_dir), 250.0)
+
+
+@query(f"{PAIRS} SELECT a, b, round(distance, 3) AS distance FROM pairs")
+def grid_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("a", "b", F.round("distance", 3).alias("distance"))
+
+
+@query(f"{PAIRS} SELECT a, b, CASE WHEN distance <= 50 THEN 'touches' WHEN distance <= 120 THEN 'near' ELSE 'far' END AS relation FROM pairs")
+def edge_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("distance")
+    return _pairs(spark, sf_dir).select("a", "b", F.when(d <= 50, "touches").when(d <= 120, "near").otherwise("far").alias("relation"))
+
+
+@query(f"{PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a) SELECT node, min(reached) AS component FROM r GROUP BY node")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.connected_components(_pairs(spark, sf_dir), "a", "b")
+
+
+@query(f"{POINTS} SELECT a.id AS a, b.id AS b, round(2 * 6371000.0 * asin(least(1.0, sqrt(sin(radians((b.y - a.y) / 100000) / 2) ** 2 + cos(radians(a.y / 100000)) * cos(radians(b.y / 100000)) * sin(radians((b.x - a.x) / 100000) / 2) ** 2))), 2) AS metres FROM points a JOIN points b ON a.label = b.label AND a.id < b.id AND b.id - a.id <= 20")
+def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.points(spark, sf_dir)
+    a, b = p.alias("a"), p.alias("b")
+    near = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.id") < F.col("b.id")) & (F.col("b.id") - F.col("a.id") <= 20))
+    deg = lambda c: F.col(c) / 100000
+    return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(geo.haversine(deg("a.y"), deg("a.x"), deg("b.y"), deg("b.x")), 2).alias("metres"))
+
+
+@query(f"{PAIRS}, l AS (SELECT least(p.label, q.label) AS a, greatest(p.label, q.label) AS b, distance FROM pairs JOIN points p ON p.id = pairs.a JOIN points q ON q.id = pairs.b WHERE p.label <> q.label) SELECT a, b, round(min(distance), 3) AS distance FROM l GROUP BY a, b")
+def contract_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = D.points(spark, sf_dir).select(F.col("id").alias("node"), F.col("label").alias("block"))
+    return spatial.contract(_pairs(spark, sf_dir), labels).withColumn("distance", F.round("distance", 3))
+
+
+@query(f"{PAIRS}, e AS (SELECT a AS node, b AS neighbour, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs) SELECT node, neighbour, row_number() OVER (PARTITION BY node ORDER BY distance, neighbour) AS nth FROM e QUALIFY nth <= 3")
+def top_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.top_neighbours(_pairs(spark, sf_dir), 3).select("node", "neighbour", "nth")
+
+
+@query(f"{POINTS} SELECT label AS block, count(*) AS members, sum(orders)::BIGINT AS orders, round(sum(x * orders) / sum(orders), 4) AS cx, round(sum(y * orders) / sum(orders), 4) AS cy, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM points GROUP BY label")
+def block_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.points(spark, sf_dir)
+    found = spatial.blocks(p, p.select(F.col("id").alias("node"), F.col("label").cast("long").alias("component")))
+    return found.select(F.col("block").cast("int").alias("block"), "members", "orders", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), "min_x", "max_x", "min_y", "max_y")
+
+
+def _route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.points(spark, sf_dir).select(F.concat(F.lit("s"), F.col("label") % 4).alias("scope"), F.col("id").alias("pos"), "id", "x", "y", F.col("orders").cast("long").alias("orders"), F.floor(F.col("id") / 3).alias("block"))
+
+
+ROUTE = f"{POINTS}, route AS (SELECT 's' || (label % 4) AS scope, id AS pos, id, x, y, orders, id // 3 AS block FROM points), m AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS jump, (sum(orders) OVER w)::BIGINT AS running FROM route WINDOW w AS (PARTITION BY scope ORDER BY pos))"
+
+
+@query(f"{ROUTE} SELECT scope, pos, running FROM m")
+def route_prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.measured(_route(spark, sf_dir)).select("scope", "pos", "running")
+
+
+@query(f"{ROUTE} SELECT scope, round(max(jump), 3) AS largest FROM m GROUP BY scope")
+def route_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.measured(_route(spark, sf_dir)).groupBy("scope").agg(F.round(F.max("jump"), 3).alias("largest"))
+
+
+@query(f"{ROUTE} SELECT scope, pos, (sum((jump > 500)::INT) OVER (PARTITION BY scope ORDER BY pos))::BIGINT AS \"group\" FROM m")
+def route_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.measured(_route(spark, sf_dir)).select("scope", "pos", "group")
+
+
+@query(f"""{POINTS}, r AS (SELECT 's' || (label % 4) AS scope, id, x, y FROM points), s AS (SELECT *, greatest(1, least(24, round(sqrt(count(*) OVER (PARTITION BY scope)))::INT)) AS n, min(y) OVER (PARTITION BY scope) AS low, greatest(max(y) OVER (PARTITION BY scope) - min(y) OVER (PARTITION BY scope), 1e-9) AS height FROM r),
+t AS (SELECT *, least(floor((y - low) / height * n), n - 1) AS band FROM s) SELECT scope, id, row_number() OVER (PARTITION BY scope ORDER BY band, CASE WHEN band % 2 = 1 THEN -x ELSE x END, id) AS rank FROM t""")
+def serpentine_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.serpentine(_route(spark, sf_dir)).select("scope", "id", "rank")
+
+
+@query(f"{ROUTE}, c AS (SELECT scope, pos, block % 5 AS block, lag(block % 5) OVER (PARTITION BY scope ORDER BY pos) AS prev FROM route) SELECT scope, block, pos FROM c WHERE block IS DISTINCT FROM prev QUALIFY row_number() OVER (PARTITION BY scope, block ORDER BY pos) > 1")
+def reentry_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.reentries(_route(spark, sf_dir).withColumn("block", F.col("block") % 5))
+
+
+@query()
+def route_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.greedy(_route(spark, sf_dir).drop("pos", "block")).select("scope", "id", "pos")
+
+
+@query()
+def partition_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = route.greedy(_route(spark, sf_dir).drop("pos", "block"))
+    return route.split(ordered, 6).groupBy("scope", "person").agg(F.sum("orders").alias("orders"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+@query()
+def route_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.quality(route.split(route.greedy(_route(spark, sf_dir).drop("pos", "block")), 6), 6)
+
+
+@query()
+def people_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = D.points(spark, sf_dir).groupBy(F.concat(F.lit("s"), F.col("label") % 4).alias("scope"), F.col("label").alias("cluster")).agg(F.sum("orders").alias("orders"))
+    return route.allocate(clusters, 20)
+
+
+@query()
+def parcel_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = parcels(spark).where("x1 between -3500 and 3500 and y1 between -3500 and 3500")
+    return spatial.neighbours(some).select("a", "b", "relation", F.round("border", 3).alias("border"), F.round("shared", 3).alias("shared"), F.round("centres", 3).alias("centres"))
+
+
+@query()
+def union_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segs = parcels(spark).select("polygon", F.explode("segs").alias("s")).select("polygon", "s.*")
+    return spatial.outline(segs)
