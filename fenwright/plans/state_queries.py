@@ -1 +1,80 @@
-"""To come."""
+"""State queries: what uploads, approvals, exclusions and rollbacks leave, over orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fenwright.operators import cube, state
+from fenwright.plans import domain as D
+from fenwright.plans.bi_queries import ORDERS, orders_cube
+from fenwright.registry import query
+
+TOTALS = "(sum(total_count))::BIGINT AS total_count, (sum(error_count))::BIGINT AS error_count"
+NUMBER = "order_number::BIGINT"
+
+
+@query(f"{ORDERS} SELECT business, {TOTALS} FROM cube GROUP BY business")
+def cube_reupload_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of the days is loaded again: the cube stays."""
+    whole = orders_cube(spark, sf_dir)
+    again = cube.replace_dates(whole, whole.where("order_date < date'1998-01-01'"))
+    return again.groupBy("business").agg(F.sum("total_count").alias("total_count"), F.sum("error_count").alias("error_count"))
+
+
+@query(f"{ORDERS} SELECT business, {TOTALS} FROM (SELECT * FROM cube WHERE order_date < DATE '1997-01-01' OR order_date > DATE '1997-12-31' UNION ALL SELECT order_date, person, business, subcategory, total_count * 2, error_count FROM cube WHERE order_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31') GROUP BY business")
+def cube_replace_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = orders_cube(spark, sf_dir)
+    done = cube.replace_period(whole, whole.withColumn("total_count", F.col("total_count") * 2), "1997-01-01", "1997-12-31")
+    return done.groupBy("business").agg(F.sum("total_count").alias("total_count"), F.sum("error_count").alias("error_count"))
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Errors in four batches by order number: 0 automatic, 1 to 3 manual; batch 2 is of another job."""
+    rows = D.order_rows(spark, sf_dir)
+    n = F.col("order_number").cast("long")
+    details = rows.where("is_error").select(n.alias("detail_id"), (n % 4).alias("batch_id"), "order_number", *cube.DIMENSIONS)
+    batches = spark.createDataFrame([(0, "auto", "a", 5, False), (1, "manual", "a", 1, False), (2, "manual", "b", 3, False), (3, "manual", "a", 2, False)], "batch_id long, batch_type string, job_id string, approved_at long, rolled_back boolean")
+    exclusions = rows.where("is_error").where(n % 10 == 0).select("order_number", F.lit(1).alias("at"), F.lit(False).alias("restored")).unionByName(rows.where("is_error").where(n % 20 == 0).select("order_number", F.lit(2).alias("at"), F.lit(True).alias("restored")))
+    return rows, details, batches, exclusions
+
+
+def _counts(spark: SparkSession, sf_dir: str, batches: DataFrame) -> DataFrame:
+    rows, details, _, exclusions = _tables(spark, sf_dir)
+    totals = cube.build(rows)
+    done = state.with_errors(totals, state.active(details, batches, exclusions))
+    return done.groupBy("business").agg(F.sum("total_count").alias("total_count"), F.sum("error_count").alias("error_count"))
+
+
+LEFT = f"is_error AND ({NUMBER} % 10 <> 0 OR {NUMBER} % 20 = 0)"
+
+
+@query(f"{ORDERS} SELECT business, count(*) AS total_count, count(*) FILTER ({LEFT} AND {NUMBER} % 4 <> 2) AS error_count FROM order_rows GROUP BY business")
+def approve_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(spark, sf_dir, state.roll_back_latest(_tables(spark, sf_dir)[2]))
+
+
+@query(f"{ORDERS} SELECT business, count(*) AS total_count, count(*) FILTER ({LEFT} AND {NUMBER} % 4 <> 3) AS error_count FROM order_rows GROUP BY business")
+def rollback_of_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(spark, sf_dir, state.roll_back_latest(_tables(spark, sf_dir)[2], job_id="a"))
+
+
+@query(f"{ORDERS} SELECT business, count(*) AS total_count, count(*) FILTER ({LEFT}) AS error_count FROM order_rows GROUP BY business")
+def exclude_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(spark, sf_dir, _tables(spark, sf_dir)[2])
+
+
+@query(f"{ORDERS} SELECT order_number FROM order_rows WHERE NOT ({LEFT}) AND {NUMBER} % 3 = 0")
+def approve_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, details, batches, exclusions = _tables(spark, sf_dir)
+    asked = rows.where(F.col("order_number").cast("long") % 3 == 0).select("order_number")
+    return state.approve(details, batches, exclusions, asked)[0]
+
+
+@query(f"{ORDERS} SELECT order_number FROM order_rows WHERE is_error AND ({NUMBER} % 4 <> 0 OR order_date NOT IN (SELECT order_date FROM order_rows WHERE order_date < DATE '1998-01-01' AND {NUMBER} % 8 = 0)) UNION ALL SELECT order_number FROM order_rows WHERE order_date < DATE '1998-01-01' AND {NUMBER} % 8 = 0 AND NOT (is_error AND {NUMBER} % 10 = 0 AND {NUMBER} % 20 <> 0)")  # a day without a fresh row keeps its automatic details
+def replace_automatic_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, details, batches, exclusions = _tables(spark, sf_dir)
+    n = F.col("order_number").cast("long")
+    days = rows.where("order_date < date'1998-01-01'")
+    fresh = days.where(n % 8 == 0).select((n + 10**9).alias("detail_id"), F.lit(0).cast("long").alias("batch_id"), "order_number", *cube.DIMENSIONS)
+    return state.replace_automatic(details, batches, fresh, exclusions)[0].select("order_number")
