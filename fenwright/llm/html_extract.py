@@ -264,8 +264,10 @@ def main_blocks(page: str, weights: np.ndarray, smooth: float = 1.0) -> list[str
 def judge(pages: DataFrame, train_pages: int = TRAIN_PAGES, smooth: float = 1.0) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
-    sample = [r["html"] for r in pages.select("page_id", "html").orderBy("page_id", "html").limit(train_pages).collect()]
-    weights = train(sample)
+    # The least ids are found among ids alone; then only their pages, one of each id, come to the driver.
+    chosen = pages.select("page_id").where("page_id is not null").distinct().orderBy("page_id").limit(train_pages)
+    sample = pages.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.max("html").alias("html"))
+    weights = train([r["html"] for r in sample.orderBy("page_id").collect()])
     _text.small_batches(spark)
     kind = pages.schema["page_id"].dataType.simpleString()
 
