@@ -364,7 +364,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
         return out
 
     runs = cut(find_runs(own, length, gram), "runs")
-    twice = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    twice = cut(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")  # a table, so that Spark can split a hot anchor in the join
     by_doc = cut(runs.join(twice, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("runs")), "candidates")
     keys = by_doc.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "runs")
     found = own.join(keys.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
@@ -382,6 +382,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool =
     if most:
         hits = hits.unionByName(_merged(solved.where("range is not null").select("range", "shard", "prints", "refs")))
         hits = hits.groupBy("anchor", "ph").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+        hits = cut(hits, "found")  # a table again, so that a piece of very many places can be split in the join
     placed = pieces.drop("piece").join(hits, ["anchor", "ph"]).select("doc_id", "th", F.transform("hits", lambda h: h + F.col("first")).alias("hits"))
     by_doc = cut(placed.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.flatten(F.collect_list("hits")).alias("hits")), "hits")
     entries = by_doc.agg(F.sum(F.size("hits") + 4)).first()[0] or 0
