@@ -138,11 +138,59 @@ def quality(assigned: DataFrame, people: int) -> DataFrame:
     return parts.withColumn("outside", F.abs(F.col("orders") - target) > BAND * target).groupBy("scope").agg(F.count_if("outside").alias("outside"), F.sum("jumps").alias("jumps"), (F.lit(people) - F.count("*")).alias("idle"))
 
 
+def _shares(orders: np.ndarray, units: np.ndarray, people: int) -> np.ndarray:
+    """People of each cluster at least cost: at least one, at most its units; a table of the best cost for each number of people."""
+    target = orders.sum() / people
+    best, came = np.full(people + 1, np.inf), np.zeros((len(orders), people + 1), np.int64)
+    best[0] = 0.0
+    for i, (o, most) in enumerate(zip(orders, np.clip(units, 1, people))):
+        k = np.arange(1, most + 1)
+        off = np.abs(o / k - target)
+        over = np.maximum(0.0, off - BAND * target)
+        cost = k * (OVER_SQUARED * over**2 + OVER * over + DEVIATION * off**2)
+        now = np.full(people + 1, np.inf)
+        for n in range(1, people + 1):
+            take = k[k <= n]
+            total = best[n - take] + cost[: len(take)]
+            j = int(np.argmin(total))
+            now[n], came[i, n] = total[j], take[j]
+        best = now
+    left = int(np.flatnonzero(np.isfinite(best)).max(initial=0))
+    out = np.zeros(len(orders), np.int64)
+    if not np.isfinite(best[left]) or not left:
+        return out
+    for i in range(len(orders) - 1, -1, -1):
+        out[i] = came[i, left]
+        left -= out[i]
+    return out
+
+
 def allocate(clusters: DataFrame, people: int) -> DataFrame:
-    """clusters (scope, cluster, orders) with people: shares of a scope's people by largest remainder, at least one each as far as they go."""
-    every = Window.partitionBy("scope")
-    share = F.coalesce(F.try_divide(F.col("orders") * people, F.sum("orders").over(every)), F.lit(0.0))
-    base = clusters.withColumn("people", F.floor(share)).withColumn("rest", share - F.floor(share))
-    left = F.lit(people) - F.sum("people").over(every)
-    nth = F.row_number().over(every.orderBy(F.col("people") > 0, F.desc("rest"), "cluster"))
-    return base.withColumn("left", left).withColumn("nth", nth).select("scope", "cluster", "orders", (F.col("people") + (F.col("nth") <= F.col("left")).cast("int")).alias("people"))
+    """clusters (scope, cluster, orders, units) with people: all of a scope's people, or as many as the clusters' units take.
+    A scope with more clusters than people gets none, as nothing can be decided there."""
+    schema = T.StructType([*clusters.schema.fields, T.StructField("people", T.LongType())])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cluster", kind="stable").reset_index(drop=True)
+        return pdf.assign(people=_shares(pdf["orders"].to_numpy(float), pdf["units"].to_numpy(int), people))[schema.fieldNames()]
+
+    return clusters.groupBy("scope").applyInPandas(one, schema)
+
+
+def units(records: DataFrame, target: float, low: float, high: float) -> DataFrame:
+    """records (scope, block, pos, orders) with unit: a block is one unit, or, with more than `high` orders, parts in order of
+    about `target`: a part of `low` or more ends where the next record would pass `high` or lead away from the target."""
+    schema = T.StructType([*records.schema.fields, T.StructField("unit", T.LongType())])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
+        parts, part, load, some = [], 0, 0.0, False
+        whole = pdf["orders"].sum() <= high
+        for o in pdf["orders"].to_numpy(float):
+            if some and not whole and load >= low and (load + o > high or abs(load - target) <= abs(load + o - target)):
+                part, load = part + 1, 0.0
+            load, some = load + o, True
+            parts.append(part)
+        return pdf.assign(unit=parts)[schema.fieldNames()]
+
+    return records.groupBy("scope", "block").applyInPandas(one, schema)

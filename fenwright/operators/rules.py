@@ -59,6 +59,35 @@ def context_conflict(texts: DataFrame, contexts: DataFrame) -> DataFrame:
     return pairs.where(apart).select(F.col("a.id").alias("id"), F.col("a.owner").alias("foreign")).distinct()
 
 
+# Evidence that makes a pattern a context: for one word, for more, and for learned ones.
+SINGLE_LENGTH, SINGLE_SUPPORT, SINGLE_MONTHS = 4, 20, 4
+SCOPED_SUPPORT, SCOPED_MONTHS = 10, 3
+LEARNED_WORDS, LEARNED_SUPPORT = 3, 10
+
+
+def strict_contexts(origins: DataFrame) -> DataFrame:
+    """(owner, value) of patterns pure enough to lock other owners' rows: of one owner only, with an origin (role, support,
+    months, error_hits, normal_support, other_frequency) of enough support and no errors."""
+    words = F.size(F.split("value", " "))
+    scoped = (F.col("role") == "scoped_normal") & (F.col("error_hits") == 0)
+    single = scoped & (words == 1) & (F.length("value") >= SINGLE_LENGTH) & (F.col("support") >= SINGLE_SUPPORT) & (F.col("months") >= SINGLE_MONTHS)
+    several = scoped & (words > 1) & (F.col("support") >= SCOPED_SUPPORT) & (F.col("months") >= SCOPED_MONTHS)
+    learned = (F.col("role") == "auto_normal") & (words >= LEARNED_WORDS) & (F.col("normal_support") >= LEARNED_SUPPORT) & (F.col("other_frequency") == 0) & (F.col("error_hits") == 0)
+    shared = origins.groupBy("value").agg(F.count_distinct("owner").alias("owners")).where("owners > 1").select("value")
+    return origins.where(single | several | learned).select("owner", "value").distinct().join(shared, "value", "left_anti").select("owner", "value")
+
+
+def leading_lock(texts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(id, foreign): texts (id, own, normal) whose first informative words begin with a longer pattern of another owner
+    than of their own. A pattern has three words at most to stand there, so three equal prefixes are all that is joined."""
+    first = leading(F.col("normal"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(first), F.lit(1))), lambda n: F.struct(F.array_join(F.slice(first, F.lit(1), n), " ").alias("key"), n.alias("words")))
+    begun = texts.select("id", "own", F.explode(prefixes).alias("p")).select("id", "own", "p.*").where("key <> ''")
+    hits = begun.join(contexts.select("owner", "key").distinct(), "key").groupBy("id", "own", "owner").agg(F.max("words").alias("words"))
+    own = hits.where("owner = own").select("id", F.col("words").alias("own_words"))
+    return hits.where("owner <> own").join(own, "id", "left").where(F.col("words") > F.coalesce("own_words", F.lit(0))).select("id", F.col("owner").alias("foreign"))
+
+
 def bracket_segments(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(c, F.lit(r"[\[(【]([^\])】]*)[\])】]"), F.lit(1)), lambda s: F.trim(s) != "")
 

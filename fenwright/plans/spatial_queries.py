@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fenwright.functions import geo
-from fenwright.operators import graph, route, spatial
+from fenwright.operators import graph, route, spatial, streets
 from fenwright.plans import domain as D
 from fenwright.registry import query
 
@@ -134,7 +134,7 @@ def route_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def people_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clusters = D.points(spark, sf_dir).groupBy(F.concat(F.lit("s"), F.col("label") % 4).alias("scope"), F.col("label").alias("cluster")).agg(F.sum("orders").alias("orders"))
+    clusters = D.points(spark, sf_dir).groupBy(F.concat(F.lit("s"), F.col("label") % 4).alias("scope"), F.col("label").alias("cluster")).agg(F.sum("orders").alias("orders"), F.count("*").alias("units"))
     return route.allocate(clusters, 20)
 
 
@@ -148,3 +148,11 @@ def parcel_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = parcels(spark).select("polygon", F.explode("segs").alias("s")).select("polygon", "s.*")
     return spatial.outline(segs)
+
+
+@query()
+def street_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points as addresses of ten streets, about 1 degree to 100 km."""
+    p = D.points(spark, sf_dir)
+    records = p.select(F.lit("s").alias("scope"), "id", F.col("label").cast("string").alias("dong"), (F.col("id") % 10).cast("string").alias("road_stem"), (F.col("id") / 10).cast("int").alias("lot_main"), F.lit(None).cast("int").alias("lot_sub"), (36 + F.col("y") / 10_000_000).alias("lat"), (127 + F.col("x") / 10_000_000).alias("lon"))
+    return streets.blocks(records)

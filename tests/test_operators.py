@@ -10,9 +10,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from fenwright.functions import geo, privacy
+from fenwright.functions import address, geo, privacy
 from fenwright.functions import text as X
-from fenwright.operators import bi, clean, cube, graph, learn, route, rules, spatial, state
+from fenwright.operators import bi, clean, cube, graph, learn, route, rules, spatial, state, streets
 from fenwright.sources import tables
 from fenwright.streaming import events
 
@@ -193,7 +193,7 @@ def test_routes(spark):
     total = sum(r[4] for r in rows[:60])
     loads = [sum(r.orders for r in found if r.scope == "s" and r.person == p) for p in range(1, 6)]
     assert all(abs(x - total / 5) <= 0.25 * total / 5 for x in loads)
-    assert {r.people for r in route.allocate(spark.createDataFrame([("s", 1, 10), ("s", 2, 30)], "scope string, cluster int, orders long"), 4).collect()} == {1, 3}
+    assert {r.people for r in route.allocate(spark.createDataFrame([("s", 1, 10, 9), ("s", 2, 30, 9)], "scope string, cluster int, orders long, units long"), 4).collect()} == {1, 3}
     jumps = spark.createDataFrame([("s", 1, 0.0, 0.0, 1), ("s", 2, 100.0, 0.0, 1), ("s", 3, 700.0, 0.0, 1), ("s", 4, 710.0, 0.0, 90)], "scope string, pos long, x double, y double, orders long")
     assert [r.group for r in route.measured(jumps).orderBy("pos").collect()] == [0, 0, 1, 1]
     assert {(r.group, r.island) for r in route.islands(jumps, 2).collect()} == {(0, True), (1, False)}
@@ -277,3 +277,47 @@ def test_versions_and_pasted(spark, tmp_path):
     known = spark.createDataFrame([("12",)], "order_number string")
     got = tables.pasted(spark, "오더번호\tx\n12.0\ty\n12\n\n34\tz", known)
     assert sorted(tuple(r) for r in got.collect()) == [("12", 2, True), ("34", 1, False)]
+
+
+def test_address_parts(spark):
+    v = lambda c: one(spark, c)
+    text = F.lit("대전 중구 계룡로 12-3 (오류동 45-6 아파트)")
+    assert v(address.base(text)) == "대전 중구 계룡로 12-3" and v(address.street_stem(text)) == "대전 중구 계룡로"
+    assert tuple(v(address.lot(text))) == ("오류동", 45, 6) and v(address.locality(text)) == "대전 중구"
+    assert v(address.queries(text)) == ["대전 중구 오류동 45-6", "대전 중구 계룡로 12-3 (오류동 45-6 아파트)", "대전 중구 계룡로 12-3"]
+    assert v(address.lot_hint(F.lit("대전 중구"))) == "" and tuple(v(address.lot(F.lit("x")))) == ("", None, None)
+    assert v(address.parcel_lot(F.lit("3014010100200120003"))) == "산12-3" and v(address.parcel_lot(F.lit("1"))) is None
+    assert v(address._digest(F.lit("대전 1"))) == int.from_bytes("대전 1".encode(), "little") % 10**8
+    known = spark.createDataFrame([("가로 1 (a)", "d", 36.0, 127.0), ("나로 2", "d", 36.2, 127.2)], "address string, dong string, lat double, lon double")
+    got = {r.address: r for r in address.resolve(spark.createDataFrame([("가로 1 (a)", "d"), ("가로 1 (b)", "d"), ("다로 3", "d"), ("다로 3", "e")], "address string, dong string"), known).where("dong = 'd'").collect()}
+    assert {a: r.coord_source for a, r in got.items()} == {"가로 1 (a)": "exact", "가로 1 (b)": "base_match", "다로 3": "district_estimate"}
+    assert abs(got["다로 3"].lat - 36.1) <= 0.003 and (got["가로 1 (b)"].lat, got["가로 1 (b)"].lon) == (36.0, 127.0)
+
+
+def test_street_blocks(spark):
+    rows = [("s", i, "d", "r", i, None, 36.0 + i * 0.0001, 127.0) for i in range(100)] + [("s", 500, "d", "q", None, None, 36.5, 127.0)]
+    df = spark.createDataFrame(rows, "scope string, id long, dong string, road_stem string, lot_main int, lot_sub int, lat double, lon double")
+    # 11 m apart, so the first reaches 4 lots on (the fifth is 55.6 m away); the next run begins there.
+    links = {(r.a, r.b) for r in streets.chains(df).collect()}
+    assert {(0, 1), (0, 4)} <= links and (0, 5) not in links and (5, 6) in links
+    found = {r.id: (r.component, r.piece) for r in streets.blocks(df).collect()}
+    assert found[0] == found[4] == (0, 0) and found[5] == (5, 0) and found[500] == (500, 0)
+    big = spark.createDataFrame([("s", i, "d", "r", 1, None, 36.0, 127.0) for i in range(170)], df.schema)
+    sizes = streets.blocks(big).groupBy("component", "piece").count().collect()
+    assert sorted(r["count"] for r in sizes) == [10, 80, 80]
+    near = streets.neighbours(spark.createDataFrame([(1, 36.0, 127.0), (2, 36.001, 127.001), (3, 36.01, 127.0)], "block int, lat double, lon double"))
+    assert sorted((r.block, r.neighbour) for r in near.collect()) == [(1, 2), (2, 1)]
+    pair = spark.createDataFrame([(("d", "r", 1, 2), ("e", "q", 5, None))], "a struct<dong:string,road_stem:string,lot_main:int,lot_sub:int>, b struct<dong:string,road_stem:string,lot_main:int,lot_sub:int>")
+    assert pair.select(streets.affinity("a", "b", F.lit(100.0)).alias("v")).first().v == 100 + 90 + 50 + 45 + 16
+    parts = route.units(spark.createDataFrame([("s", 1, i, 4) for i in range(10)] + [("s", 2, 1, 3)], "scope string, block int, pos int, orders int"), 10, 8, 13)
+    assert sorted((r.block, r.pos, r.unit) for r in parts.collect())[-2:] == [(1, 9, 4), (2, 1, 0)]
+
+
+def test_context_locks(spark):
+    contexts = spark.createDataFrame([("a", "요금 이체"), ("b", "요금 이체 변경"), ("b", "이체"), ("c", "변경")], "owner string, key string")
+    texts = spark.createDataFrame([(1, "a", "고객 요금 이체 변경"), (2, "b", "요금 이체 변경"), (3, "a", "변경 요청"), (4, "c", "변경")], "id int, own string, normal string")
+    assert sorted(tuple(r) for r in rules.leading_lock(texts, contexts).collect()) == [(1, "b"), (3, "c")]
+    assert one(spark, rules.bracket_segments(F.lit("a [b c] (d) 【】 ( )"))) == ["b c", "d"]
+    origins = [("a", "계량기교체", "scoped_normal", 20, 4, 0, 0, 0), ("a", "짧은", "scoped_normal", 50, 9, 0, 0, 0), ("a", "두 단어", "scoped_normal", 10, 3, 0, 0, 0), ("a", "틀린 것", "scoped_normal", 10, 3, 1, 0, 0), ("a", "세 단어 문구", "auto_normal", 0, 0, 0, 10, 0), ("a", "남의 세 단어", "auto_normal", 0, 0, 0, 10, 2), ("a", "함께 쓴", "scoped_normal", 30, 9, 0, 0, 0), ("b", "함께 쓴", "scoped_normal", 30, 9, 0, 0, 0), ("a", "손 으로", "manual", 99, 9, 0, 99, 0)]
+    df = spark.createDataFrame(origins, "owner string, value string, role string, support int, months int, error_hits int, normal_support int, other_frequency int")
+    assert sorted(r.value for r in rules.strict_contexts(df).collect()) == ["계량기교체", "두 단어", "세 단어 문구"]
