@@ -109,6 +109,20 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.judge(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '{WORD}') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(4, len(w)) - 1), ' ') AS s
+      FROM d, LATERAL (SELECT unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.judge(table(spark, sf_dir, "documents"))
 
@@ -144,10 +158,44 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _rules_sql() -> str:
+    """(rule, place, cutoff) of the whole grid, and each document's figure of each rule."""
+    return ", ".join(f"('{name}', {i}, {c})" for name, _, _, grid in quality_rules.RULES for i, c in enumerate(grid))
+
+
+def _figures_sql() -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, lang, '{name}' AS rule, CASE WHEN {d} > 0 THEN {n}::DOUBLE / {d} ELSE 0 END AS figure FROM f WHERE NOT base_failed" for name, n, d, _ in quality_rules.RULES)
+
+
+# A cutoff's exact upper bound is within the risk if so few rejections or fewer would be rarer at the risk than the error allows.
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 2] AS x FROM d, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM g) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0)::BIGINT AS n_lines
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id))),
+figures AS ({_figures_sql()}),
+grid(rule, place, cutoff) AS (VALUES {_rules_sql()}),
+judged AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+cells AS (SELECT lang, rule, place, cutoff, count(*) FILTER (q > 0) AS n, count(*) FILTER (q > 0 AND figure > cutoff) AS k, count(*) FILTER (q <= 0) AS bad, count(*) FILTER (q <= 0 AND figure > cutoff) AS hit
+  FROM figures JOIN judged USING (doc_id) JOIN grid USING (rule) GROUP BY ALL),
+tests AS (SELECT *, {quality_rules.DELTA} / ((SELECT count(DISTINCT coalesce(lang, chr(0))) FROM cells) * (SELECT count(*) FROM grid)) AS error, {quality_rules.RISK} / {len(quality_rules.RULES)} AS risk FROM cells),
+tails AS (SELECT lang, rule, place, cutoff, error, n, k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(risk) + (n - i) * ln(1 - risk))) AS tail
+  FROM tests, LATERAL (SELECT unnest(range(0, k + 1)) AS i) WHERE k < n AND hit * greatest(n, 1) > k * greatest(bad, 1) GROUP BY ALL),
+cutoffs AS (SELECT lang, rule, max_by(cutoff, place) AS cutoff FROM tails WHERE tail <= error GROUP BY lang, rule),
+rejected AS (SELECT DISTINCT doc_id FROM figures JOIN cutoffs ON figures.rule = cutoffs.rule AND figures.lang IS NOT DISTINCT FROM cutoffs.lang WHERE figure > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_token_output, op2_url_filter, op3_suffix_dedup, op4_decontaminate, op5_html_extract, op6_warc, op7_near_dedup, op8_secret_scan, op9_mix_sources, op10_quality_rules)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op6_warc": OP6_SQL, "op4_decontaminate": OP4_SQL, "op9_mix_sources": OP9_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_mix_sources": OP9_SQL, "op10_quality_rules": OP10_SQL}
