@@ -117,7 +117,11 @@ def with_header(cells: DataFrame, signature: Sequence[str], columns: Sequence[st
     return below.select("path", *(value(c).alias(c) for c in columns)).na.drop(how="all", subset=list(columns))
 
 
-def matching_workbooks(files: DataFrame, pattern: str = r"^(H\d{3})_(\d{4}\.\d{2})_안전점검\.xlsx$") -> DataFrame:
+# Fixed value: names of the monthly workbooks.
+WORKBOOK_NAME = r"^(H\d{3})_(\d{4}\.\d{2})_안전점검\.xlsx$"
+
+
+def matching_workbooks(files: DataFrame, pattern: str = WORKBOOK_NAME) -> DataFrame:
     """(path, center, month) of files (path) whose names fit."""
     name = F.element_at(F.split("path", "/"), -1)
     return files.where(name.rlike(pattern)).select("path", F.regexp_extract(name, pattern, 1).alias("center"), F.regexp_extract(name, pattern, 2).alias("month"))
