@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from fenwright.operators.cube import rate
 
-TOTALS = (F.sum, "total_count"), (F.sum, "error_count")
-
 
 def sums() -> list[Column]:
     return [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_count", "error_count")]
