@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fenwright.llm import _text
 
 #: The vocabulary: strict terms, and soft terms with weights.
 STRICT = ("porn", "porno", "xxx", "hentai", "milf", "camgirls", "escorts", "nsfw", "xvideos", "bdsm")
