@@ -309,7 +309,7 @@ def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     # 3. Between the components that some key still joins: first the nearest class of another component, while that merges any.
     def still_open() -> tuple[DataFrame, DataFrame]:
-        weights = found.groupBy("component").agg(F.count("*").alias("weight"))
+        weights = cut(found.groupBy("component").agg(F.count("*").alias("weight")), "weights")  # tables, so that Spark can split hot components in joins
         labelled = members.select("key", "n", "set").join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         left = labelled.join(open_keys, "key").join(weights, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
@@ -339,7 +339,7 @@ def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
         found = connected_components(links.unionByName(more), "a", "b")
 
     rows = sketched.select("doc_id", "th", "n_shingles", "set").join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    smallest = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    smallest = cut(rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest")), "smallest")
     return rows.join(smallest, "component", "left").select("doc_id", "th", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
