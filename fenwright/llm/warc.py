@@ -1,6 +1,7 @@
 """WARC archives: written with segmented records and chunked bodies, read back by reassembly.
 
-Writing: one response or revisit record for each page. Of pages with equal payloads (of at least
+Writing: one response or revisit record for each page, a file for each partition of the join that finds equal payloads (so pages
+are shuffled once; Spark's advisory partition size sets the files' size). Of pages with equal payloads (of at least
 `least` bytes) the one with the largest id is the response and the others revisit it. A
 record's block is an HTTP response; bodies over CHUNK bytes are framed in chunks. A block over
 SEGMENT bytes is cut into a first record and continuation records, which name the first
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 from fenwright.llm import _store, _text
 
 SEGMENT, CHUNK = 16 << 10, 4 << 10
-FILE_BYTES = 24 << 20
 END = b"\r\n\r\n"
 PARSED = "origin string, number int, total long, type string, page_id long, url string, digest string, refers_to long, block binary"
 
@@ -95,7 +95,7 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, c
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.when(F.length("payload") >= least, F.sha1("payload")))
     firsts = rows.where("sha is not null").groupBy("sha").agg(F.max("page_id").alias("first"))
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    firsts = _store.written(firsts, "warc-firsts")  # a table, so that Spark can split a payload of very many pages in the join
     joined = rows.join(firsts, "sha", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,7 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, c
                 out += records(r["page_id"], r["url"], r["payload"], _digest(r["payload"]), r["first"] if r["revisit"] else None, r["revisit"], f"{task}/{n}", segment, chunk)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    made = joined.select("page_id", "url", "payload", "first", "revisit").repartition(max(1, -(-total // FILE_BYTES))).mapInArrow(run, "value binary")
+    made = joined.select("page_id", "url", "payload", "first", "revisit").mapInArrow(run, "value binary")
     made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
