@@ -1,6 +1,7 @@
 """Secret scan: candidate strings, and a random forest that removes false positives. DataFrame operations only.
 
-Candidates are runs of token characters of LEAST length or more.
+Candidates are runs of token characters of LEAST length or more, with the padding that may follow. A `=` before
+them is not theirs, so that of `name=value` the value is judged, beside its name.
 The forest looks at each candidate's length, its transitions between kinds of characters, the share
 of letters that dictionary words cover, its likeness to a path or name, repetition, and the words
 beside it. It is trained from labelled findings: a table (before, candidate, after, label) that
@@ -25,7 +26,7 @@ LEAST, CONTEXT = 16, 32
 TREES, DEPTH, ROWS, SEED = 24, 6, 20_000, 11
 THRESHOLD = 0.5
 
-CANDIDATE = rf"(?<![A-Za-z0-9_+/=.\-])[A-Za-z0-9_+/=.\-]{{{LEAST},}}"
+CANDIDATE = rf"(?<![A-Za-z0-9_+/.\-])[A-Za-z0-9_+/.\-]{{{LEAST},}}={{0,2}}"
 #: Words that stand beside secrets, and beside strings that only look like them.
 NEAR_SECRET = r"(?i)(?:secret|token|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?:orization)?|bearer|client[_-]?secret)[\"']?\s*(?::=|=>|=|:)?\s*[\"']?$"
 NEAR_OTHER = r"(?i)(?:commit|sha1|sha256|md5|checksum|hash|digest|uuid|guid|revision|isbn|order|phone|ref|https?://\S*|www\.\S*|@)[\"']?\s*[:=#]?\s*[\"']?$"
