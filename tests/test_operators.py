@@ -275,8 +275,12 @@ def test_versions_and_pasted(spark, tmp_path):
         store.write({"t": spark.range(1)}, expected=first)
     assert store.current() == second
     known = spark.createDataFrame([("12",)], "order_number string")
-    got = tables.pasted(spark, "오더번호\tx\n12.0\ty\n12\n\n34\tz", known)
+    got = tables.pasted(spark, "title\nx\t오더 번호\ny\t12.0\nz\t12\n\n\"a\nb\"\t34", known)
     assert sorted(tuple(r) for r in got.collect()) == [("12", 2, True), ("34", 1, False)]
+    got = tables.pasted(spark, "a\t9\t12.0\nb\t34\n12\t12", known)  # without a header: known orders only, one a row
+    assert [tuple(r) for r in got.collect()] == [("12", 2, True)]
+    with pytest.raises(Exception, match="at most 500"):
+        tables.pasted(spark, "오더번호\n" + "\n".join(map(str, range(501))), known).collect()
 
 
 def test_address_parts(spark):
