@@ -43,13 +43,19 @@ def tokens(normalised: Column) -> Column:
     return F.filter(F.split(normalised, " "), lambda t: F.length(t) >= 2)
 
 
-def ngrams(words: Column, size: int) -> Column:
-    """The set of `size` consecutive words, joined by spaces. Shifted copies of the list are zipped, so each is cut once."""
+def runs(words: Column, size: int) -> Column:
+    """All `size` consecutive words, joined by spaces. Shifted copies of the list are zipped, so each is cut once. Give a
+    column: an expression would be worked out for every copy."""
     many = F.greatest(F.size(words) - (size - 1), F.lit(0))
     out = F.slice(words, F.lit(1), many)
     for shift in range(1, size):
         out = F.zip_with(out, F.slice(words, F.lit(shift + 1), many), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(out)
+    return out
+
+
+def ngrams(words: Column, size: int) -> Column:
+    """The set of `size` consecutive words, joined by spaces."""
+    return F.array_distinct(runs(words, size))
 
 
 def informative(words: Column, generic: Sequence[str] = GENERIC_LIKENESS) -> Column:

@@ -11,21 +11,30 @@ from fenwright.functions import text as X
 MIN_SCORE, MAX_NORMAL, MIN_MARGIN, MIN_INFORMATIVE, PREFILTER = 0.75, 0.55, 0.20, 2, 30
 
 
+#: Up to so many rules a rule table is broadcast, so that the n-grams of texts, of which there are many, are not shuffled to meet it.
+FEW_RULES = 200_000
+
+
+def few(rules: DataFrame) -> DataFrame:
+    """rules, to be broadcast if their counted number allows; beyond that Spark chooses."""
+    return F.broadcast(rules) if rules.limit(FEW_RULES + 1).count() <= FEW_RULES else rules
+
+
 def owners(texts: DataFrame, rules: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
     """(id, owners): texts (id, normal) against rules (owner, kind, key, key2).
 
     Kinds: token and phrase (consecutive words), combo (two such, both present), sentence (the whole text).
-    Texts meet rules by equal n-grams, never by scanning; rule tables are small and Spark broadcasts
-    them as far as they are.
+    Texts meet rules by equal n-grams, never by scanning.
     """
-    words = X.words(F.col("normal"))
-    grams = texts.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[X.ngrams(words, n) if n > 1 else X.ngrams(X.tokens(F.col("normal")), 1) for n in sizes])))).alias("key"))
-    single = grams.join(rules.where("kind in ('token', 'phrase')").select("key", "owner"), "key").select("id", "owner")
-    combos = rules.where("kind = 'combo'").select("owner", F.col("key").alias("a"), F.col("key2").alias("b")).distinct()
-    halves = combos.select("owner", "a", "b", F.explode(F.array("a", "b")).alias("key"))
-    both = grams.join(halves, "key").groupBy("id", "owner", "a", "b").agg(F.count_distinct("key").alias("n")).where("n = 2 or a = b").select("id", "owner")
+    listed = texts.select("id", X.words(F.col("normal")).alias("w"))
+    grams = listed.select("id", F.explode(F.flatten(F.array(*[X.runs(F.col("w"), n) if n > 1 else F.filter("w", lambda t: F.length(t) >= 2) for n in sizes]))).alias("key"))
+    single = rules.where("kind in ('token', 'phrase')").select("owner", "key", F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
+    combos = rules.where("kind = 'combo'").select("owner", F.explode(F.array_distinct(F.array("key", "key2"))).alias("part"), F.col("key").alias("a"), F.col("key2").alias("b")).withColumnRenamed("part", "key")
+    # One pass over the n-grams serves single patterns and the halves of combinations.
+    met = grams.join(few(single.unionByName(combos).distinct()), "key").groupBy("id", "owner", "a", "b").agg(F.count_distinct("key").alias("n"))
+    found = met.where("a is null or a = b or n = 2").select("id", "owner")
     whole = texts.join(rules.where("kind = 'sentence'").select(F.col("key").alias("normal"), "owner"), "normal").select("id", "owner")
-    return single.unionByName(both).unionByName(whole).groupBy("id").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+    return found.unionByName(whole).groupBy("id").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
 
 
 def other_than(owners: Column, own: Column) -> Column:
@@ -50,9 +59,10 @@ def decide(rows: DataFrame) -> DataFrame:
 
 def context_conflict(texts: DataFrame, contexts: DataFrame) -> DataFrame:
     """(id, foreign): texts (id, own, normal) with two context patterns of one foreign owner, neither inside the other."""
-    words = X.words(F.col("normal"))
-    grams = texts.select("id", "own", F.explode(F.array_distinct(F.flatten(F.array(*[X.ngrams(words, n) for n in (1, 2, 3, 4)])))).alias("key"))
-    hits = grams.join(contexts.select("owner", "key"), "key").where("owner <> own").select("id", "owner", "key", F.split("key", " ").alias("parts"))
+    listed = texts.select("id", "own", X.words(F.col("normal")).alias("w"))
+    grams = listed.select("id", "own", F.explode(F.flatten(F.array(*[X.runs(F.col("w"), n) for n in (1, 2, 3, 4)]))).alias("key"))
+    met = grams.join(few(contexts.select("owner", "key")), "key").where("owner <> own").select("id", "owner", "key").distinct()
+    hits = met.withColumn("parts", F.split("key", " "))
     a, b = hits.alias("a"), hits.alias("b")
     pairs = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.owner") == F.col("b.owner")) & (F.col("a.key") < F.col("b.key")))
     apart = (F.size(F.array_except("a.parts", "b.parts")) > 0) & (F.size(F.array_except("b.parts", "a.parts")) > 0)
