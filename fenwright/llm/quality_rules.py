@@ -7,7 +7,8 @@ fixed before any data is seen, so all labelled documents serve as the holdout. F
 error probability is divided by the number of all bounds examined (Bonferroni over strata, rules
 and cutoffs), and the risk by the number of rules, so that with probability 1 - delta no
 stratum's rules together reject more than `risk` of its good documents. A rule without such a cutoff, or that
-would reject no larger a share of bad than of good documents there, stays off.
+would reject no larger a share of bad than of good documents there, stays off. So `judge`, whose SQL states it;
+`filter_documents`, the stage of the pipeline, gets by with fewer labels (`joint_thresholds`).
 
 Cases: null or empty text has no words and fails the base rules (n_words < 50). Labels without a
 quality, or for unknown documents, count for nothing; a document labelled more than once is good
@@ -126,33 +127,39 @@ def base_failed(prefix: str = "") -> Column:
     return (n < 50) | (100 * r > 50 * n)
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id: str = "doc_id", text: str = "text", stratum: str = "lang") -> dict[str | None, dict[str, float]]:
-    """The cutoff of each rule by stratum, learnt from every labelled document that passes the base rules.
+def _cells(docs: DataFrame, labels: DataFrame, id: str, text: str, stratum: str) -> dict[tuple[str | None, bool, tuple[int, ...]], int]:
+    """How many labelled documents that pass the base rules there are of each stratum, label and, by rule, number of cutoffs that the figure is beyond.
 
-    What comes to the driver: one row for each stratum, rule, grid cell and label, whatever the number of documents.
+    What comes to the driver: one row for each of these, 80,190 at most a stratum and label, whatever the number of documents.
     """
     judged = labels.select(F.col(id).alias("id"), F.col("quality").alias("q")).where("id is not null and q is not null").groupBy("id").agg(F.min("q").alias("q"))
     measured = features(docs.select(F.col(id).alias("id"), F.col(stratum).alias("stratum"), F.col(text).alias("text")), keep=["id", "stratum"]).where(~base_failed())
-    cells = F.array(*[F.struct(F.lit(name).alias("rule"), sum((_figure(n, d, "") > c).cast("int") for c in grid).alias("beyond")) for name, n, d, grid in RULES])
-    counted = (
-        measured.select("id", "stratum", cells.alias("cells"))
-        .join(judged, "id")
-        .select("stratum", "q", F.explode("cells").alias("cell"))
-        .groupBy("stratum", "cell.rule", "cell.beyond", (F.col("q") > 0).alias("good"))
-        .count()
-        .collect()
-    )
-    # With the grid ordered from lenient to strict, a figure beyond `b` cutoffs is rejected by the first b.
-    strata = {r["stratum"] for r in counted}
+    beyond = F.array(*[sum((_figure(n, d, "") > c).cast("int") for c in grid) for _, n, d, grid in RULES])
+    rows = measured.select("id", "stratum", beyond.alias("beyond")).join(judged, "id").groupBy("stratum", (F.col("q") > 0).alias("good"), "beyond").count().collect()
+    return {(r["stratum"], r["good"], tuple(r["beyond"])): r["count"] for r in rows}
+
+
+def _is_beyond(rule: int, place: int, beyond: tuple[int, ...]) -> bool:
+    """Grids go from lenient to strict, so a figure beyond `b` cutoffs is beyond the last b of them."""
+    return beyond[rule] >= len(RULES[rule][3]) - place
+
+
+def thresholds(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id: str = "doc_id", text: str = "text", stratum: str = "lang") -> dict[str | None, dict[str, float]]:
+    """The cutoff of each rule by stratum, learnt from every labelled document that passes the base rules.
+
+    Each rule is certified alone, with its share of the risk, and each cutoff with its share of the error.
+    """
+    counted = _cells(docs, labels, id, text, stratum)
+    strata = {s for s, _, _ in counted}
     error = delta / max(1, len(strata) * sum(len(g) for *_, g in RULES))
     out: dict[str | None, dict[str, float]] = {}
     for s in strata:
         out[s] = {}
-        for name, _, _, grid in RULES:
-            by = {(r["good"], r["beyond"]): r["count"] for r in counted if r["stratum"] == s and r["rule"] == name}
-            total = {g: sum(v for (good, _), v in by.items() if good == g) for g in (True, False)}
+        of = {g: [(beyond, n) for (at, good, beyond), n in counted.items() if at == s and good == g] for g in (True, False)}
+        total = {g: sum(n for _, n in of[g]) for g in (True, False)}
+        for r, (name, _, _, grid) in enumerate(RULES):
             for i, cutoff in reversed(list(enumerate(grid))):
-                lost = {g: sum(v for (good, b), v in by.items() if good == g and b > i) for g in (True, False)}
+                lost = {g: sum(n for beyond, n in of[g] if _is_beyond(r, i, beyond)) for g in (True, False)}
                 useful = lost[False] * max(total[True], 1) > lost[True] * max(total[False], 1)
                 if useful and upper_bound(lost[True], total[True], error) <= risk / len(RULES):
                     out[s][name] = cutoff
@@ -160,6 +167,58 @@ def thresholds(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: fl
     return out
 
 
+def _path(bad: list[tuple[tuple[int, ...], int]]) -> list[dict[int, int]]:
+    """The places of the cutoffs by rule, one step after another, each stricter: always the step that rejects most further
+    bad documents, to the most lenient cutoff that does. It sees no good document, so those can test it."""
+    now: dict[int, int] = {}
+    out, left = [], bad
+    while left:
+        gains = [(sum(n for b, n in left if _is_beyond(r, i, b)), r, i) for r, rule in enumerate(RULES) for i in range(now.get(r, -1) + 1, len(rule[3]))]
+        gain, r, i = max(gains, key=lambda x: (x[0], -x[2], -x[1]), default=(0, 0, 0))
+        if not gain:
+            break
+        # The way there goes by each cutoff that rejects more than the one before.
+        for j in range(now.get(r, -1) + 1, i + 1):
+            rest = [x for x in left if not _is_beyond(r, j, x[0])]
+            if len(rest) < len(left):
+                now = now | {r: j}
+                out.append(now)
+                left = rest
+    return out
+
+
+def _strictest(good: list[tuple[tuple[int, ...], int]], path: list[dict[int, int]], risk: float, error: float) -> dict[str, float]:
+    """The last step of the path before the first one whose bound is above the risk."""
+    total, found = sum(n for _, n in good), {}
+    for step in path:
+        lost = sum(n for b, n in good if any(_is_beyond(r, i, b) for r, i in step.items()))
+        if upper_bound(lost, total, error) > risk:
+            break
+        found = step
+    return {RULES[r][0]: RULES[r][3][i] for r, i in found.items()}
+
+
+def labels_needed(risk: float, error: float) -> int:
+    """Good documents without which no cutoff can be certified, even if it rejects none of them."""
+    return math.ceil(math.log(error) / math.log1p(-risk))
+
+
+def joint_thresholds(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id: str = "doc_id", text: str = "text", stratum: str = "lang") -> dict[str | None, dict[str, float]]:
+    """The cutoffs of all rules together by stratum: what they reject together is certified, with the whole risk.
+
+    A stratum's cutoffs are tightened along a path that its bad documents alone set, and its good ones test step after step
+    until the first failure, so each step has the stratum's whole error (fixed sequence). A stratum with fewer than
+    `labels_needed` good documents takes the cutoffs of all strata together, tested in the same way with an error of
+    their own: for such strata the promise is one over the good documents of all strata, not over theirs.
+    """
+    counted = _cells(docs, labels, id, text, stratum)
+    strata = {s for s, _, _ in counted}
+    error = delta / (len(strata) + 1)
+    of = lambda good, s=None, all=False: [(b, n) for (at, g, b), n in counted.items() if g == good and (all or at == s)]
+    pooled = _strictest(of(True, all=True), _path(of(False, all=True)), risk, error)
+    return {s: _strictest(of(True, s), _path(of(False, s)), risk, error) if sum(n for _, n in of(True, s)) >= labels_needed(risk, error) else pooled for s in strata}
+
+
 def rejected(cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang", prefix: str = "") -> Column:
     """Whether a rule of the row's stratum is beyond its cutoff; a stratum without cutoffs rejects nothing."""
     figure = {name: _figure(n, d, prefix) for name, n, d, _ in RULES}
@@ -182,7 +241,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of docs that are kept, with their own columns only."""
-    cutoffs = thresholds(docs, labels, risk, delta)
+    cutoffs = joint_thresholds(docs, labels, risk, delta)
     prefix = X.fresh(docs, "q_")
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"

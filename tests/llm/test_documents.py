@@ -105,6 +105,36 @@ def test_quality_thresholds_keep_their_promise(spark):
     assert not any(k for i, k in kept.items() if not i % 4)
 
 
+def test_quality_cutoffs_are_counted_from_the_strict_end(spark):
+    # Symbols: half of the good documents have 0.3 a word, bad ones 2, so only cutoffs of 0.3 or more keep the good ones.
+    text = lambda i: prose(80, i) + " #" * 24 if i % 4 in (1, 2) else prose(80, i) if i % 4 else " ".join(f"{w}%%" for w in prose(80, i).split())
+    docs = spark.createDataFrame([(i, text(i), "en") for i in range(6000)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(6000)], "doc_id long, quality int")
+    for f in (quality_rules.thresholds, quality_rules.joint_thresholds):
+        assert 24 / 104 <= f(docs, labels)["en"]["symbols"] <= 2
+    kept = {r.doc_id for r in quality_rules.judge(docs, labels).where("kept").collect()}
+    assert kept == {i for i in range(6000) if i % 4}
+
+
+def test_quality_stage_certifies_few_labels(spark):
+    # 600 good documents are enough for en; 60 are not for es, which takes the cutoffs of both.
+    rows = [(i, prose(80, i) if i % 4 else " ".join(f"{w}%%" for w in prose(80, i).split()), "en" if i < 800 else "es") for i in range(880)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(880)], "doc_id long, quality int")
+    assert {r.doc_id for r in quality_rules.filter_documents(docs, labels).collect()} == {i for i in range(880) if i % 4}
+    assert quality_rules.labels_needed(0.01, 0.05 / 3) == 408
+    few = quality_rules.joint_thresholds(docs.where("doc_id < 400"), labels)
+    assert few == {"en": {}}
+
+
+def test_quality_path_stops_at_the_first_failure():
+    # Rules: symbols rejects bad documents at any cutoff; the strictest one good document in ten too.
+    bad, good = [((10, 0, 0, 0, 0), 50), ((1, 0, 0, 0, 0), 20)], [((0, 0, 0, 0, 0), 900), ((1, 0, 0, 0, 0), 100)]
+    path = quality_rules._path(bad)
+    assert path == [{0: 0}, {0: 9}]
+    assert quality_rules._strictest(good, path, 0.01, 0.01) == {"symbols": 1.0}
+
+
 def components(rows, size, percent):
     sets = [shingles(t, size) for _, t in rows]
     parent = list(range(len(rows)))
