@@ -1,7 +1,8 @@
 """Secret scan: candidate strings, and a random forest that removes false positives. DataFrame operations only.
 
 Candidates are runs of token characters of LEAST length or more, with the padding that may follow. A `=` before
-them is not theirs, so that of `name=value` the value is judged, beside its name.
+them is not theirs, nor is one after them with a token character behind it, so that of `name=value` the value is
+judged, beside its name, which may be a candidate itself.
 The forest looks at each candidate's length, its transitions between kinds of characters, the share
 of letters that dictionary words cover, its likeness to a path or name, repetition, and the words
 beside it. It is trained from labelled findings: a table (before, candidate, after, label) that
@@ -26,9 +27,9 @@ LEAST, CONTEXT = 16, 32
 TREES, DEPTH, ROWS, SEED = 24, 6, 20_000, 11
 THRESHOLD = 0.5
 
-CANDIDATE = rf"(?<![A-Za-z0-9_+/.\-])[A-Za-z0-9_+/.\-]{{{LEAST},}}={{0,2}}"
+CANDIDATE = rf"(?<![A-Za-z0-9_+/.\-])[A-Za-z0-9_+/.\-]{{{LEAST},}}(?:={{1,2}}(?!=*[A-Za-z0-9_+/.\-]))?"
 #: Words that stand beside secrets, and beside strings that only look like them.
-NEAR_SECRET = r"(?i)(?:secret|token|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?:orization)?|bearer|client[_-]?secret)[\"']?\s*(?::=|=>|=|:)?\s*[\"']?$"
+NEAR_SECRET = r"(?i)(?:secret(?:[_-]?key)?|token|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?:orization)?|bearer|client[_-]?secret)[\"']?\s*(?::=|=>|=|:)?\s*[\"']?$"
 NEAR_OTHER = r"(?i)(?:commit|sha1|sha256|md5|checksum|hash|digest|uuid|guid|revision|isbn|order|phone|ref|https?://\S*|www\.\S*|@)[\"']?\s*[:=#]?\s*[\"']?$"
 PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|ya29\.|eyJ|SG\.|npm_|dop_v1_)"
 PLACEHOLDER = r"(?i)example|sample|dummy|your|xxxx|test|placeholder|changeme|redacted|0000|1234567|abcdef"
@@ -48,10 +49,15 @@ def findings_of(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     sides = F.transform("gaps", lambda g: F.struct(F.substring(g, -CONTEXT, CONTEXT).alias("tail"), F.substring(g, 1, CONTEXT // 2).alias("head"), F.length(g).cast("long").alias("n")))
     short = cut.select("doc_id", "all", sides.alias("sides"), F.size("all").alias("count"))
     found = short.select("doc_id", F.posexplode("all").alias("nth", "candidate"), "sides", "all")
-    before = F.element_at("sides", F.col("nth") + 1)
+    # A window reaches over candidates: two of them fill it, as LEAST is half of CONTEXT.
+    side = lambda k, end: F.coalesce(F.try_element_at("sides", F.col("nth") + 1 + k)[end], F.lit(""))
+    beside = lambda k: F.coalesce(F.get("all", F.col("nth") + k), F.lit(""))
+    ahead = lambda k: F.when(F.col("nth") + k >= 0, F.concat(F.element_at("sides", F.greatest(F.lit(1), F.col("nth") + 1 + k))["tail"], beside(k))).otherwise("")
+    before = F.substring(F.concat(ahead(-2), ahead(-1), side(0, "tail")), -CONTEXT, CONTEXT)
+    after = F.substring(F.concat(side(1, "head"), beside(1)), 1, CONTEXT // 2)
     # Positions add up what stands before: only lengths, and only for texts with findings.
     start = F.aggregate(F.slice("sides", F.lit(1), F.col("nth") + 1), F.lit(0).cast("long"), lambda a, s: a + s.n) + F.aggregate(F.slice("all", F.lit(1), F.col("nth")), F.lit(0).cast("long"), lambda a, c: a + F.length(c))
-    return found.select("doc_id", start.alias("start"), before["tail"].alias("before"), "candidate", F.element_at("sides", F.col("nth") + 2)["head"].alias("after"))
+    return found.select("doc_id", start.alias("start"), before.alias("before"), "candidate", after.alias("after"))
 
 
 def _share(c: Column, pattern: str) -> Column:
@@ -91,9 +97,12 @@ def features(findings: DataFrame) -> DataFrame:
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """(before, candidate, after, label), made by rule: hashes in the forms of secrets, and what is taken for them."""
-    n = spark.range(rows).withColumn("h", F.sha1(F.col("id").cast("string"))).withColumn("g", F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256)))).withColumn("kind", F.col("id") % 20)
-    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("id") / 20 % len(xs)).cast("int") + 1)
+    n = spark.range(rows).withColumn("h", F.sha1(F.col("id").cast("string"))).withColumn("g", F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256)))).withColumn("kind", F.col("id") % 24)
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("id") / 24 % len(xs)).cast("int") + 1)
     key = pick('token = "', 'api_key: "', "secret='", 'password = "', "Authorization: Bearer ", "ACCESS_KEY=", 'client_secret = "', "TOKEN = \"")
+    names = "AWS_SECRET_ACCESS_KEY GITHUB_ACCESS_TOKEN STRIPE_SECRET_KEY DATABASE_PASSWORD spring.datasource.password SLACK_BOT_TOKEN_MAIN google_client_secret".split()
+    long_key = pick(*(n + sign for sign in ("=", ' = "', '="', ": ", " = ") for n in names), "https://a.example.com/q?api_key=", "//www.example.com/login?token=")
+    other_key = pick("GIT_COMMIT_CHECKSUM=", 'BUILD_REVISION_SHA256 = "', "package_lock_checksum: ", "IMAGE_CONTENT_DIGEST=", 'release.artifact.md5 = "')
     plain = pick("and then ", "see ", "was found in the ", "of ", "", ", der ", " les ")
     word = F.concat_ws("", *[F.element_at(F.array(*map(F.lit, WORDS)), (F.conv(F.substring("h", 1 + 2 * i, 2), 16, 10).cast("int") % len(WORDS)) + 1) for i in range(6)])
     digits = F.regexp_replace("h", "[a-f]", "7")
@@ -106,10 +115,14 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         16: (pick("@", " ", "de."), F.concat(F.lit("mail"), F.substring(digits, 1, 1), F.lit(".example.com")), 0), 17: (pick("uuid: ", "id ", ""), F.concat_ws("-", F.substring("h", 1, 8), F.substring("h", 9, 4), F.substring("h", 13, 4), F.substring("h", 17, 4), F.substring("h", 21, 12)), 0),
         18: (plain, F.concat(F.initcap(F.substring(word, 1, 10)), F.initcap(F.substring(word, 3, 10)), F.substring(digits, 1, 2)), 0), 19: (plain, F.concat(pick("/usr/lib/", "./src/", "/var/", "lib/"), F.substring(word, 1, 6), F.lit("/"), F.substring(word, 4, 4), pick("_", "-", "/"), F.substring(word, 2, 8), F.when(F.col("id") % 3 == 0, F.substring(digits, 1, 1)).otherwise(""), F.lit("/"), F.substring(word, 5, 6), pick(".py", ".js", ".html", "")), 0),
     }
+    cases |= {
+        20: (long_key, F.when(F.col("id") / 24 % 2 < 1, F.col("h")).otherwise(F.substring("g", 1, 40)), 1), 21: (long_key, F.translate(F.substring("g", 3, 24), "+/=", "kR5"), 1),
+        22: (pick("", "export ", "set ", ", ", "- "), F.concat(pick(*names, "GIT_COMMIT_CHECKSUM", "BUILD_REVISION_SHA256", "package_lock_checksum", "APPLICATION_CONFIG_PATH"), pick("", "=")), 0), 23: (other_key, F.col("h"), 0),
+    }
     for k, (b, c, label) in cases.items():
         made = made.when(F.col("kind") == k, F.struct(b.alias("b"), c.alias("c"), F.lit(float(label)).alias("l")))
-    quoted = F.when(F.col("m.b").rlike("[\"']$"), F.substring("m.b", -1, 1)).otherwise(pick(" ", ".", ",", ""))
-    return n.select("id", made.alias("m")).select(F.col("m.b").alias("before"), F.col("m.c").alias("candidate"), quoted.alias("after"), F.col("m.l").alias("label"))
+    quoted = F.when(F.col("m.b").rlike("[\"']$"), F.substring("m.b", -1, 1)).when(F.col("kind") == 22, pick("=7f3a", ' = "', '"Qm9', ": ")).otherwise(pick(" ", ".", ",", ""))
+    return n.select("id", "kind", made.alias("m")).select(F.col("m.b").alias("before"), F.col("m.c").alias("candidate"), quoted.alias("after"), F.col("m.l").alias("label"))
 
 
 def train(labelled: DataFrame, rows: int = ROWS) -> PipelineModel:

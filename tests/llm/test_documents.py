@@ -321,6 +321,25 @@ def test_secrets(spark, empty):
     assert secret_scan.judge(empty).count() == 0
 
 
+def test_secrets_beside_long_names(spark):
+    hexa, base = hashlib.sha1(b"y").hexdigest(), "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ83kLp0Vt5a"
+    forms = ("{}={}", "{} = {}", '{} = "{}"', '{}="{}"', "export {}={} # set")
+    names = ("AWS_SECRET_ACCESS_KEY", "GITHUB_ACCESS_TOKEN", "STRIPE_SECRET_KEY", "DATABASE_PASSWORD")
+    told = [(form.format(name, value), value) for form in forms for name in names for value in (hexa, base)]
+    told += [(f"GIT_COMMIT_CHECKSUM={hexa}", None), ("AWS_SECRET_ACCESS_KEY=", None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(told)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.start, r.candidate) for r in secret_scan.scan(df).collect()) == [(i, t.index(v), v) for i, (t, v) in enumerate(told) if v]
+
+
+def test_secret_windows_are_those_of_the_text(spark):
+    text = f"é {'a' * 16},{'b' * 16}=={'c' * 20}= {'d' * 40}; {'e' * 16}={'f' * 16}"
+    found = secret_scan.findings_of(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [r.candidate for r in found] == ["a" * 16, "b" * 16, "c" * 20 + "=", "d" * 40, "e" * 16, "f" * 16]
+    for r in found:
+        end = r.start + len(r.candidate)
+        assert (r.before, r.after) == (text[max(0, r.start - 32) : r.start], text[end : end + 16])
+
+
 def test_secret_forest_on_held_out_findings(spark):
     model = secret_scan.train(secret_scan.labelled_findings(spark, 4000))
     held_out = secret_scan.labelled_findings(spark, 6000).subtract(secret_scan.labelled_findings(spark, 4000))
