@@ -140,8 +140,7 @@ def people_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def parcel_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = parcels(spark).where("x1 between -3500 and 3500 and y1 between -3500 and 3500")
-    return spatial.neighbours(some).select("a", "b", "relation", F.round("border", 3).alias("border"), F.round("shared", 3).alias("shared"), F.round("centres", 3).alias("centres"))
+    return spatial.neighbours(parcels(spark)).select("a", "b", "relation", F.round("border", 3).alias("border"), F.round("shared", 3).alias("shared"), F.round("centres", 3).alias("centres"))
 
 
 @query()

@@ -325,3 +325,12 @@ def test_context_locks(spark):
     origins = [("a", "계량기교체", "scoped_normal", 20, 4, 0, 0, 0), ("a", "짧은", "scoped_normal", 50, 9, 0, 0, 0), ("a", "두 단어", "scoped_normal", 10, 3, 0, 0, 0), ("a", "틀린 것", "scoped_normal", 10, 3, 1, 0, 0), ("a", "세 단어 문구", "auto_normal", 0, 0, 0, 10, 0), ("a", "남의 세 단어", "auto_normal", 0, 0, 0, 10, 2), ("a", "함께 쓴", "scoped_normal", 30, 9, 0, 0, 0), ("b", "함께 쓴", "scoped_normal", 30, 9, 0, 0, 0), ("a", "손 으로", "manual", 99, 9, 0, 99, 0)]
     df = spark.createDataFrame(origins, "owner string, value string, role string, support int, months int, error_hits int, normal_support int, other_frequency int")
     assert sorted(r.value for r in rules.strict_contexts(df).collect()) == ["계량기교체", "두 단어", "세 단어 문구"]
+
+
+def test_parcel_neighbours_are_of_all_parcels(spark):
+    from fenwright.plans import spatial_queries
+
+    at = {(n % 81, n // 81): n for n in range(81 * 81) if n % 3}
+    expected = {tuple(sorted((n, at[i + di, j + dj]))) for (i, j), n in at.items() for di in (-1, 0, 1) for dj in (-1, 0, 1) if (di or dj) and (i + di, j + dj) in at}
+    got = spatial_queries.parcel_neighbours(spark, "").select("a", "b", "relation").collect()
+    assert len(got) == len(expected) and {tuple(sorted((r.a, r.b))) for r in got} == expected and {r.relation for r in got} == {"touches"}
