@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
-ROWS_PER_BATCH = 500
+BATCH_BYTES = 4 << 20
 
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
@@ -33,9 +33,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows of a batch are few enough that very long texts fit in a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, or one row, so that very long texts fit in a worker's memory.
+
+    All operators set the same bound, so a DataFrame that runs after another operator was called keeps its own.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def fresh(df: DataFrame, name: str) -> str:

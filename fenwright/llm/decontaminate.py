@@ -120,7 +120,7 @@ def occurrences(p: Patterns, t: X.Texts, words: X.Words, h: np.ndarray) -> tuple
 def find(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, prefix: str = "", keep: list[str] | None = None) -> DataFrame:
     """The columns of docs (or those of `keep`), n_words, hits (list of [first, end) word spans) and items (ids), with prefix."""
     spark = docs.sparkSession
-    X.small_batches(spark)
+    X.bounded_batches(spark)
     keep = docs.columns if keep is None else keep
     own = [prefix + c for c in ("n_words", "hits", "items")]
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0

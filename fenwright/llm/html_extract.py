@@ -268,7 +268,7 @@ def judge(pages: DataFrame, train_pages: int = TRAIN_PAGES, smooth: float = 1.0)
     chosen = pages.select("page_id").where("page_id is not null").distinct().orderBy("page_id").limit(train_pages)
     sample = pages.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.max("html").alias("html"))
     weights = train([r["html"] for r in sample.orderBy("page_id").collect()])
-    _text.small_batches(spark)
+    _text.bounded_batches(spark)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

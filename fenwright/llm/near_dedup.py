@@ -8,15 +8,18 @@ here one, so each chunk is entered four times, each time without one of its four
 every pair within the threshold meets under some key. A pair of similarity 0.8 is beyond the
 threshold with a chance of 6e-7, one of 0.85 with 4e-10.
 
-Groups of copies may hold a third of all rows, so pairs are never listed:
+Groups of copies may hold a third of all rows, so pairs are never listed; every step gives at most
+one row for each member of a group it looks at:
 1. Documents of equal sets are one class from the start.
 2. Under each key, every class is held against the smallest one only (if their signatures are
    within the threshold), and components are formed.
-3. Keys that still join several components are searched in blocks. Each class is held against the
-   nearest one of another component (a few rounds, which merge what is easily merged). Then,
-   for every class and every other, larger component, a pair within the threshold makes one
-   request, whatever the number of such pairs. A request holds the class against all members of that component, in blocks,
-   on full sets. So every pair within the threshold is either inside one component or compared.
+3. Keys that still join several components are searched in blocks. Two components with a pair within
+   the threshold, whose sets can reach the similarity at all (by their sizes, and by what they hold
+   in each of BINS parts of the hash space, which bounds the intersection from above), belong to one
+   neighbourhood; a block tells only links that join components not yet joined there.
+4. A neighbourhood is compared on full sets in blocks of SET_VALUES shingles, all blocks with all
+   others, but for the inside of one component. A block again tells only links that join something.
+So every pair within the threshold is either inside one component or compared on its full sets.
 
 Cases: null, empty or blank text has no shingles, is linked with nothing and is its own
 component. Fewer words than a shingle: the whole sequence is one shingle. Repeated rows are
@@ -40,16 +43,15 @@ from fenwright.llm import _text as X
 from fenwright.operators.graph import connected_components
 
 SLOTS, CHUNKS, DISTANCE = 64, 16, 31
-#: A longer signature of one byte a value, for classes that share a key: beyond its distance with a chance of 5e-7 at 0.8.
-FINE_SLOTS, FINE_DISTANCE = 256, 86
 WIDTH = SLOTS // CHUNKS
 assert DISTANCE // CHUNKS == 1
-BLOCK, PROBES = 256, 2048
-BUCKET_BLOCK = 1024
-NEAREST_ROUNDS = 1
+#: Parts of the hash space in which a set's shingles are counted, one byte each; a full byte bounds nothing.
+BINS, FULL = 256, 255
+#: Requests held against one stored text in a task; classes of a key in one block; shingles in one block of full sets.
+PROBES, BUCKET_BLOCK, SET_VALUES = 2048, 1024, 500_000
 
 _rng = np.random.default_rng(7_000_003)
-FACTORS = _rng.integers(1, 1 << 63, FINE_SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(t: X.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,28 +74,23 @@ def shingle_sets(t: X.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.searchsorted(doc[new], np.arange(t.n + 1))
 
 
-def _signatures(values: np.ndarray, begins: np.ndarray, slots: int = SLOTS, kind: type = np.uint16) -> np.ndarray:
-    out = np.empty((len(begins), slots), kind)
-    for k in range(slots):
-        out[:, k] = X.mix(np.minimum.reduceat(values * FACTORS[k], begins)).astype(kind)
+def _signatures(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    out = np.empty((len(begins), SLOTS), np.uint16)
+    for k in range(SLOTS):
+        out[:, k] = X.mix(np.minimum.reduceat(values * FACTORS[k], begins)).astype(np.uint16)
     return out
 
 
-def _fine(texts: DataFrame, size: int) -> DataFrame:
-    """(set, many, fine): size of the set and its longer signature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, t in X.slices(batches, "text"):
-            values, begins = shingle_sets(t, size)
-            fine = _signatures(values, begins[:-1], FINE_SLOTS, np.uint8) if t.n else np.zeros((0, FINE_SLOTS), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(begins), pa.int64()), pa.array([f.tobytes() for f in fine], pa.binary())], names=["set", "many", "fine"])
-
-    return texts.select("set", "text").mapInArrow(run, "set long, many long, fine binary")
+def _bins(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """How many of each set's shingles fall in each part of the hash space, FULL at most."""
+    n = len(begins) - 1
+    cell = np.repeat(np.arange(n), np.diff(begins)) * BINS + (X.mix(values) >> np.uint64(56)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=n * BINS), FULL).astype(np.uint8).reshape(n, BINS)
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, set (hash of the shingle set), sig; set and sig are null for empty sets."""
-    X.small_batches(docs.sparkSession)
+    """doc_id, th (hash of the text), n_shingles, set (hash of the shingle set), sig, bins; set, sig and bins are null for empty sets."""
+    X.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in X.slices(batches, "text"):
@@ -105,13 +102,12 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 sets[full] = X.mix(np.add.reduceat(X.mix(values + X.BASE), begins[full]) + n[full].astype(np.uint64))
                 sig[full] = _signatures(values, begins[full])
             empty = n == 0
-            raw = [None if e else s for e, s in zip(empty.tolist(), np.split(sig, t.n))] if t.n else []
+            raw = [pa.array([None if e else row.tobytes() for e, row in zip(empty.tolist(), rows)], pa.binary()) for rows in (sig, _bins(values, begins))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets.view(np.int64), pa.int64(), mask=empty), pa.array([None if s is None else s.tobytes() for s in raw], pa.binary())],
-                names=["doc_id", "th", "n_shingles", "set", "sig"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets.view(np.int64), pa.int64(), mask=empty), *raw], names=["doc_id", "th", "n_shingles", "set", "sig", "bins"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, set long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, set long, sig binary, bins binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -149,149 +145,182 @@ def _near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("set", "pivot", "sig", "pivot_sig").mapInArrow(run, "set long, pivot long")
 
 
-def _confirmed(requests: DataFrame, stored: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between the set of a request (set, grp) and any stored (set, grp) of its group, on full sets.
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b): those (set, pivot) that are alike on full sets.
 
-    A group's stored texts are few (BLOCK at most). Its requests are dealt out over several tasks when
-    they are many, each with a copy of what is stored. One link a request is enough.
+    The sets held against one pivot are dealt out over several tasks when they are many, each with a copy of the pivot.
     """
-    parts = requests.groupBy("grp").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("parts"))
-    asked = requests.join(parts, "grp").select("set", "grp", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("asks"))
-    held = stored.join(parts, "grp").select("set", "grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"))
-    rows = asked.unionByName(held).join(texts, "set").select("grp", "part", "asks", "set", "text")
-    dealt = rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "asks", "set")
+    parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("parts"))
+    asked = pairs.join(parts, "pivot").select("set", "pivot", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("asks"))
+    held = parts.select(F.col("pivot").alias("set"), "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"))
+    rows = asked.unionByName(held).join(texts, "set").select("pivot", "part", "asks", "set", "text")
+    dealt = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, names, values, index = None, [], [], None
+        stored = np.zeros(0, np.uint64)
         for batch, t in X.slices(batches, "text"):
             flat, begins = shingle_sets(t, size)
-            a, b = [], []
-            for i, (grp, part, asks, name) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(4)))):
-                if (grp, part) != group:
-                    group, names, values, index = (grp, part), [], [], None
+            hit = np.zeros(t.n, bool)
+            for i, asks in enumerate(np.asarray(batch.column(2)).tolist()):
                 own = flat[begins[i] : begins[i + 1]]
                 if not asks:
-                    names.append(name)
-                    values.append(own)
-                    continue
-                if not names:
+                    stored = own
                     continue
-                if index is None:
-                    lengths = np.array([len(v) for v in values])
-                    all_values = np.concatenate(values)
-                    order = np.argsort(all_values, kind="stable")
-                    index = all_values[order], np.repeat(np.arange(len(names)), lengths)[order], lengths
-                where, of, lengths = index
-                lo, hi = np.searchsorted(where, own, "left"), np.searchsorted(where, own, "right")
-                n = hi - lo
-                common = np.bincount(of[np.repeat(lo, n) + X.spread(n)], minlength=len(names))
-                hit = np.flatnonzero(100 * common >= percent * (lengths + len(own) - common))
-                hit = [j for j in hit if names[j] != name]
-                if hit:
-                    a.append(name)
-                    b.append(names[hit[0]])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                at = np.minimum(np.searchsorted(stored, own), len(stored) - 1)
+                common = int((stored[at] == own).sum())
+                hit[i] = 100 * common >= percent * (len(own) + len(stored) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0)], names=["a", "b"]).filter(pa.array(hit))
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Rows (key, n, set, many, fine, component, weight) dealt out so that any two of one key meet in some (key, lo, hi):
+    """Rows (key, lo, hi, set, component, many, sig, bins) dealt out so that any two of one key meet in some (key, lo, hi):
     keys of many classes are cut into blocks, and each pair of blocks is one group."""
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set"), blocks).cast("int")
     rows = members.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "set", "component", "weight", "many", "fine")
+    rows = rows.select("key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "component", "many", "sig", "bins")
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "component")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(set, component, weight, set sizes, fine signatures) of each (key, lo, hi) that has more than one component."""
-
-    def arrays(held: list[pa.RecordBatch]) -> tuple | None:
-        t = pa.Table.from_batches(held)
-        name, comp, weight, many = (np.asarray(t.column(c).combine_chunks()) for c in ("set", "component", "weight", "many"))
-        if (comp == comp[0]).all():
-            return None
-        return name, comp, weight, many, np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE_SLOTS)
-
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each value of the first `keys` columns, which come one after another."""
     group, held = None, []
     for batch in batches:
-        key = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])
+        key = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(keys)])
         cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
             if hi > lo:
                 now = tuple(key[:, lo].tolist())
                 if now != group:
-                    if held and (found := arrays(held)):
-                        yield found
+                    if held:
+                        yield pa.Table.from_batches(held)
                     group, held = now, []
                 held.append(batch.slice(lo, hi - lo))
-    if held and (found := arrays(held)):
-        yield found
-
-
-def _alike(many: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these sizes can be as similar as `percent` at all."""
-    return 100 * np.minimum(many, others) >= percent * np.maximum(many, others)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _nearest(members: DataFrame, percent: int) -> DataFrame:
-    """(set, near): for each class the nearest one of another component under any of its keys, within the threshold."""
+class _Joined:
+    """Which of the items 0, 1, .. are joined, as a label of each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[int, int]] = {}
+    def __init__(self, component: np.ndarray) -> None:
+        self.label = np.unique(component, return_inverse=True)[1]
+        self.left = int(self.label.max()) + 1
 
-        def out() -> pa.RecordBatch:
-            rows = pa.array(list(best), pa.int64()), pa.array([v for _, v in best.values()], pa.int64()), pa.array([d for d, _ in best.values()], pa.int32())
-            best.clear()
-            return pa.RecordBatch.from_arrays(list(rows), names=["set", "near", "distance"])
+    def join(self, a: int, others: np.ndarray) -> list[int]:
+        """Join a with the others; one of them for each label that was another one."""
+        labels, first = np.unique(self.label[others], return_index=True)
+        own = self.label[a]
+        new = labels != own
+        if new.any():
+            to = np.arange(int(self.label.max()) + 1)
+            to[labels[new]] = own
+            self.label = to[self.label]
+            self.left -= int(new.sum())
+        return others[first[new]].tolist()
 
-        for name, comp, _, many, fine in _groups(batches):
-            for at in range(0, len(name), 64):
-                some = slice(at, at + 64)
-                far = (fine[some, None] != fine[None]).sum(-1)
-                far[(comp[some, None] == comp) | ~_alike(many[some, None], many, percent)] = FINE_SLOTS + 1
-                near = far.argmin(1)
-                for u, v, d in zip(name[some].tolist(), name[near].tolist(), far[np.arange(len(near)), near].tolist()):
-                    if d <= FINE_DISTANCE and (u not in best or (d, v) < best[u]):
-                        best[u] = d, v
-            if len(best) > 1 << 18:
-                yield out()
-        yield out()
 
-    return _blocks(members).mapInArrow(run, "set long, near long, distance int").groupBy("set").agg(F.min_by("near", F.struct("distance", "near")).alias("near"))
+def _alike(many: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be as similar as `percent` at all."""
+    return 100 * np.minimum(many, others) >= percent * np.maximum(many, others)
 
 
-def _requests(members: DataFrame, percent: int) -> DataFrame:
-    """(set, other): each class and each other component that is larger (or as large and greater in number)
-    with a member within the threshold under some key."""
+def _neighbours(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that have a pair within the threshold under some key, as many as join them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for name, comp, weight, many, fine in _groups(batches):
-            out = []
-            for at in range(0, len(name), 64):
-                some = slice(at, at + 64)
-                ahead = (weight[some, None] < weight) | ((weight[some, None] == weight) & (comp[some, None] < comp))
-                i, j = np.nonzero(ahead & (comp[some, None] != comp) & _alike(many[some, None], many, percent))
-                ok = np.zeros(len(i), bool)
-                for k in range(0, len(i), 1 << 14):
-                    ok[k : k + (1 << 14)] = (fine[at + i[k : k + (1 << 14)]] != fine[j[k : k + (1 << 14)]]).sum(-1) <= FINE_DISTANCE
-                out += [p for p in set(zip(name[at + i[ok]].tolist(), comp[j[ok]].tolist())) if p not in seen]
+        for t in _runs(batches, 3):
+            comp, many = (np.asarray(t.column(c).combine_chunks()) for c in ("component", "many"))
+            if (comp == comp[0]).all():
+                continue
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+            bins = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+            joined, out = _Joined(comp), []
+            for i in range(len(comp)):
+                if joined.left == 1:
+                    break
+                j = np.flatnonzero((joined.label != joined.label[i]) & _alike(many[i], many, percent))
+                j = j[(sig[j] != sig[i]).sum(1) <= DISTANCE]
+                if len(j):
+                    least = np.minimum(bins[j], bins[i])
+                    common = least.sum(1, dtype=np.int64)
+                    j = j[(100 * common >= percent * (many[i] + many[j] - common)) | (least == FULL).any(1)]
+                    out += [(int(comp[i]), int(comp[k])) for k in joined.join(i, j)]
+            out = [p for p in out if p not in seen]
             if len(seen) > 1 << 20:
                 seen.clear()
             seen.update(out)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["set", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return _blocks(members).mapInArrow(run, "a long, b long").distinct()
+
+
+def _compared(inside: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one neighbourhood, on full sets, as many as join what is linked there.
+
+    inside: (set, component, area, many). Blocks hold SET_VALUES shingles about, or one class; a component
+    of that size has blocks of its own, which are not held against each other.
+    """
+    sizes = inside.groupBy("area", "component").agg(F.sum("many").alias("values"))
+    owner = F.when(F.col("values") >= SET_VALUES, F.col("component")).otherwise(0)
+    owned = _store.written(sizes.withColumn("large", F.col("values") >= SET_VALUES).withColumn("owner", owner), "near-owners")
+    blocks = owned.groupBy("area", "large", "owner").agg(F.ceil(F.sum("values") / SET_VALUES).cast("int").alias("blocks"))
+    blocks = _store.written(blocks, "near-blocks")
+    each = blocks.select("area", "large", "owner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    one, two = (F.struct("large", "owner", "block").alias(n) for n in "xy")
+    pairs = each.select("area", one).join(each.select("area", two), "area").where("x <= y and not (x.large and y.large and x.owner = y.owner)")
+    pairs = pairs.select("area", F.xxhash64("x").alias("lo"), F.xxhash64("y").alias("hi"))
+    places = pairs.select("area", F.col("lo").alias("at"), "lo", "hi").unionByName(pairs.where("lo <> hi").select("area", F.col("hi").alias("at"), "lo", "hi"))
+    dealt = inside.join(owned.drop("values"), ["area", "component"]).join(blocks, ["area", "large", "owner"])
+    block = F.when(F.col("large"), F.pmod(F.xxhash64("set"), "blocks")).otherwise(F.pmod(F.xxhash64("component"), "blocks")).cast("int").alias("block")
+    dealt = dealt.select("area", "set", "component", F.xxhash64(F.struct("large", "owner", block)).alias("at"))
+    rows = dealt.join(places, ["area", "at"]).join(texts, "set").select("area", "lo", "hi", "at", "set", "component", "text")
+    rows = rows.repartition("area", "lo", "hi").sortWithinPartitions("area", "lo", "hi", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, 3):
+            comp, name, at = (np.asarray(t.column(c).combine_chunks()) for c in ("component", "set", "at"))
+            joined = _Joined(comp)
+            if joined.left == 1:
+                continue
+            parts = [shingle_sets(x, size) for _, x in X.slices(t.to_batches(), "text")]
+            many = np.concatenate([np.diff(b) for _, b in parts])
+            values, owner = np.concatenate([v for v, _ in parts]), np.repeat(np.arange(len(many)), many)
+            # Each shingle's owners stand together: places[s] .. places[s + 1] for the shingle numbers of `values`.
+            order = np.argsort(values, kind="stable")
+            new = np.ones(len(values), bool)
+            new[1:] = values[order][1:] != values[order][:-1]
+            places, number = np.append(np.flatnonzero(new), len(values)), np.empty(len(values), np.int64)
+            number[order] = np.cumsum(new) - 1
+            owners, begin = owner[order], np.cumsum(many) - many
+            asks = at == at[0]  # one block, or the smaller one of two, is held against all
+            asks = asks if 2 * asks.sum() <= len(asks) or asks.all() else ~asks
+            a, b = [], []
+            for i in np.flatnonzero(asks).tolist():
+                if joined.left == 1:
+                    break
+                own = number[begin[i] : begin[i] + many[i]]
+                n = places[own + 1] - places[own]
+                common = np.bincount(owners[np.repeat(places[own], n) + X.spread(n)], minlength=len(many))
+                j = np.flatnonzero((100 * common >= percent * (many + many[i] - common)) & (joined.label != joined.label[i]))
+                if len(j):
+                    found = joined.join(i, j)
+                    a += [int(name[i])] * len(found)
+                    b += name[found].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _blocks(members).mapInArrow(run, "set long, other long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, th (xxhash64 of the text), n_shingles, component_id of every row of docs (doc_id, text)."""
     cut = lambda df, name: _store.written(df, f"near-{name}")
     sketched = cut(sketches(docs, size), "sketches")
-    classes = cut(sketched.where("set is not null").groupBy("set").agg(F.first("sig").alias("sig"), F.min(F.struct("doc_id", "th")).alias("one")), "classes")
+    one = [F.first(c).alias(c) for c in ("sig", "bins", "n_shingles")]
+    classes = cut(sketched.where("set is not null").groupBy("set").agg(*one, F.min(F.struct("doc_id", "th")).alias("one")), "classes")
 
     # 2. Against the smallest class under each key.
     keys = _keys(classes)
@@ -303,38 +332,19 @@ def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
     texts = texts.join(wanted.hint("shuffle_hash"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("set", "text")
     texts = cut(texts.groupBy("set").agg(F.first("text").alias("text")), "texts")
-    pivots = near.select("pivot").distinct().select(F.col("pivot").alias("set"), F.col("pivot").alias("grp"))
-    links = cut(_confirmed(near.select("set", F.col("pivot").alias("grp")), pivots, texts, size, percent), "links")
-    found = connected_components(links, "a", "b")
-
-    # 3. Between the components that some key still joins: first the nearest class of another component, while that merges any.
-    def still_open() -> tuple[DataFrame, DataFrame]:
-        weights = cut(found.groupBy("component").agg(F.count("*").alias("weight")), "weights")  # tables, so that Spark can split hot components in joins
-        labelled = members.select("key", "n", "set").join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-        open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        left = labelled.join(open_keys, "key").join(weights, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-        return left.join(fine, "set"), weights
-
-    fine = cut(_fine(texts, size), "fine")
-    left, weights = still_open()
-    for _ in range(NEAREST_ROUNDS):
-        near = cut(_nearest(left, percent), "nearest")
-        held = near.select(F.col("near").alias("set"), F.col("near").alias("grp")).distinct()
-        more = cut(_confirmed(near.select("set", F.col("near").alias("grp")), held, texts, size, percent), "nearest-links")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        found = connected_components(links, "a", "b")
-        left, weights = still_open()
-    asks = cut(_requests(left, percent), "requests")
-    others = asks.select(F.col("other").alias("component")).distinct()
-    inside = texts.select("set").join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    inside = inside.join(others, "component").join(weights, "component", "left").withColumn("blocks", F.ceil(F.coalesce("weight", F.lit(1)) / BLOCK).cast("int"))
-    group = lambda c, b: F.xxhash64(c, b)
-    stored = inside.select("set", group(F.col("component"), F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).alias("grp"))
-    asked = asks.join(weights.withColumnRenamed("component", "other"), "other", "left").withColumn("blocks", F.ceil(F.coalesce("weight", F.lit(1)) / BLOCK).cast("int"))
-    asked = asked.select("set", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: group(F.col("other"), b))).alias("grp"))
-    more = cut(_confirmed(asked, stored, texts, size, percent), "more-links")
+    links = cut(_confirmed(near, texts, size, percent), "links")
+    found = cut(connected_components(links, "a", "b"), "found")
+
+    # 3. Neighbourhoods of components that some key still joins.
+    labelled = members.select("key", "n", "set").join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    left = labelled.join(open_keys, "key").join(classes.select("set", F.col("n_shingles").alias("many"), "sig", "bins"), "set")
+    areas = connected_components(cut(_neighbours(left, percent), "neighbours"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("area"))
+
+    # 4. Comparison inside neighbourhoods.
+    inside = classes.select("set", F.col("n_shingles").alias("many")).join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    inside = cut(inside.join(areas, "component"), "inside")
+    more = cut(_compared(inside, texts, size, percent), "more-links")
     if not more.isEmpty():
         found = connected_components(links.unionByName(more), "a", "b")
 

@@ -83,7 +83,7 @@ def _measure(t: X.Texts) -> dict[str, np.ndarray]:
 
 def features(docs: DataFrame, text: str = "text", prefix: str = "", keep: list[str] | None = None) -> DataFrame:
     """The columns of docs (or those of `keep`), then the counts of COUNTS (with prefix) as long."""
-    X.small_batches(docs.sparkSession)
+    X.bounded_batches(docs.sparkSession)
     names = [prefix + c for c in COUNTS]
     keep = docs.columns if keep is None else keep
     at = [docs.columns.index(c) for c in keep]

@@ -184,7 +184,7 @@ def _ranges(hit: np.ndarray) -> list[int]:
 
 def find_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, th, first, last, anchor) of docs (doc_id, text)."""
-    X.small_batches(docs.sparkSession)
+    X.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in X.slices(batches, "text"):

@@ -91,7 +91,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, r
 def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, chunk: int = CHUNK) -> None:
     """Archives of page_id, url and html of pages under path."""
     spark = pages.sparkSession
-    _text.small_batches(spark)
+    _text.bounded_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.when(F.length("payload") >= least, F.sha1("payload")))
     firsts = rows.where("sha is not null").groupBy("sha").agg(F.max("page_id").alias("first"))

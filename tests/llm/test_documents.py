@@ -176,6 +176,38 @@ def test_near_duplicates_in_one_large_group(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components(rows, 4, 80))
 
 
+def just_under(n):
+    """Documents of one text, each with a word of its own and 17 changed ones, two of which at most are where another has
+    them too (points of parabolas): similarities from 0.778 to 0.79, so none are linked."""
+    rows = []
+    for i in range(n):
+        words = [f"w{k}" for k in range(1160)]
+        for x in range(17):
+            words[4 * (17 * x + (i % 17 + i // 17 % 17 * x + i // 289 * x * x) % 17)] = f"own{i}x{x}"
+        rows.append((i, " ".join([*words[:1157], f"own{i}", *words[1157:]])))
+    return rows
+
+
+def test_near_duplicates_just_under_the_bound_make_few_rows(spark, monkeypatch):
+    made, written = {}, near_dedup._store.written
+    monkeypatch.setattr(near_dedup._store, "written", lambda df, name, *by: made.setdefault(name, written(df, name, *by)))
+    n = 700
+    got = near_dedup.judge(spark.createDataFrame(just_under(n), "doc_id long, text string"), 4, 80).collect()
+    assert len({c for *_, c in components(just_under(60), 4, 80)}) == 60
+    assert len(got) == n and all(r.kept for r in got)
+    assert n // 2 < made["near-inside"].count() <= n  # most are candidates of each other
+    assert made["near-neighbours"].count() < 10 * n
+    assert made["near-links"].count() == made["near-more-links"].count() == 0
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SET_VALUES", 3000)
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 16)
+    rows = just_under(60) + [(100 + i, near_copy(just_under(1)[0][1], i, 0.012)) for i in range(60)]
+    got = near_dedup.judge(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components(rows, 4, 80))
+
+
 def test_decontamination(spark, docs, empty):
     words = BASE.split()
     items = [(1, " ".join(words[20:45])), (2, prose(40, 333)), (3, "Foo-bar"), (4, None), (5, ""), (10, "x!! " + " ".join(words[90:99]).upper()), (1, " ".join(words[100:115])), (None, " ".join(words[0:12])), (7, "g h i j k")]
