@@ -8,8 +8,9 @@ range of doc_ids, `block` its place there, `offset` the tokens before it in its
 container is Parquet, so Spark's commit protocol guards the files. A block decodes by itself,
 with a 256-row table of lengths.
 
-Tokens come from a fixed tokenizer file that has no token across ASCII white space; texts are cut
-there, and each distinct piece is encoded once a slice, with a bounded memory of frequent pieces.
+Texts are encoded by the tokenizers library. Where the tokenizer's own normaliser and splitter prove
+that it cuts at ASCII white space (CUTS_AT_SPACE), texts are cut there first, and each distinct piece is
+encoded once a slice, with a bounded memory of frequent pieces. Any other tokenizer gets whole texts.
 
 Cases: null or empty text has the end id only. Rows of one doc_id stay together, ordered by token
 count and bytes. Null doc_ids come first. An empty table gives empty folders. Extra columns are ignored.
@@ -17,6 +18,7 @@ count and bytes. Null doc_ids come first. An empty table gives empty folders. Ex
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -37,7 +39,21 @@ SHARD_TOKENS, BLOCK_TOKENS, MOST_SHARDS = 4 << 20, 1 << 18, 65_536
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
 MEMORY = 1_200_000
 #: Larger slices meet fewer distinct pieces for their size.
-ROWS, SLICE = 1500, 6 << 20
+SLICE = 6 << 20
+#: What the file of a tokenizer states if it lower-cases in normal form, drops white space, and splits off runs
+#: of letters, single digits and runs of anything else. Fixed values of that kind of file.
+CUTS_AT_SPACE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Latin letters and digits that stay one letter or digit when lower-cased, so the splitter cuts between them and punctuation.
+BEFORE_CUT = frozenset(c for c in map(chr, range(0x250)) if c.isalnum() and len(c.lower()) == 1 and c.lower().isalnum())
 
 #: Bytes of each of the four tokens that a control byte describes.
 LENGTHS = np.array([[(c >> 2 * j & 3) + 1 for j in range(4)] for c in range(256)], np.uint8)
@@ -65,15 +81,17 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Ids of texts, by their pieces between ASCII white space.
+    """Ids of texts, by their pieces between ASCII white space if the tokenizer states CUTS_AT_SPACE.
 
-    What the tokenizer does with a piece depends on the piece alone. So does a piece's end of
-    ordinary punctuation after a letter or digit, which it always cuts off. Lower-case Latin words in normal
+    What such a tokenizer does with a piece depends on the piece alone. So does a piece's end of
+    ordinary punctuation after BEFORE_CUT, which it always cuts off. Lower-case Latin words in normal
     form pass its normaliser and splitter unchanged and go to its merges directly.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
+        stated = json.loads(self.tokenizer.to_str())
+        self.pieces = all(stated[part] == said for part, said in CUTS_AT_SPACE.items()) and all(t["special"] and t["content"].isascii() and not set(t["content"]) & set(" \t\n\v\f\r") for t in stated["added_tokens"])
         self.letters = dict(enumerate(_byte_letters()))
         self.forget()
 
@@ -115,7 +133,7 @@ class Encoder:
         known, simple, cut = self.known, {}, {}
         for p in [p for p in pieces if p not in known]:
             head = p.rstrip(",.;:!?")
-            if head != p and head and head[-1].isalnum():
+            if head != p and head and head[-1] in BEFORE_CUT:
                 cut[p] = head, p[len(head) :]
                 simple[head] = simple[p[len(head) :]] = None
             else:
@@ -137,6 +155,10 @@ class Encoder:
 
     def __call__(self, t: _text.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and the number of ids of each text."""
+        if not self.pieces:
+            found = [[*e.ids, END_ID] for e in self.tokenizer.encode_batch_fast([t.one(i).decode() for i in range(t.n)], add_special_tokens=False)]
+            counts = np.fromiter(map(len, found), np.int64, t.n)
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
         # Strings in <| |> are the only ones whose case matters to the tokenizer.
         data = t.data if b"<|" in t.data.tobytes() else _text.LOWER[t.data]
         texts = pa.LargeStringArray.from_buffers(t.n, pa.py_buffer(np.ascontiguousarray(t.offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
@@ -192,7 +214,7 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n and ids (bytes, 16 bits each if the vocabulary allows, else 32) of each document."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    _text.bounded_batches(docs.sparkSession)
     kind = _kind(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +319,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(tokens[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(start, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     out = blocks.select("shard", "offset", "doc_ids", "n_tokens", "control", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out
 

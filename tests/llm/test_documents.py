@@ -294,6 +294,39 @@ def test_tokens(spark, docs, empty):
     assert token_output.judge(docs, path).orderBy("start").first().doc_id is None
 
 
+def ids_of(encoder, texts):
+    data = [t.encode() for t in texts]
+    flat, counts = encoder(X.Texts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])))
+    cuts = np.cumsum(counts)
+    return [flat[e - c : e - 1].tolist() for e, c in zip(cuts.tolist(), counts.tolist())]
+
+
+def test_tokens_of_every_letter_before_punctuation():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, whole = token_output.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.pieces
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isalnum() or c < 0x400 or 0x2000 <= c < 0x2100)]
+    r = random.Random(1)
+    texts = ["".join(f"{a}{c}{mark}{b} {c}{c}{mark}" for c in every[at : at + 40] for mark in ",.;:!?") for at in range(0, len(every), 40) for a, b in [(r.choice(["", "x", "E\u0301"]), r.choice(["", "'s", "\u0300"]))]]
+    texts += ["".join(r.choice(["İ", ",", " ", "e", "\u0301", "'", "s", "9", "é", "\n", "<|endoftext|>", ".", "A", "\xa0", "ß"]) for _ in range(30)) for _ in range(3000)]
+    expected = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert ids_of(encoder, texts) == expected
+    assert ids_of(encoder, ["İ,"]) == [whole.encode("İ,", add_special_tokens=False).ids]
+
+
+def test_tokens_of_another_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, whole = token_output.Encoder(path), Tokenizer.from_file(path)
+    texts = ["", "Two  spaces, and\nlines.", "İ, é", " x"]
+    assert not encoder.pieces and ids_of(encoder, texts) == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_bytes_round_trip():
     rng = np.random.default_rng(1)
     ranks = np.concatenate([rng.integers(0, 1 << b, 50) for b in (3, 8, 9, 16, 17, 24, 25, 32)]).astype(np.uint32)
