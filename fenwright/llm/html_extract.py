@@ -1,17 +1,21 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
-A page becomes a row of blocks: runs of text between block-level tags, each with its chain of open
-elements. A logistic classifier gives each block costs for the labels content and boilerplate,
-which become its capacities to the two terminals. Neighbouring blocks, and blocks of one parent,
-are joined by edges that cost more to cut the more of their chain they share. A maximum flow
-then cuts the page at least cost, and the content side, in page order, is the text.
-
-The classifier is trained on blocks whose nearest role-bearing element states their role
-(`article` or `main` against `nav`, `footer`, `aside`, `form` and telling class names), of at most TRAIN_PAGES
+A page becomes a row of blocks: runs of text between block-level tags. A logistic classifier gives
+each block costs for the labels content and boilerplate from its text, links, tag, place and the
+text around it; no name of an element or class is among its features, but for the kind of text block.
+The costs become the block's capacities to the two terminals. Blocks inside elements that state their
+role (`article` or `main` against `nav`, `footer`, `aside`, `form` and telling class names) are seeds: they
+get a capacity that outweighs all their edges. Neighbouring blocks, and blocks of one parent, are joined
+by edges that cost the more to cut the fewer steps of the element tree lie between them. A maximum
+flow then cuts the page at least cost, and the content side, in page order, is the text. So pages
+that state roles are cut along them, and others where classifier and edges say.
+
+The classifier is trained on the seeds, with their roles as labels, of at most TRAIN_PAGES
 pages, those with the smallest ids, and on PROTOTYPES, so that it is defined for any table.
 
 Cases: null or empty html, or no content, gives an empty text. Unclosed elements end with their
-parent, or where HTML ends them (`p`, `li`). What follows an unclosed comment, script or style is no text.
+parent, or where HTML ends them (`p`, `li`). Quotes inside an unquoted attribute mean nothing; a quote that is
+never closed ends at the next `>`. After the last `>` all is text. What follows an unclosed comment, script or style is no text.
 Repeated rows are treated alike. An empty table gives an empty result. Extra columns are
 ignored, whatever their names. Long pages are taken whole; the flow works on their block graph.
 """
@@ -19,9 +23,8 @@ ignored, whatever their names. Long pages are taken whole; the flow works on the
 from __future__ import annotations
 
 import html
-import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,7 +48,9 @@ GOOD_TAGS, BAD_TAGS = frozenset({"article", "main"}), frozenset({"nav", "header"
 GOOD_WORDS = frozenset("article content main post story entry body text".split())
 BAD_WORDS = frozenset("ad ads advert advertisement banner sponsor sponsored promo nav navigation navbar menu breadcrumb breadcrumbs header footer sidebar aside widget related share social comment comments reply replies respond disqus cookie cookies consent notice notices alert popup modal newsletter subscribe login search form copyright legal pagination".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations and tags; no part of an attribute is looked at twice.
+ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|["'][^>]*+|[^\s>"'][^\s>]*+)?+)?+"""
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[\s/]++|" + ATTRIBUTE + r")*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
@@ -55,10 +60,11 @@ SPACE = re.compile(r"\s+")
 class Block:
     text: str
     linked: int  # characters inside links
-    chain: tuple[int, ...]  # numbers of the open elements, outermost first
+    parent: int  # number of the block-level element around the block's own
+    depth: int  # block-level elements around the text
+    shared: int  # how many of them are around the block before, too
     tag: str
     role: int  # of the nearest element with one: 1 content, -1 boilerplate, 0 none
-    depth_of_role: int
 
 
 def _role(tag: str, attributes: str, inside: int) -> int:
@@ -76,26 +82,33 @@ def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order; white space is single and references are decoded."""
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # tag, number, role in force
+    around: list[tuple[str, int]] = []  # those of the stack that are block-level
     pieces: list[str] = []
-    number = linked = hidden = links = at = 0
+    open_tags: Counter[str] = Counter()
+    number = linked = hidden = links = at = low = 0  # low: fewest block-level elements since the last block
+    last = page.rfind(">")
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if pieces:
             text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                block = next((t for t, _, _ in reversed(stack) if t in BLOCK), "")
-                role = stack[-1][2] if stack else 0
-                out.append(Block(text, min(linked, len(text)), tuple(n for t, n, _ in stack if t in BLOCK), block, role, len(stack)))
+                parent = around[-2][1] if len(around) > 1 else 0
+                out.append(Block(text, min(linked, len(text)), parent, len(around), min(low, len(around)), around[-1][0] if around else "", stack[-1][2] if stack else 0))
+                low = len(around)
             pieces.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal hidden, links
+        nonlocal hidden, links, low
         while len(stack) > upto:
             tag = stack.pop()[0]
+            open_tags[tag] -= 1
             hidden -= tag in HIDDEN
             links -= tag == "a"
+            if tag in BLOCK:
+                around.pop()
+                low = min(low, len(around))
 
     def take(text: str) -> None:
         nonlocal linked
@@ -106,7 +119,7 @@ def blocks_of(page: str) -> list[Block]:
 
     lower = None
     while True:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         take(page[at : m.start() if m else len(page)])
         if not m:
             break
@@ -119,6 +132,8 @@ def blocks_of(page: str) -> list[Block]:
         elif tag == "br":
             take(" ")
         if closing:
+            if not open_tags[tag]:
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     close(i)
@@ -140,6 +155,9 @@ def blocks_of(page: str) -> list[Block]:
         own = _role(tag, m[2], inside)
         number += 1
         stack.append((tag, number, own if own else inside))
+        open_tags[tag] += 1
+        if tag in BLOCK:
+            around.append((tag, number))
         hidden += tag in HIDDEN
         links += tag == "a"
     flush()
@@ -147,12 +165,24 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    rows = []
-    for b in blocks:
-        n = len(b.text)
-        words = b.text.count(" ") + 1
-        rows.append((1.0, b.role > 0, b.role < 0, b.linked / n, math.log1p(n) / 5, min(1.0, sum(map(b.text.count, ".,;:!?")) / words), b.tag == "p", b.tag in ("li", "td", "div"), b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), "\u00a9" in b.text))
-    return np.array(rows, float).reshape(len(rows), 10)
+    """Of each block: what its text, links and tag are like, where it stands, and how much of the page's text its siblings hold."""
+    n = len(blocks)
+    size = np.array([len(b.text) for b in blocks], float)
+    words = np.array([b.text.count(" ") + 1 for b in blocks], float)
+    linked = np.array([b.linked for b in blocks], float)
+    marks = np.array([sum(map(b.text.count, ".,;:!?")) for b in blocks], float)
+    group = np.unique([b.parent for b in blocks], return_inverse=True)[1] if n else np.zeros(0, np.int64)
+    siblings, their_links = np.bincount(group, size), np.bincount(group, linked)
+    long = np.concatenate([[0.0], np.log1p(size) / 5, [0.0]])
+    place = (np.cumsum(size) - size / 2) / max(size.sum(), 1.0)
+    is_tag = lambda *tags: np.array([b.tag in tags for b in blocks], float)
+    return np.stack(
+        [
+            np.ones(n), linked / np.maximum(size, 1), long[1:-1], np.minimum(1.0, marks / words), is_tag("p"), is_tag("li", "td"), is_tag("h1", "h2", "h3", "h4", "h5", "h6"), np.array(["\u00a9" in b.text for b in blocks], float),
+            siblings[group] / max(size.sum(), 1.0), their_links[group] / np.maximum(siblings[group], 1), place < 0.02, place > 0.98, long[:-2], long[2:],
+        ],
+        1,
+    ).astype(float)
 
 
 #: Blocks with known labels: (html, content?).
@@ -162,6 +192,9 @@ PROTOTYPES = (
     ("<nav><ul><li><a href=x>Home</a></li><li><a href=y>About us</a></li></ul></nav><footer>(c) Someone, all rights reserved.</footer>", 0),
     ("<aside><p>Read also what others have read.</p></aside><div class=ad>Buy this now.</div><div class=comments><p>I do not agree, said a reader.</p></div>", 0),
     ("<p>Prose outside of any frame, with several clauses, that goes on for a while and ends here.</p>", 1),
+    ("<p>" + "a page of one paragraph without marks " * 40 + "</p>", 1),
+    ("Plain text, and nothing else.", 1),
+    ("<div>A text in one element of no name, of some sentences. It is all there is on the page.</div>", 1),
     ("<div><a href=x>More</a></div><div><a href=y>Next page</a></div>", 0),
 )
 
@@ -194,71 +227,87 @@ def train(pages: list[str | None], steps: int = 300, penalty: float = 1e-3) -> n
 
 
 def _edges(blocks: list[Block], smooth: float) -> list[tuple[int, int, float]]:
-    """Neighbours, and the next block of the same parent, weighted by the shared part of their chains."""
-    out, last = {}, {}
+    """Neighbours, and the next block of the same parent, weighted by the steps between them in the element tree."""
+    out: dict[tuple[int, int], float] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        parent = b.chain[:-1]
-        for j in {i - 1, last.get(parent, i - 1)}:
-            if j >= 0:
-                a = blocks[j].chain
-                shared = next((k for k, (p, q) in enumerate(zip(a, b.chain)) if p != q), min(len(a), len(b.chain)))
-                out[j, i] = smooth * shared / max(len(a), len(b.chain), 1) * (1.0 if blocks[j].role == b.role else 0.1)
-        last[parent] = i
-    return [(i, j, w) for (i, j), w in out.items() if w > 0]
+        if i:
+            steps = blocks[i - 1].depth + b.depth - 2 * b.shared
+            out[i - 1, i] = smooth * 4.0 ** -max(0, steps - 2)
+        j = last.get(b.parent, -1)
+        if j >= 0:
+            out[j, i] = smooth
+        last[b.parent] = i
+    return [(i, j, w) for (i, j), w in out.items()]
+
+
+#: Capacities are whole numbers of this part of a log-odds unit, so no path of the flow is longer than edges can feed.
+UNIT = 1 / 256
 
 
 def content_side(supply: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
     """Labels of a minimum cut: supply > 0 is a node's net capacity from the content terminal, < 0 to the other.
 
-    Augmenting along shortest paths from nodes with supply left to nodes with demand left; at the end
-    the content side is what supply still reaches.
+    Each node with supply left sends it along shortest paths of the residual graph to nodes with demand left.
+    What a node reaches without finding demand can never reach any again: it is settled as content, and later
+    searches stop there. At the end the content side is what supply still reaches.
     """
     n = len(supply)
-    left = supply.astype(float).tolist()
+    left = np.rint(np.asarray(supply, float) / UNIT).astype(np.int64).tolist()
     links: list[list[int]] = [[] for _ in range(n)]
     to, room = [], []
     for i, j, w in edges:
+        w = round(w / UNIT)
         links[i].append(len(to))
         links[j].append(len(to) + 1)
         to += [j, i]
         room += [w, w]
-    while True:
-        came = [-2] * n
-        queue = deque(i for i in range(n) if left[i] > 1e-12)
-        for i in queue:
-            came[i] = -1
-        end = -1
-        while queue and end < 0:
-            i = queue.popleft()
-            for e in links[i]:
-                j = to[e]
-                if came[j] == -2 and room[e] > 1e-12:
-                    came[j] = e
-                    if left[j] < -1e-12:
-                        end = j
-                        break
-                    queue.append(j)
-        if end < 0:
-            return np.array([c != -2 for c in came])
-        path, at = [], end
-        while came[at] >= 0:
-            path.append(came[at])
-            at = to[came[at] ^ 1]
-        flow = min(left[at], -left[end], *(room[e] for e in path))
-        left[at] -= flow
-        left[end] += flow
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
+    settled = [False] * n
+    for source in range(n):
+        while left[source] > 0 and not settled[source]:
+            came, queue, end = {source: -1}, deque([source]), -1
+            while queue and end < 0:
+                i = queue.popleft()
+                for e in links[i]:
+                    j = to[e]
+                    if room[e] and j not in came and not settled[j]:
+                        came[j] = e
+                        if left[j] < 0:
+                            end = j
+                            break
+                        queue.append(j)
+            if end < 0:
+                for i in came:
+                    settled[i] = True
+                break
+            path, at = [], end
+            while came[at] >= 0:
+                path.append(came[at])
+                at = to[came[at] ^ 1]
+            flow = min(left[source], -left[end], *(room[e] for e in path))
+            left[source] -= flow
+            left[end] += flow
+            for e in path:
+                room[e] -= flow
+                room[e ^ 1] += flow
+    return np.array(settled, bool)
+
+
+#: Most that the classifier says of a block, and what a stated role says.
+MOST, SEED = 6.0, 40.0
+
+
+def labels(blocks: list[Block], weights: np.ndarray, smooth: float = 1.0, seeds: bool = True) -> np.ndarray:
+    """Which blocks are content. The classifier's log-odds are the difference of the two labels' costs."""
+    supply = np.clip(features(blocks) @ weights, -MOST, MOST)
+    if seeds:
+        supply = supply + SEED * np.array([b.role for b in blocks], float)
+    return content_side(supply, _edges(blocks, smooth)) if len(blocks) and supply.min() < 0 < supply.max() else supply > 0
 
 
 def main_blocks(page: str, weights: np.ndarray, smooth: float = 1.0) -> list[str]:
     blocks = blocks_of(page)
-    if not blocks:
-        return []
-    supply = np.clip(features(blocks) @ weights, -12, 12)  # log-odds: the difference of the two labels' costs
-    side = content_side(supply, _edges(blocks, smooth)) if supply.min() < 0 < supply.max() else supply > 0
-    return [b.text for b, keep in zip(blocks, side) if keep]
+    return [b.text for b, keep in zip(blocks, labels(blocks, weights, smooth)) if keep] if blocks else []
 
 
 def judge(pages: DataFrame, train_pages: int = TRAIN_PAGES, smooth: float = 1.0) -> DataFrame:

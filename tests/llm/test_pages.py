@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -91,10 +93,69 @@ def test_main_text(pages, empty):
 
 def test_cut_is_minimal():
     rng = np.random.default_rng(0)
-    for _ in range(60):
+    for _ in range(120):
         n = int(rng.integers(2, 9))
-        supply = rng.normal(size=n)
-        edges = [(i, j, float(rng.random())) for i in range(n) for j in range(i) if rng.random() < 0.5]
+        supply = rng.integers(-400, 400, n) * html_extract.UNIT
+        edges = [(i, j, float(rng.integers(0, 300)) * html_extract.UNIT) for i in range(n) for j in range(i) if rng.random() < 0.5]
         cost = lambda side: sum(s for s, c in zip(supply, side) if s > 0 and not c) - sum(s for s, c in zip(supply, side) if s < 0 and c) + sum(w for i, j, w in edges if side[i] != side[j])  # noqa: E731, B023
         best = min(cost([b >> i & 1 for i in range(n)]) for b in range(1 << n))
         assert abs(cost(html_extract.content_side(supply, edges).astype(int)) - best) < 1e-9
+
+
+def made_page(seed, marked):
+    """A page of known main text; without marks, all its elements are plain."""
+    r = random.Random(seed)
+    say = lambda lo, hi: " ".join(r.choice(["one", "two", "three,", "four.", "five", "é6"]) for _ in range(r.randint(lo, hi))).capitalize() + "."
+    main = [f"{say(3, 8)} {seed}", *(say(1, 60) for _ in range(r.randint(3, 12)))]
+    tag = lambda name, plain: name if marked else plain
+    links = "".join(f"<li><a href=/{i}>{say(1, 2)}</a>" for i in range(r.randint(3, 8)))
+    body = f"<h1>{main[0]}</h1>" + "".join(f"<p data-x=it's title='a > b'>{p}" for p in main[1:])
+    ad = '<div class="ad">' if marked else "<div>"
+    more = "".join(f"<div><a href=/{i}>{say(2, 5)}</a></div>" for i in range(3))
+    return f"<body><{tag('nav', 'div')}><ul>{links}</ul></{tag('nav', 'div')}>{ad}{say(4, 9)}</div><{tag('article', 'div')}>{body}</{tag('article', 'div')}><{tag('aside', 'div')}>{more}</{tag('aside', 'div')}><{tag('footer', 'div')}>\u00a9 {say(3, 6)}</{tag('footer', 'div')}>", "\n".join(main)
+
+
+def test_pages_of_known_text(spark):
+    made = [made_page(i, True) for i in range(60)]
+    rows = [(i, "u", h) for i, (h, _) in enumerate(made)]
+    got = {r.page_id: r.text for r in html_extract.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(made)}
+
+
+def test_unmarked_pages_are_cut_by_classifier_and_edges():
+    weights = html_extract.train([made_page(i, True)[0] for i in range(200)])
+    right = alone = total = 0
+    for i in range(1000, 1200):
+        page, text = made_page(i, False)
+        blocks = html_extract.blocks_of(page)
+        assert not any(b.role for b in blocks)  # the list of roles says nothing
+        known = np.array([b.text in text.split("\n") for b in blocks])
+        right += (html_extract.labels(blocks, weights) == known).sum()
+        alone += (html_extract.labels(blocks, weights, smooth=0.0) == known).sum()
+        total += len(blocks)
+    assert right >= 0.98 * total and right >= alone
+    # One short line that the classifier alone takes for boilerplate, between paragraphs that it does not.
+    page = "<div><p>" + "</p><p>".join(["A paragraph of plain words, and of some length.", "Another one, as long as that, with words."] * 4) + "</p><div>x</div><p>" + "And one more, so that the line is inside, as it is.</p></div>"
+    blocks = html_extract.blocks_of(page)
+    score = html_extract.features(blocks) @ weights
+    score[[b.text == "x" for b in blocks]] = -1.5
+    side = html_extract.content_side(score, html_extract._edges(blocks, 1.0))
+    assert side.all() and not html_extract.content_side(score, html_extract._edges(blocks, 0.0)).all()
+
+
+def test_tags_with_odd_quotes():
+    texts = lambda page: [b.text for b in html_extract.blocks_of(page)]
+    assert texts("<p data-t=it's>First one.</p><p>Second one, which isn't lost.</p>") == ["First one.", "Second one, which isn't lost."]
+    assert texts('<p title="open>First.</p><p>Second.</p>') == ["First.", "Second."]
+    assert texts("<p title='a > b' alt=\"c 'd' >\">x</p>") == ["x"]
+    assert texts("a < b and <c") == ["a < b and <c"] and texts("<p>x<br/>y</p >z") == ["x y", "z"]
+
+
+def test_long_pages_take_time_in_proportion():
+    weights = html_extract.train([])
+    page = lambda n: "".join(f"<div>Some words {i}, here.</div><div><a href=x>link {i}</a></div>" for i in range(n // 2))
+    odd = [page(16_000), "<a href=\"x>" + "<b y='z " * 40_000, "<i>" * 30_000 + "</b>" * 30_000, "<div>" * 20_000 + "x" + "</div>" * 20_000, "<p>x" * 30_000]
+    for one in odd:
+        began = time.process_time()
+        html_extract.main_blocks(one, weights)
+        assert time.process_time() - began < 5
