@@ -236,10 +236,25 @@ def test_decontamination_in_parts(spark, docs, monkeypatch):
     items = [(i, prose(40, i)) for i in range(6)] + [(9, BASE)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, decontaminate.judge(docs.where("doc_id is not null"), bench).collect()))
-    monkeypatch.setattr(decontaminate, "MOST_PATTERN_BYTES", 600)
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 600)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 12)
     assert sorted(map(tuple, decontaminate.judge(docs.where("doc_id is not null"), bench).collect())) == whole
 
 
+def test_decontamination_sends_arrays_in_proportion_to_the_text():
+    import pickle
+
+    items = [(str(i), prose(2000, 50 + i)) for i in range(20)] + [("x", None), (None, "one two")]
+    part = decontaminate.compile_patterns(items)
+    assert len(pickle.dumps(part)) < 8 * sum(len(t or "") for _, t in items) + (1 << 20)
+
+
+def test_decontamination_by_ids_that_are_no_numbers(spark, docs):
+    bench = spark.createDataFrame([("a-1", " ".join(BASE.split()[20:45])), ("b", "nothing here at all")], "item_id string, text string")
+    found = decontaminate.find(docs.select("doc_id", "text"), bench, keep=["doc_id"]).where("doc_id = 7").first()
+    assert found["items"] == ["a-1"] and found.hits
+
+
 def test_mixture(spark, docs, empty):
     got = mix_sources.judge(docs).collect()
     sizes = Counter()
