@@ -19,6 +19,7 @@ by `filter_documents`, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -219,24 +220,26 @@ def joint_thresholds(docs: DataFrame, labels: DataFrame, risk: float = RISK, del
     return {s: _strictest(of(True, s), _path(of(False, s)), risk, error) if sum(n for _, n in of(True, s)) >= labels_needed(risk, error) else pooled for s in strata}
 
 
-def rejected(cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang", prefix: str = "") -> Column:
-    """Whether a rule of the row's stratum is beyond its cutoff; a stratum without cutoffs rejects nothing."""
-    figure = {name: _figure(n, d, prefix) for name, n, d, _ in RULES}
-    out = F.lit(False)
-    for s, rules in cutoffs.items():
-        if rules:
-            beyond = F.lit(False)
-            for name, c in rules.items():
-                beyond = beyond | (figure[name] > c)
-            out = F.when(F.col(stratum).eqNullSafe(F.lit(s)), beyond).otherwise(out)
-    return out
+def with_rejected(measured: DataFrame, cutoffs: dict[str | None, dict[str, float]], name: str, stratum: str = "lang", prefix: str = "") -> DataFrame:
+    """measured and whether a rule of the row's stratum is beyond its cutoff; a stratum without cutoffs rejects nothing.
+
+    The cutoffs, one row a stratum, are broadcast; there are as many as `_cells` brought to the driver.
+    """
+    rules = [rule for rule, *_ in RULES]
+    row = lambda s: (s, *(cutoffs[s].get(rule) for rule in rules))
+    kind = measured.schema[stratum].dataType.simpleString()
+    table = measured.sparkSession.createDataFrame([row(s) for s in cutoffs], f"stratum {kind}, " + ", ".join(f"{rule} double" for rule in rules)).select(F.struct("*").alias(name))
+    joined = measured.join(F.broadcast(table), F.col(stratum).eqNullSafe(F.col(f"{name}.stratum")), "left")
+    beyond = [F.coalesce(_figure(n, d, prefix) > F.col(name)[rule], F.lit(False)) for rule, n, d, _ in RULES]
+    return joined.withColumn(name, functools.reduce(Column.__or__, beyond))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept."""
     cutoffs = thresholds(docs, labels, risk, delta)
     measured = features(docs.select("doc_id", "lang", "text"), keep=["doc_id", "lang"])
-    return measured.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~rejected(cutoffs)).alias("kept"))
+    judged = with_rejected(measured, cutoffs, "rejected")
+    return judged.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~F.col("rejected")).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -245,4 +248,5 @@ def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, del
     prefix = X.fresh(docs, "q_")
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
-    return features(docs, prefix=prefix).where(~base_failed(prefix) & ~rejected(cutoffs, prefix=prefix)).select(*docs.columns)
+    judged = with_rejected(features(docs, prefix=prefix), cutoffs, prefix + "rejected", prefix=prefix)
+    return judged.where(~base_failed(prefix) & ~F.col(prefix + "rejected")).select(*docs.columns)

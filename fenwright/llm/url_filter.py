@@ -21,10 +21,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-#: The vocabulary: strict terms, and soft terms with weights.
-STRICT = ("porn", "porno", "xxx", "hentai", "milf", "camgirls", "escorts", "nsfw", "xvideos", "bdsm")
-SOFT = (("adult", 1), ("babes", 2), ("bet", 1), ("casino", 2), ("dating", 1), ("erotic", 3), ("hot", 1), ("jackpot", 2), ("naked", 2), ("nude", 2), ("pills", 2), ("poker", 2), ("sex", 3), ("sexy", 2), ("slots", 2), ("viagra", 3), ("warez", 2), ("webcam", 1))
+from fenwright.llm import _text
+
+#: The vocabulary: strict terms, and soft terms by weight. One soft term never decides; terms of weight 1 need to be three.
+STRICT = tuple(
+    "bdsm blowjob brazzers camgirl camgirls camsex chaturbate creampie cumshot deepthroat escortgirls escorts femdom fleshlight gangbang handjob hentai hookers hotwife livejasmin milf milfs nsfw onlyfans "
+    "onlyporn pegging porn pornhub pornhd porno pornos pornstar pornstars redtube rule34 sexcam sexcams sexshop sextoys shemale stripchat swingers threesome tubeporn upskirt wank xhamster xnxx xvideos xxx youporn".split()
+)
+_BY_WEIGHT = {
+    3: "erotic erotica erotik fetish hookup levitra nudes sex sexe sexo stripper viagra cialis xanax",
+    2: "babes bookmaker bordel casino casinos cracked cracks desnuda escort gambling jackpot keygen lingerie lolita naked nackt nude nudist nue pills poker roulette serialz sexy slots sportsbet sportsbook steroids strip torrent torrents torrentz tramadol vape wager warez webcams",
+    1: "adult adults amateur bet bets betting bingo blackjack cam cams cbd crack dating flirt free girls hot kissing leaks live loan loans lottery lotto mature odds pharmacy pirate singles teen teens vip webcam win winner xl",
+}
+SOFT = tuple((term, weight) for weight, terms in _BY_WEIGHT.items() for term in terms.split())
 MIN_SOFT, MIN_WEIGHT = 2, 3
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,8 +57,7 @@ def terms(pages: DataFrame, strict: Sequence[str], soft: Mapping[str, int] | Seq
     words = (*strict, *(w for w, _ in soft))
     weights = np.array([0] * len(strict) + [w for _, w in soft], np.int64)
     n_strict = len(strict)
-    spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    _text.bounded_batches(pages.sparkSession)
     kind = pages.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,9 +8,10 @@ SEGMENT bytes is cut into a first record and continuation records, which name th
 (WARC-Segment-Origin-ID), their number, and at the last the total length. Files are gzip'd text of
 raw records: Spark's text writer ends each with the two line breaks that WARC asks for.
 
-Reading: records of a file are parsed one after another. Records of one origin are gathered,
-ordered by number and joined; numbers must be 1..n and the bytes as many as the last one says, or
-the job fails. Chunk framing is then taken off.
+Reading: a file, of one gzip member or one for each record, is unpacked as its records are parsed, one after
+another. Records of one origin are gathered, ordered by number and joined; numbers must be 1..n and the bytes as
+many as the last one says, or the job fails. Chunk framing and content codings are then taken off. Records of other types
+(`warcinfo`, `request`, `metadata`, ..) and their segments are passed over. A sha1 digest that is given must be right.
 
 Cases: null html is an empty payload. Repeated rows have records of their own; with an id that
 is the largest of its payload all of them are responses. A null id is never the largest unless all are null, and
@@ -111,43 +112,78 @@ def write(pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, c
     made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields and block of each record."""
-    at = 0
-    while at < len(data):
-        head = data.index(END, at)
-        first, *lines = data[at:head].decode().split("\r\n")
+def unpacked(packed: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """What gzip members, one after another, hold, in parts of `step` bytes at most."""
+    rest = packed
+    while rest:
+        member = zlib.decompressobj(47)
+        while not member.eof:
+            part = member.decompress(rest, step)
+            rest = member.unconsumed_tail or (member.unused_data if member.eof else b"")
+            if not part and not rest and not member.eof:
+                raise ValueError("an archive ends inside a gzip member")
+            yield part
+
+
+def parse(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields and block of each record of an archive that comes in parts; no more than a record and a part is held."""
+    held = bytearray()
+
+    def more() -> bool:
+        part = next(parts, None)
+        held.extend(part or b"")
+        return part is not None
+
+    while True:
+        searched = 0
+        while (head := held.find(END, searched)) < 0:
+            searched = max(0, len(held) - 3)
+            if not more():
+                if held.strip():
+                    raise ValueError("a record does not begin where it should")
+                return
+        first, *lines = held[:head].decode().split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError("a record does not begin where it should")
         fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        begin = head + 4
-        end = begin + int(fields["content-length"])
-        if data[end : end + 4] != END:
+        end = head + 4 + int(fields["content-length"])
+        while len(held) < end + 4 and more():
+            pass
+        if held[end : end + 4] != END:
             raise ValueError("a record does not end where it should")
-        yield fields, data[begin:end]
-        at = end + 4
+        yield fields, bytes(held[head + 4 : end])
+        del held[: end + 4]
 
 
 def _payload(block: bytes) -> tuple[bytes, int]:
-    """The body of an HTTP response without its framing, and the length it is said to have."""
+    """The body of an HTTP response without its framing and codings, and the length it is said to have."""
     head, _, body = block.partition(END)
-    fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
-    if fields.get("transfer-encoding", "").lower() == "chunked":
-        body = dechunked(body)
-    return body, int(fields.get("content-length", len(body)))
+    fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode(errors="replace").split("\r\n")[1:])}
+    codings = [c.strip() for name in ("content-encoding", "transfer-encoding") for c in fields.get(name, "").lower().split(",") if c.strip()]
+    for coding in reversed(codings):
+        if coding == "chunked":
+            body = dechunked(body)
+        elif coding in ("gzip", "x-gzip", "deflate"):
+            body = b"".join(unpacked(body))
+        elif coding != "identity":
+            raise ValueError(f"a body in an unknown coding: {coding}")
+    return body, len(body) if codings else int(fields.get("content-length", len(body)))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Per response or revisit: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    _text.bounded_batches(spark)
     number = lambda v: None if v is None else int(v)
+    sha1 = lambda v: v[5:] if v.lower().startswith("sha1:") else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed in batch.column(0):
                 rows, size = [], 0
-                for f, block in parse(zlib.decompress(packed.as_py(), 47) if len(packed.as_py()) else b""):
-                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f["warc-type"], number(f.get("warc-page-id")), f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, number(f.get("warc-refers-to-page-id")), block))
+                for f, block in parse(unpacked(packed.as_py())):
+                    if f["warc-type"] not in ("response", "revisit", "continuation") and "warc-segment-number" not in f:
+                        continue
+                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f["warc-type"], number(f.get("warc-page-id")), f.get("warc-target-uri"), sha1(f.get("warc-payload-digest", "")), number(f.get("warc-refers-to-page-id")), block))
                     size += len(block)
                     if size > 4 << 20:
                         yield batch_of(rows)
@@ -165,7 +201,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = F.sort_array(F.collect_list(F.struct("number", "total", "block")))
     head = lambda c: F.max(F.when(F.col("type") != "continuation", F.col(c))).alias(c)
     meta = ("type", "page_id", "url", "digest", "refers_to")
-    grouped = parsed.where("number is not null").groupBy("origin").agg(*map(head, meta), parts.alias("parts"))
+    grouped = parsed.where("number is not null").groupBy("origin").agg(*map(head, meta), parts.alias("parts")).where("type is null or type in ('response', 'revisit')")
     numbers = F.transform("parts", lambda p: p.number) == F.sequence(F.lit(1), F.size("parts"))
     length = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.length(p.block))
     # binary concat of an array: through hexadecimal text would double it, so the pieces travel as a list
@@ -181,9 +217,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if r["type"] == "revisit":
                     out.append((r["page_id"], r["url"], "revisit", r["refers_to"], said, r["digest"], None))
                     continue
-                if len(payload) != said or _digest(payload) != r["digest"]:
+                digest = _digest(payload)
+                if len(payload) != said or r["digest"] not in (None, digest):
                     raise ValueError(f"page {r['page_id']}: the payload is not what was written")
-                out.append((r["page_id"], r["url"], r["type"], None, len(payload), r["digest"], payload))
+                out.append((r["page_id"], r["url"], r["type"], None, len(payload), digest, payload))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import random
 import time
@@ -77,6 +78,23 @@ def test_missing_segments_are_noticed(spark, tmp_path):
             warc.read(spark, folder).collect()
 
 
+def test_archives_of_others(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"
+    body = b"some text " * 500
+    made = [
+        warc._record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:a>")], b"software: x\r\n"),
+        warc._record([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:b>"), ("WARC-Target-URI", "http://a/")], b"GET / HTTP/1.1\r\n\r\n"),
+        warc._record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:c>"), ("WARC-Target-URI", "http://a/")], http + b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(gzip.compress(body))),
+        warc._record([("WARC-Type", "resource"), ("WARC-Record-ID", "<urn:d>"), ("WARC-Segment-Number", 1)], b"abc"),
+        warc._record([("WARC-Type", "continuation"), ("WARC-Record-ID", "<urn:e>"), ("WARC-Segment-Origin-ID", "<urn:d>"), ("WARC-Segment-Number", 2), ("WARC-Segment-Total-Length", 6)], b"def"),
+    ]
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(gzip.compress(m + warc.END) for m in made))  # a member for each record
+    (tmp_path / "all.warc.gz").write_bytes(gzip.compress(b"".join(m + warc.END for m in made)))
+    got = warc.read(spark, f"file://{tmp_path}").collect()
+    assert [(r.url, r.record_type, bytes(r.payload), r.payload_digest) for r in got] == [("http://a/", "response", body, warc._digest(body))] * 2
+    assert list(warc.parse(iter([b"".join(m + warc.END for m in made)[i : i + 7] for i in range(0, 9000, 7)])))[4][1] == b"def"
+
+
 def test_chunks():
     for n in (0, 1, 4095, 4096, 4097, 20_000):
         assert warc.dechunked(warc.chunked(b"\r\n0" * n)) == b"\r\n0" * n
