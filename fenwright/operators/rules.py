@@ -20,20 +20,46 @@ def few(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.limit(FEW_RULES + 1).count() <= FEW_RULES else rules
 
 
-def owners(texts: DataFrame, rules: DataFrame, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+#: Up to so many different keys of rules come to the driver and go into the plan as literals.
+FEW_KEYS = 2_000
+
+
+def _held(words: str, keys: list[str]) -> Column:
+    """Those of `keys` (words joined by spaces) that stand in the words. Only where a key's first word is, words are joined."""
+    found = []
+    for size in sorted({k.count(" ") + 1 for k in keys}):
+        sized = [k for k in keys if k.count(" ") + 1 == size]
+        if size == 1:
+            candidates = F.col(words)
+        else:
+            firsts = sorted({k.split(" ")[0] for k in sized})
+            at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))), lambda i: F.get(words, i).isin(*firsts))  # noqa: B023
+            candidates = F.transform(at, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))  # noqa: B023
+        found.append(F.array_intersect(candidates, F.array(*map(F.lit, sized))))
+    return F.flatten(F.array(*found)) if found else F.array().cast("array<string>")
+
+
+def owners(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, owners): texts (id, normal) against rules (owner, kind, key, key2).
 
-    Kinds: token and phrase (consecutive words), combo (two such, both present), sentence (the whole text).
-    Texts meet rules by equal n-grams, never by scanning.
+    Kinds: token and phrase (one to four consecutive words), combo (two such, both present), sentence (the whole text).
+    Few keys (FEW_KEYS, counted) are looked for in each text as it is read, so that only hits become rows; beyond that, texts
+    meet rules by equal n-grams, of the sizes that the rules have.
     """
-    listed = texts.select("id", X.words(F.col("normal")).alias("w"))
-    grams = listed.select("id", F.explode(F.flatten(F.array(*[X.runs(F.col("w"), n) if n > 1 else F.filter("w", lambda t: F.length(t) >= 2) for n in sizes]))).alias("key"))
+    listed = texts.select("id", F.filter(X.words(F.col("normal")), lambda t: F.length(t) >= 1).alias("w"))
     single = rules.where("kind in ('token', 'phrase')").select("owner", "key", F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
     combos = rules.where("kind = 'combo'").select("owner", F.explode(F.array_distinct(F.array("key", "key2"))).alias("part"), F.col("key").alias("a"), F.col("key2").alias("b")).withColumnRenamed("part", "key")
-    # One pass over the n-grams serves single patterns and the halves of combinations.
-    met = grams.join(few(single.unionByName(combos).distinct()), "key").groupBy("id", "owner", "a", "b").agg(F.count_distinct("key").alias("n"))
+    # One pass over the texts serves single patterns and the halves of combinations.
+    wanted = single.unionByName(combos).where("key is not null").where(F.size(F.split("key", " ")) <= 4).where((F.length("key") >= 2) | F.contains("key", F.lit(" "))).distinct()
+    keys = [r["key"] for r in wanted.select("key").distinct().orderBy("key").limit(FEW_KEYS + 1).collect()]
+    if len(keys) <= FEW_KEYS:
+        grams = listed.select("id", F.explode(_held("w", keys)).alias("key"))
+    else:
+        sizes = [r["n"] for r in wanted.select(F.size(F.split("key", " ")).alias("n")).distinct().orderBy("n").collect()]  # four at most
+        grams = listed.select("id", F.explode(F.flatten(F.array(*[X.runs(F.col("w"), n) for n in sizes]))).alias("key"))
+    met = grams.join(few(wanted), "key").groupBy("id", "owner", "a", "b").agg(F.count_distinct("key").alias("n"))
     found = met.where("a is null or a = b or n = 2").select("id", "owner")
-    whole = texts.join(rules.where("kind = 'sentence'").select(F.col("key").alias("normal"), "owner"), "normal").select("id", "owner")
+    whole = texts.join(few(rules.where("kind = 'sentence'").select(F.col("key").alias("normal"), "owner")), "normal").select("id", "owner")
     return found.unionByName(whole).groupBy("id").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
 
 
