@@ -6,6 +6,9 @@ nature, so scopes are the unit of work and Spark spreads them.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,6 +21,13 @@ from fenwright.functions import geo
 JUMP = 500.0
 DEVIATION, OVER_SQUARED, OVER, FAR = 55.0, 1e6, 1e8, 20.0
 BAND = 0.1
+# Of the partition with hard bounds: what a jump costs from each length on, a unit of deviation, weight of jumps inside,
+# share and most of a jump between two parts that is given back; how far beyond the bound and for how long jumps the fallback looks.
+JUMP_COST = ((400.0, 0.0, 7.0), (800.0, 9000.0, 14.0), (1000.0, 28000.0, 60.0))
+OFF, INSIDE, REWARD, MOST_REWARD = 120.0, 1e5, 0.18, 12_000.0
+SLACK, LONG_JUMP, BONUS_METRES, OUT_WEIGHT, REST_WEIGHT = 80.0, 900.0, 60.0, 10.0, 0.05
+# Of components that stay outside the routes: orders of small ones, of middling ones, metres from the main one.
+SMALL_ORDERS, MIDDLING_ORDERS, SMALL_METRES, MIDDLING_METRES = 24, 40, 500.0, 1500.0
 
 
 def _scope(*order: str) -> Window:
@@ -85,55 +95,168 @@ def greedy(points: DataFrame) -> DataFrame:
     return points.groupBy("scope").applyInPandas(lambda pdf: _nearest(pdf)[schema.fieldNames()], schema)
 
 
-def partition_cost(sums: np.ndarray, jumps: np.ndarray, people: int) -> list[int]:
-    """Ends of the stretches that split a route into `people` parts at least cost.
+def bounds(target: float) -> tuple[int, int]:
+    """Whole orders that count as even."""
+    return math.floor(target * (1 - BAND)), math.ceil(target * (1 + BAND))
 
-    A part costs for its distance from the target, more beyond the band, and for the jumps in it. One table of the best
-    cost of each prefix for each number of parts; a row is computed for all ends at once.
-    """
-    n, total = len(sums) - 1, float(sums[-1])
-    people = max(1, min(people, n))
-    target = total / people
-    far = np.concatenate([[0.0], np.cumsum(np.maximum(jumps - JUMP, 0.0))])
-    best, came = np.full(n + 1, np.inf), np.zeros((people + 1, n + 1), np.int64)
-    best[0] = 0.0
-    for k in range(1, people + 1):
-        now = np.full(n + 1, np.inf)
-        for end in range(k, n + 1):
-            begin = np.arange(k - 1, end)
-            load = sums[end] - sums[begin]
-            off = np.abs(load - target)
-            over = np.maximum(0.0, off - BAND * target)
-            cost = best[begin] + DEVIATION * off**2 / max(target, 1.0) + OVER_SQUARED * over**2 + OVER * (over > 0) + FAR * (far[end] - far[begin + 1])
-            i = int(np.argmin(cost))
-            now[end], came[k, end] = cost[i], begin[i]
-        best = now
-    ends, at = [], n
+
+def _best_ends(n: int, people: int, cost: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Least cost of the first `end` items in k parts, and where the last of these parts begins. cost(end) gives the cost of
+    items begin .. end - 1 as one part for every begin (infinite: not allowed); it is worked out once for all k."""
+    best, came = np.full((people + 1, n + 1), np.inf), np.zeros((people + 1, n + 1), np.int64)
+    best[0, 0] = 0.0
+    for end in range(1, n + 1):
+        total = best[:people, :end] + cost(end)
+        begin = total.argmin(1)
+        best[1:, end], came[1:, end] = total[np.arange(people), begin], begin
+    return best, came
+
+
+def _parts(came: np.ndarray, people: int, end: int) -> list[int]:
+    """Ends of the parts."""
+    ends = []
     for k in range(people, 0, -1):
-        ends.append(at)
-        at = int(came[k, at])
+        ends.append(end)
+        end = int(came[k, end])
     return ends[::-1]
 
 
-def split(route: DataFrame, people: int) -> DataFrame:
-    """route (scope, pos, id, x, y, orders) with person: stretches of the route with even orders."""
+def even_cuts(sums: np.ndarray, people: int) -> list[int]:
+    """Ends of the parts of least summed squared deviation from an even share; no part is empty while there are items."""
+    n, target = len(sums) - 1, float(sums[-1]) / people
+    _, came = _best_ends(n, min(people, n), lambda end: (sums[end] - sums[:end] - target) ** 2)
+    return _parts(came, min(people, n), n)
+
+
+def zone_cuts(sums: np.ndarray, jumps: np.ndarray, people: int, target: float) -> list[int]:
+    """Ends of the parts of least cost in which no jump is over JUMP; what is behind the last end has no part.
+
+    A part costs for its deviation, for what it is outside the bounds, and for its longest jump. jumps[i] leads to item i. If the whole
+    cannot be cut into that many parts, as much of it as can be is, at least cost, in as few parts.
+    """
+    n, (low, high) = len(sums) - 1, bounds(target)
+    people = min(people, n)
+
+    def cost(end: int) -> np.ndarray:
+        load = sums[end] - sums[:end]
+        longest = np.append(np.maximum.accumulate(jumps[end - 1 : 0 : -1])[::-1], 0.0)  # of the jumps inside begin .. end - 1
+        out = np.maximum(0.0, low - load) + np.maximum(0.0, load - high)
+        return np.where(longest > JUMP, np.inf, DEVIATION * (load - target) ** 2 + OVER_SQUARED * out**2 + OVER * out + FAR * longest)
+
+    best, came = _best_ends(n, people, cost)
+    if people and not np.isfinite(best[people, n]):
+        n = int(np.flatnonzero(np.isfinite(best[1:]).any(0)).max())
+        people = 1 + int(np.argmin(best[1:, n]))
+    return _parts(came, people, n)
+
+
+def jump_cost(metres: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(metres))
+    for least, base, slope in JUMP_COST:
+        out = np.where(metres > least, base + (metres - least) * slope, out)
+    return out
+
+
+def bounded_cuts(sums: np.ndarray, jumps: np.ndarray, people: int) -> list[int]:
+    """Ends of exactly `people` parts within the bounds at least cost: deviation, jumps inside, less a reward for jumps between
+    parts. Without such parts, they are chosen one after another."""
+    n, target = len(sums) - 1, float(sums[-1]) / people
+    low, high = bounds(target)
+    lone = jump_cost(jumps)
+    inside = np.cumsum(lone)
+    after = np.append(lone[1:], 0.0)
+
+    def cost(end: int) -> np.ndarray:
+        load = sums[end] - sums[:end]
+        made = OFF * np.abs(load - target) + INSIDE * (inside[end - 1] - inside[:end]) - REWARD * min(after[end - 1], MOST_REWARD)
+        return np.where((load >= low) & (load <= high), made, np.inf)
+
+    best, came = _best_ends(n, people, cost) if n else (np.full((people + 1, 1), np.inf), None)
+    return _parts(came, people, n) if np.isfinite(best[people, n]) else _cuts_in_turn(sums, jumps, people)
+
+
+def _cuts_in_turn(sums: np.ndarray, jumps: np.ndarray, people: int) -> list[int]:
+    """Each part ends where it is nearest to its share among the ends that leave the others theirs, or else where all is least off."""
+    n, target = len(sums) - 1, float(sums[-1]) / people
+    low, high = bounds(target)
+    ends, begin = [], 0
+    for others in range(people - 1, 0, -1):
+        end = np.arange(begin + 1, n + 1)
+        load, rest = sums[end] - sums[begin], sums[-1] - sums[end]
+        leaves = (others * low <= rest) & (rest <= others * high)
+        stop = np.flatnonzero((load >= high) & leaves)
+        seen = (load <= high + SLACK) & (np.arange(len(end)) <= (stop[0] if len(stop) else len(end)))
+        end, load, rest, leaves = end[seen], load[seen], rest[seen], leaves[seen]
+        jump = np.append(jumps, 0.0)[end] if len(end) else np.zeros(0)
+        good = leaves & (load >= low) & (load <= high)
+        cost = np.abs(load - target) - np.where(jump > JUMP, np.minimum(jump, LONG_JUMP) / BONUS_METRES, 0.0)
+        off = np.abs(load - target) + OUT_WEIGHT * (np.maximum(0, low - load) + np.maximum(0, load - high)) + REST_WEIGHT * np.abs(rest - others * target)
+        if good.any():
+            begin = int(end[good][np.argmin(cost[good])])
+        else:
+            begin = int(end[np.argmin(off)]) if len(end) else n
+        ends.append(begin)
+    return [*ends, n]
+
+
+def _split(route: DataFrame, cuts: Callable[[np.ndarray, np.ndarray], list[int]]) -> DataFrame:
     schema = T.StructType([*route.schema.fields, T.StructField("person", T.LongType())])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
         sums = np.concatenate([[0.0], np.cumsum(pdf["orders"].to_numpy(float))])
-        step = np.hypot(pdf["x"].diff().fillna(0.0), pdf["y"].diff().fillna(0.0)).to_numpy()
-        ends = partition_cost(sums, step, people)
-        return pdf.assign(person=np.searchsorted(ends, np.arange(len(pdf)), "right") + 1)[schema.fieldNames()]
+        jumps = np.hypot(pdf["x"].diff().fillna(0.0), pdf["y"].diff().fillna(0.0)).to_numpy()
+        ends = cuts(sums, jumps)
+        person = pd.Series(np.searchsorted(ends, np.arange(len(pdf)), "right") + 1, dtype="Int64")
+        return pdf.assign(person=person.mask(np.arange(len(pdf)) >= (ends[-1] if ends else 0)))[schema.fieldNames()]
 
     return route.groupBy("scope").applyInPandas(one, schema)
 
 
+def split(route: DataFrame, people: int) -> DataFrame:
+    """route (scope, pos, id, x, y, orders) with person: stretches of the route without jumps over JUMP (`zone_cuts`); null for what is left over."""
+    return _split(route, lambda sums, jumps: zone_cuts(sums, jumps, people, float(sums[-1]) / people))
+
+
+def split_bounded(route: DataFrame, people: int) -> DataFrame:
+    """route with person, all of it, within hard bounds where that can be (`bounded_cuts`)."""
+    return _split(route, lambda sums, jumps: bounded_cuts(sums, jumps, people))
+
+
+def split_even(route: DataFrame, people: int) -> DataFrame:
+    """route with person, all of it, in the most even parts (`even_cuts`)."""
+    return _split(route, lambda sums, jumps: even_cuts(sums, people))
+
+
+def residual_components(blocks: DataFrame) -> DataFrame:
+    """(scope, component, members, orders, nearest, reason) of blocks (scope, component, id, x, y, orders); reason is null for
+    components that are routed. A scope's main component is the one of most orders (the least of equals). nearest is the distance of
+    the nearest two blocks of a component and the main one, null beyond MIDDLING_METRES: they meet in grid cells."""
+    sums = blocks.groupBy("scope", "component").agg(F.count("*").alias("members"), F.sum("orders").alias("orders"))
+    first = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("orders"), "component")) == 1
+    ranked = sums.withColumn("main", first)
+    placed = blocks.join(ranked.select("scope", "component", "main"), ["scope", "component"])
+    cell = lambda c: F.floor(F.col(c) / MIDDLING_METRES)
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    main = placed.where("main").select("scope", F.col("x").alias("mx"), F.col("y").alias("my"), F.explode(F.transform(around, lambda i: cell("x") + i)).alias("gx"), "y").select("*", F.explode(F.transform(around, lambda i: cell("y") + i)).alias("gy")).drop("y")
+    rest = placed.where("not main").select("scope", "component", "x", "y", cell("x").alias("gx"), cell("y").alias("gy"))
+    metres = geo.distance(F.col("x"), F.col("y"), F.col("mx"), F.col("my"))
+    near = rest.join(main, ["scope", "gx", "gy"]).withColumn("nearest", metres).where(F.col("nearest") <= MIDDLING_METRES).groupBy("scope", "component").agg(F.min("nearest").alias("nearest"))
+    far = F.coalesce("nearest", F.lit(float("inf")))
+    reason = (
+        F.when(F.col("main"), None)
+        .when((F.col("members") == 1) & (F.col("orders") <= SMALL_ORDERS), "small_isolated_block")
+        .when((F.col("orders") <= MIDDLING_ORDERS) & (far > MIDDLING_METRES), "medium_far_component")
+        .when((F.col("orders") <= SMALL_ORDERS) & (far > SMALL_METRES), "small_far_island_component")
+    )
+    return ranked.join(near, ["scope", "component"], "left").withColumn("reason", reason).select("scope", "component", "members", "orders", "nearest", "reason")
+
+
 def quality(assigned: DataFrame, people: int) -> DataFrame:
-    """Per scope: parts outside the band, jumps inside parts, people without work."""
+    """Per scope: parts outside the band, jumps inside parts, people without work. assigned (scope, pos, x, y, orders, person)."""
     w = Window.partitionBy("scope", "person").orderBy("pos")
     jump = geo.distance(F.col("x"), F.col("y"), F.lag("x").over(w), F.lag("y").over(w))
-    parts = assigned.withColumn("jump", jump).groupBy("scope", "person").agg(F.sum("orders").alias("orders"), F.count_if(F.col("jump") > JUMP).alias("jumps"))
+    parts = assigned.where("person is not null").withColumn("jump", jump).groupBy("scope", "person").agg(F.sum("orders").alias("orders"), F.count_if(F.col("jump") > JUMP).alias("jumps"))
     target = F.sum("orders").over(Window.partitionBy("scope")) / people
     return parts.withColumn("outside", F.abs(F.col("orders") - target) > BAND * target).groupBy("scope").agg(F.count_if("outside").alias("outside"), F.sum("jumps").alias("jumps"), (F.lit(people) - F.count("*")).alias("idle"))
 

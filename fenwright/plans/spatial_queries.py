@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fenwright.functions import geo
@@ -14,9 +14,11 @@ POINTS = f"WITH RECURSIVE {D.POINTS_SQL}"
 SIDE = 700.0
 
 
-def parcels(spark: SparkSession) -> DataFrame:
-    """Squares of a lattice, every third one missing."""
-    n = spark.range(81 * 81).select((F.col("id") % 81 - 40).alias("i"), (F.floor(F.col("id") / 81) - 40).alias("j"), F.col("id").alias("polygon")).where("polygon % 3 <> 0")
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of a lattice in which points are, every third one missing."""
+    cell = lambda c: F.floor(F.col(c) / SIDE)
+    n = D.points(spark, sf_dir).select(cell("x").alias("i"), cell("y").alias("j")).distinct().where(F.pmod(F.col("i") + 2 * F.col("j"), F.lit(3)) != 0)
+    n = n.withColumn("polygon", (F.col("i") + 5000) * 10000 + F.col("j") + 5000)
     at = lambda c, more: (F.col(c) + more) * SIDE
     corner = lambda a, b: F.struct(at("i", a).alias("x"), at("j", b).alias("y"))
     ring = F.array(corner(0.0, 0.0), corner(1.0, 0.0), corner(1.0, 1.0), corner(0.0, 1.0))
@@ -25,12 +27,12 @@ def parcels(spark: SparkSession) -> DataFrame:
     return shaped.withColumn("area", F.abs(geo.signed_area(F.col("segs")))).withColumn("cx", middle["x"]).withColumn("cy", middle["y"])
 
 
-PARCELS = f"parcels AS (SELECT id AS polygon, (id % 81 - 40) * {SIDE} AS x1, (id // 81 - 40) * {SIDE} AS y1 FROM range(81 * 81) t(id) WHERE id % 3 <> 0)"
+PARCELS = f"cells AS (SELECT DISTINCT floor(x / {SIDE})::BIGINT AS i, floor(y / {SIDE})::BIGINT AS j FROM points), parcels AS (SELECT (i + 5000) * 10000 + j + 5000 AS polygon, i, j, (i * {SIDE})::DOUBLE AS x1, (j * {SIDE})::DOUBLE AS y1 FROM cells WHERE ((i + 2 * j) % 3 + 3) % 3 <> 0)"
 
 
 @query(f"{POINTS}, {PARCELS}, d AS (SELECT id, polygon, sqrt(greatest(x1 - x, 0, x - x1 - {SIDE}) ** 2 + greatest(y1 - y, 0, y - y1 - {SIDE}) ** 2) AS distance FROM points JOIN parcels ON x BETWEEN x1 - 30 AND x1 + {SIDE + 30} AND y BETWEEN y1 - 30 AND y1 + {SIDE + 30}) SELECT id, polygon FROM d WHERE distance <= 30 QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, polygon) = 1")
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.locate(D.points(spark, sf_dir), parcels(spark)).select("id", "polygon")
+    return spatial.locate(D.points(spark, sf_dir), parcels(spark, sf_dir)).select("id", "polygon")
 
 
 PAIRS = f"{POINTS}, pairs AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM points a JOIN points b ON a.id < b.id AND abs(a.x - b.x) <= 250 AND abs(a.y - b.y) <= 250 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 250)"
@@ -56,13 +58,12 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(_pairs(spark, sf_dir), "a", "b")
 
 
-@query(f"{POINTS} SELECT a.id AS a, b.id AS b, round(2 * 6371000.0 * asin(least(1.0, sqrt(sin(radians((b.y - a.y) / 100000) / 2) ** 2 + cos(radians(a.y / 100000)) * cos(radians(b.y / 100000)) * sin(radians((b.x - a.x) / 100000) / 2) ** 2))), 2) AS metres FROM points a JOIN points b ON a.label = b.label AND a.id < b.id AND b.id - a.id <= 20")
+@query(f"{PAIRS} SELECT pairs.a, pairs.b, round(2 * 6371000.0 * asin(least(1.0, sqrt(sin(radians((b.y - a.y) / 100000) / 2) ** 2 + cos(radians(a.y / 100000)) * cos(radians(b.y / 100000)) * sin(radians((b.x - a.x) / 100000) / 2) ** 2))), 2) AS metres FROM pairs JOIN points a ON a.id = pairs.a JOIN points b ON b.id = pairs.b")
 def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = D.points(spark, sf_dir)
-    a, b = p.alias("a"), p.alias("b")
-    near = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.id") < F.col("b.id")) & (F.col("b.id") - F.col("a.id") <= 20))
     deg = lambda c: F.col(c) / 100000
-    return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(geo.haversine(deg("a.y"), deg("a.x"), deg("b.y"), deg("b.x")), 2).alias("metres"))
+    side = lambda n: D.points(spark, sf_dir).select(F.col("id").alias(n), deg("x").alias(f"{n}_lon"), deg("y").alias(f"{n}_lat"))
+    near = _pairs(spark, sf_dir).select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return near.select("a", "b", F.round(geo.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")), 2).alias("metres"))
 
 
 @query(f"{PAIRS}, l AS (SELECT least(p.label, q.label) AS a, greatest(p.label, q.label) AS b, distance FROM pairs JOIN points p ON p.id = pairs.a JOIN points q ON q.id = pairs.b WHERE p.label <> q.label) SELECT a, b, round(min(distance), 3) AS distance FROM l GROUP BY a, b")
@@ -116,36 +117,133 @@ def reentry_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.reentries(_route(spark, sf_dir).withColumn("block", F.col("block") % 5))
 
 
-@query()
-def route_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return route.greedy(_route(spark, sf_dir).drop("pos", "block")).select("scope", "id", "pos")
+#: Routes in short: twenty points each, an eighth of the distances, so that some jumps are over the limit; people of each.
+LENGTH, PEOPLE = 20, 4
 
 
-@query()
-def partition_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = route.greedy(_route(spark, sf_dir).drop("pos", "block"))
-    return route.split(ordered, 6).groupBy("scope", "person").agg(F.sum("orders").alias("orders"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+def _short_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("id")
+    return D.points(spark, sf_dir).select(F.concat(F.lit("s"), F.floor(n / LENGTH)).alias("scope"), (n % LENGTH).alias("pos"), "id", (F.col("x") / 8).alias("x"), (F.col("y") / 8).alias("y"), F.col("orders").cast("long").alias("orders"))
 
 
-@query()
+SHORT = f"""{POINTS}, r AS (SELECT 's' || (id // {LENGTH}) AS scope, id % {LENGTH} AS pos, row_number() OVER (PARTITION BY id // {LENGTH} ORDER BY id) AS n, id, x / 8 AS x, y / 8 AS y, orders::DOUBLE AS orders FROM points),
+m AS (SELECT *, sum(orders) OVER w AS run, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS jump FROM r WINDOW w AS (PARTITION BY scope ORDER BY n)),
+t AS (SELECT scope, count(*) AS len, sum(orders) / {PEOPLE} AS target, floor(sum(orders) / {PEOPLE} * (1 - 0.1::DOUBLE)) AS low, ceil(sum(orders) / {PEOPLE} * (1 + 0.1::DOUBLE)) AS high, list(jump ORDER BY n) AS jumps FROM m GROUP BY scope),
+seg AS (SELECT a.scope, a.n - 1 AS s, b.n AS e, b.run - a.run + a.orders AS load, t.*  EXCLUDE (scope), coalesce(list_max(t.jumps[a.n + 1:b.n]), 0) AS longest FROM m a JOIN m b ON a.scope = b.scope AND a.n <= b.n JOIN t ON t.scope = a.scope)"""
+
+
+def _best(cost: str, allowed: str) -> str:
+    """Costs of the first e points in k parts, as one step for each k."""
+    steps = [f"c AS (SELECT *, {cost} AS cost FROM seg WHERE {allowed})", "d0 AS (SELECT scope, 0::BIGINT AS e, 0.0::DOUBLE AS cost FROM t)"]
+    steps += [f"d{k} AS (SELECT c.scope, c.e, min(d.cost + c.cost) AS cost FROM d{k - 1} d JOIN c ON c.scope = d.scope AND c.s = d.e GROUP BY c.scope, c.e)" for k in range(1, PEOPLE + 1)]
+    every = " UNION ALL ".join(f"SELECT scope, {k} AS parts, e, cost FROM d{k}" for k in range(1, PEOPLE + 1))
+    return ", ".join([*steps, f"best AS ({every})"])
+
+
+def _parts(found: DataFrame) -> DataFrame:
+    """(scope, person, load, longest, last, target, low, high) of a cut route."""
+    w = Window.partitionBy("scope", "person").orderBy("pos")
+    jump = geo.distance(F.col("x"), F.col("y"), F.lag("x").over(w), F.lag("y").over(w))
+    target = F.sum("orders").over(Window.partitionBy("scope")) / PEOPLE
+    parts = found.withColumn("jump", jump).withColumn("target", target).where("person is not null").groupBy("scope", "person", "target").agg(F.sum("orders").cast("double").alias("load"), F.coalesce(F.max("jump"), F.lit(0.0)).alias("longest"), F.count("*").alias("points"), F.sort_array(F.collect_list(F.struct("pos", "x", "y", "jump"))).alias("route"))
+    return parts.withColumns({"low": F.floor(F.col("target") * (1 - route.BAND)), "high": F.ceil(F.col("target") * (1 + route.BAND))})
+
+
+NEXT = "CASE WHEN NOT list_contains(g.seen, p.id) THEN (p.x - g.x) ** 2 + (p.y - g.y) ** 2 END"
+
+
+@query(f"""{SHORT}, g AS (SELECT scope, 1 AS pos, id, x, y, [id] AS seen FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY y DESC, x, id) AS first FROM r) WHERE first = 1
+  UNION ALL SELECT scope, pos, id, x, y, seen FROM (SELECT g.scope, g.pos + 1 AS pos, p.id, p.x, p.y, list_append(g.seen, p.id) AS seen, row_number() OVER (PARTITION BY g.scope ORDER BY (p.x - g.x) ** 2 + (p.y - g.y) ** 2, p.id) AS nearest FROM g JOIN r p ON p.scope = g.scope AND NOT list_contains(g.seen, p.id)) WHERE nearest = 1)
+SELECT scope, id, pos FROM g""")
+def route_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.greedy(_short_route(spark, sf_dir).drop("pos")).select("scope", "id", F.col("pos").cast("int").alias("pos"))
+
+
+@query(f"""{SHORT}, {_best("55 * (load - target) ** 2 + 1e6 * (greatest(0, low - load) + greatest(0, load - high)) ** 2 + 1e8 * (greatest(0, low - load) + greatest(0, load - high)) + 20 * longest", "longest <= 500")},
+f AS (SELECT best.*, row_number() OVER (PARTITION BY scope ORDER BY (parts = least({PEOPLE}, len) AND e = len) DESC, e DESC, cost, parts) AS nth FROM best JOIN t USING (scope))
+SELECT scope, parts, e AS points, round(cost, 2) AS cost FROM f WHERE nth = 1""")
+def partition_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _parts(route.split(_short_route(spark, sf_dir), PEOPLE))
+    out = F.greatest(F.lit(0), F.col("low") - F.col("load")) + F.greatest(F.lit(0), F.col("load") - F.col("high"))
+    cost = route.DEVIATION * F.pow(F.col("load") - F.col("target"), F.lit(2)) + route.OVER_SQUARED * out * out + route.OVER * out + route.FAR * F.col("longest")
+    return parts.groupBy("scope").agg(F.count("*").cast("int").alias("parts"), F.sum("points").alias("points"), F.round(F.sum(cost), 2).alias("cost"))
+
+
+PENALTY = "CASE WHEN {0} <= 400 THEN 0 WHEN {0} <= 800 THEN ({0} - 400) * 7 WHEN {0} <= 1000 THEN 9000 + ({0} - 800) * 14 ELSE 28000 + ({0} - 1000) * 60 END"
+
+
+@query(f"""{SHORT}, {_best(f"abs(load - target) * 120 + 1e5 * coalesce(list_sum(list_transform(jumps[s + 2:e], lambda j: {PENALTY.format('j')})), 0) - 0.18 * least(CASE WHEN e < len THEN {PENALTY.format('jumps[e + 1]')} ELSE 0 END, 12000)", "load BETWEEN low AND high")}
+SELECT scope, round(cost, 2) AS cost FROM best JOIN t USING (scope) WHERE parts = {PEOPLE} AND e = len""")
+def partition_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of the routes that can be cut within the bounds."""
+    rows = _short_route(spark, sf_dir)
+    w = Window.partitionBy("scope").orderBy("pos")
+    jump = F.coalesce(geo.distance(F.col("x"), F.col("y"), F.lag("x").over(w), F.lag("y").over(w)), F.lit(0.0))
+    after = F.coalesce(geo.distance(F.col("x"), F.col("y"), F.lead("x").over(w), F.lead("y").over(w)), F.lit(0.0))
+    price = lambda c: F.when(c <= 400, F.lit(0.0)).when(c <= 800, (c - 400) * 7).when(c <= 1000, 9000 + (c - 800) * 14).otherwise(28000 + (c - 1000) * 60)
+    found = route.split_bounded(rows, PEOPLE).withColumn("jump", jump).withColumn("after", after)
+    part = Window.partitionBy("scope", "person").orderBy("pos")
+    marked = found.withColumn("inside", F.when(F.lag("pos").over(part).isNotNull(), price(F.col("jump"))).otherwise(0.0)).withColumn("behind", F.when(F.lead("pos").over(part).isNull(), F.least(price(F.col("after")), F.lit(12_000.0))).otherwise(0.0))
+    target = F.sum("orders").over(Window.partitionBy("scope")) / PEOPLE
+    parts = marked.withColumn("target", target).groupBy("scope", "person", "target").agg(F.sum("orders").alias("load"), F.sum("inside").alias("inside"), F.sum("behind").alias("behind"))
+    good = (F.col("load") >= F.floor(F.col("target") * (1 - route.BAND))) & (F.col("load") <= F.ceil(F.col("target") * (1 + route.BAND)))
+    cost = route.OFF * F.abs(F.col("load") - F.col("target")) + route.INSIDE * F.col("inside") - route.REWARD * F.col("behind")
+    return parts.groupBy("scope").agg(F.bool_and(good).alias("good"), F.count("*").alias("parts"), F.round(F.sum(cost), 2).alias("cost")).where(F.col("good") & (F.col("parts") == PEOPLE)).select("scope", "cost")
+
+
+@query(f"""{SHORT}, {_best("(load - target) ** 2", "true")}
+SELECT scope, parts, round(cost, 4) AS cost FROM best JOIN t USING (scope) WHERE parts = least({PEOPLE}, len) AND e = len""")
+def partition_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _parts(route.split_even(_short_route(spark, sf_dir), PEOPLE))
+    return parts.groupBy("scope").agg(F.count("*").cast("int").alias("parts"), F.round(F.sum(F.pow(F.col("load") - F.col("target"), F.lit(2))), 4).alias("cost"))
+
+
+@query(f"""{SHORT}, a AS (SELECT *, pos // 5 + 1 AS person FROM r), j AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS jump FROM a WINDOW w AS (PARTITION BY scope, person ORDER BY pos)),
+p AS (SELECT scope, person, sum(orders) AS orders, count(*) FILTER (jump > 500) AS jumps FROM j GROUP BY ALL)
+SELECT scope, count(*) FILTER (abs(p.orders - target) > 0.1 * target) AS outside, sum(p.jumps)::BIGINT AS jumps, {PEOPLE} - count(*) AS idle FROM p JOIN t USING (scope) GROUP BY scope""")
 def route_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return route.quality(route.split(route.greedy(_route(spark, sf_dir).drop("pos", "block")), 6), 6)
+    assigned = _short_route(spark, sf_dir).withColumn("person", F.floor(F.col("pos") / 5) + 1)
+    return route.quality(assigned, PEOPLE)
 
 
-@query()
+@query(f"""{POINTS}, b AS (SELECT 's' || (label % 4) AS scope, id % 37 AS component, id, x / 8 AS x, y / 8 AS y, orders FROM points WHERE id % 37 <> 36 OR id % 3 = 0), c AS (SELECT scope, component, count(*) AS members, sum(orders)::BIGINT AS orders FROM b GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY orders DESC, component) = 1 AS main FROM c),
+n AS (SELECT p.scope, p.component, min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS d FROM b p JOIN k ON k.scope = p.scope AND k.component = p.component AND NOT k.main JOIN k z ON z.scope = p.scope AND z.main JOIN b q ON q.scope = p.scope AND q.component = z.component GROUP BY ALL)
+SELECT scope, component, members, orders, CASE WHEN d <= 1500 THEN round(d, 3) END AS nearest, CASE WHEN main THEN NULL WHEN members = 1 AND orders <= 24 THEN 'small_isolated_block' WHEN orders <= 40 AND d > 1500 THEN 'medium_far_component' WHEN orders <= 24 AND d > 500 THEN 'small_far_island_component' END AS reason
+FROM k LEFT JOIN n USING (scope, component)""")
+def residual_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = D.points(spark, sf_dir).where("id % 37 <> 36 or id % 3 = 0").select(F.concat(F.lit("s"), F.col("label") % 4).alias("scope"), (F.col("id") % 37).alias("component"), "id", (F.col("x") / 8).alias("x"), (F.col("y") / 8).alias("y"), "orders")
+    return route.residual_components(blocks).withColumn("nearest", F.round("nearest", 3))
+
+
+@query(f"""{SHORT}, s AS (SELECT m.*, t.* EXCLUDE (scope), jump > 500 AS new FROM m JOIN t USING (scope)), g AS (SELECT *, sum(new::INT) OVER (PARTITION BY scope ORDER BY n) AS grp FROM s), o AS (SELECT scope, grp, sum(orders) AS orders, any_value(target) AS target FROM g GROUP BY ALL)
+SELECT scope, grp::BIGINT AS "group", orders::BIGINT AS orders, orders < target * (1 - 0.1::DOUBLE) AS island, round(coalesce(sum(orders) FILTER (NOT orders < target * (1 - 0.1::DOUBLE)) OVER (PARTITION BY scope), 0) / {PEOPLE}, 6) AS target FROM o""")
+def route_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.islands(_short_route(spark, sf_dir), PEOPLE).withColumn("target", F.round(F.coalesce("target", F.lit(0.0)), 6))
+
+
+@query(f"""{POINTS}, c AS (SELECT 's' || (label % 4) AS scope, label AS cluster, sum(orders)::DOUBLE AS orders, count(*) AS units FROM points GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY cluster) AS nth, count(*) OVER (PARTITION BY scope) AS clusters, sum(orders) OVER (PARTITION BY scope) / 20 AS target FROM c),
+p AS (SELECT scope, nth, clusters, n, greatest(0, abs(orders / n - target) - 0.1 * target) AS over, n * (1e6 * over ** 2 + 1e8 * over + 55 * (orders / n - target) ** 2) AS cost FROM k, LATERAL (SELECT unnest(range(1, least(20, units) + 1)) AS n)),
+w AS (SELECT scope, nth, clusters, n AS used, cost FROM p WHERE nth = 1 UNION ALL SELECT w.scope, p.nth, p.clusters, w.used + p.n, w.cost + p.cost FROM w JOIN p ON p.scope = w.scope AND p.nth = w.nth + 1 WHERE w.used + p.n <= 20),
+f AS (SELECT scope, used, min(cost) AS cost FROM w WHERE nth = clusters GROUP BY ALL) SELECT scope, max(used)::BIGINT AS people, round(max_by(cost, used), 2) AS cost FROM f GROUP BY scope""")
 def people_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = D.points(spark, sf_dir).groupBy(F.concat(F.lit("s"), F.col("label") % 4).alias("scope"), F.col("label").alias("cluster")).agg(F.sum("orders").alias("orders"), F.count("*").alias("units"))
-    return route.allocate(clusters, 20)
+    target = F.sum("orders").over(Window.partitionBy("scope")) / 20
+    off = F.abs(F.col("orders") / F.col("people") - F.col("target"))
+    over = F.greatest(F.lit(0.0), off - route.BAND * F.col("target"))
+    cost = F.col("people") * (route.OVER_SQUARED * over * over + route.OVER * over + route.DEVIATION * off * off)
+    return route.allocate(clusters, 20).withColumn("target", target).groupBy("scope").agg(F.sum("people").alias("people"), F.round(F.sum(cost), 2).alias("cost"))
 
 
-@query()
+@query(f"{POINTS}, {PARCELS} SELECT least(a.polygon, b.polygon) AS a, greatest(a.polygon, b.polygon) AS b, 'touches' AS relation, 0::DOUBLE AS border, CASE WHEN a.i = b.i OR a.j = b.j THEN {SIDE}::DOUBLE ELSE 0::DOUBLE END AS shared, round(sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2), 3) AS centres FROM parcels a JOIN parcels b ON a.polygon < b.polygon AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1")
 def parcel_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.neighbours(parcels(spark)).select("a", "b", "relation", F.round("border", 3).alias("border"), F.round("shared", 3).alias("shared"), F.round("centres", 3).alias("centres"))
+    return spatial.neighbours(parcels(spark, sf_dir)).select("a", "b", "relation", F.round("border", 3).alias("border"), F.round("shared", 3).alias("shared"), F.round("centres", 3).alias("centres"))
 
 
-@query()
+@query(f"""{POINTS}, {PARCELS}, e AS (SELECT x1 AS ax, y1 AS ay, x1 + {SIDE}::DOUBLE AS bx, y1 AS "by" FROM parcels UNION ALL SELECT x1, y1 + {SIDE}::DOUBLE, x1 + {SIDE}::DOUBLE, y1 + {SIDE}::DOUBLE FROM parcels UNION ALL SELECT x1, y1, x1, y1 + {SIDE}::DOUBLE FROM parcels UNION ALL SELECT x1 + {SIDE}::DOUBLE, y1, x1 + {SIDE}::DOUBLE, y1 + {SIDE}::DOUBLE FROM parcels)
+SELECT ax, ay, bx, "by" FROM e GROUP BY ALL HAVING count(*) = 1""")
 def union_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = parcels(spark).select("polygon", F.explode("segs").alias("s")).select("polygon", "s.*")
+    segs = parcels(spark, sf_dir).select("polygon", F.explode("segs").alias("s")).select("polygon", "s.*")
     return spatial.outline(segs)
 
 

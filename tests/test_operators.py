@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 import struct
 import zipfile
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,7 +189,7 @@ def test_routes(spark):
     rows = [("s", i, rng.uniform(0, 2000), rng.uniform(0, 2000), rng.randrange(1, 9)) for i in range(60)] + [("t", 100, 0.0, 0.0, 5)]
     points = spark.createDataFrame(rows, "scope string, id long, x double, y double, orders long")
     ordered = route.greedy(points)
-    found = route.split(ordered, 5).collect()
+    found = route.split_even(ordered, 5).collect()
     assert sorted((r.scope, r.pos) for r in found) == sorted([("s", n + 1) for n in range(60)] + [("t", 1)])
     people = [r.person for r in sorted(found, key=lambda r: r.pos) if r.scope == "s"]
     assert people == sorted(people) and set(people) == {1, 2, 3, 4, 5}
@@ -199,6 +202,74 @@ def test_routes(spark):
     assert {(r.group, r.island) for r in route.islands(jumps, 2).collect()} == {(0, True), (1, False)}
 
 
+def all_cuts(n, people):
+    return [(*c, n) for c in itertools.combinations(range(1, n), people - 1)]
+
+
+def part_costs(sums, jumps, ends, price):
+    out, begin = 0.0, 0
+    for end in ends:
+        out += price(sums[end] - sums[begin], jumps[begin + 1 : end], jumps[end] if end < len(jumps) else 0.0)
+        begin = end
+    return out
+
+
+def test_partitions_against_all_cuts():
+    rng = random.Random(8)
+    lone = lambda d: 0.0 if d <= 400 else (d - 400) * 7.0 if d <= 800 else 9000 + (d - 800) * 14.0 if d <= 1000 else 28000 + (d - 1000) * 60.0
+    for trial in range(80):
+        n, people = rng.randint(1, 9), rng.randint(1, 4)
+        sums = np.cumsum([0.0, *(rng.randint(1, 9 if trial % 2 else 2) for _ in range(n))])
+        jumps = np.array([0.0, *(rng.uniform(0, 650) if trial % 3 else rng.uniform(0, 1500) for _ in range(n - 1))])
+        target = sums[-1] / people
+        low, high = math.floor(target * 0.9), math.ceil(target * 1.1)
+        # Most even parts.
+        price = lambda load, inside, after: (load - target) ** 2  # noqa: B023, E731
+        best = min(part_costs(sums, jumps, c, price) for c in all_cuts(n, min(people, n)))
+        assert part_costs(sums, jumps, route.even_cuts(sums, people), price) == pytest.approx(best)
+        # Without long jumps: as far as it goes.
+        out = lambda load: max(0, low - load) + max(0, load - high)  # noqa: B023, E731
+        price = lambda load, inside, after: math.inf if len(inside) and max(inside) > 500 else 55 * (load - target) ** 2 + 1e6 * out(load) ** 2 + 1e8 * out(load) + 20 * max(inside, default=0)  # noqa: B023, E731
+        got = route.zone_cuts(sums, jumps, people, target)
+        cut = {(m, k): min(part_costs(sums[: m + 1], jumps[:m], c, price) for c in all_cuts(m, k)) for m in range(1, n + 1) for k in range(1, min(people, m) + 1)}
+        finite = {x: c for x, c in cut.items() if c < math.inf}
+        far = n if (n, min(people, n)) in finite else max(m for m, _ in finite)
+        cost, k = (finite[n, min(people, n)], min(people, n)) if (n, min(people, n)) in finite else min((c, k) for (m, k), c in finite.items() if m == far)
+        assert got[-1] == far and len(got) == k and part_costs(sums[: far + 1], jumps[:far], got, price) == pytest.approx(cost)
+        # Within hard bounds, or one after another.
+        price = lambda load, inside, after: math.inf if not low <= load <= high else 120 * abs(load - target) + 1e5 * sum(map(lone, inside)) - 0.18 * min(lone(after), 12000)  # noqa: B023, E731
+        got = route.bounded_cuts(sums, jumps, people)
+        best = min((part_costs(sums, jumps, c, price) for c in all_cuts(n, people)), default=math.inf)
+        assert got[-1] == n and len(got) == people and got == sorted(got)
+        if best < math.inf:
+            assert part_costs(sums, jumps, got, price) == pytest.approx(best)
+
+
+def test_parts_chosen_one_after_another():
+    sums, jumps = np.cumsum([0.0, 5, 5, 30, 5, 5, 5]), np.zeros(6)
+    assert route.bounded_cuts(sums, jumps, 3) == [2, 3, 6]  # 55 / 3 each cannot be; 10 and 30 are nearest in turn
+
+
+def test_split_leaves_what_is_behind_long_jumps(spark):
+    rows = [("s", i, i, 100.0 * i + (2000.0 if i > 3 else 0.0) + (2000.0 if i > 5 else 0.0), 0.0, 2) for i in range(8)]
+    got = route.split(spark.createDataFrame(rows, "scope string, pos long, id long, x double, y double, orders long"), 2).orderBy("pos").collect()
+    assert [r.person for r in got] == [1, 1, 1, 1, 2, 2, None, None]
+
+
+def test_residual_components(spark):
+    rows = [("s", 1, i, 100.0 * i, 0.0, 20) for i in range(4)] + [("s", 2, 10, 300.0, 200.0, 9), ("s", 3, 11, 0.0, 900.0, 10), ("s", 3, 12, 10.0, 900.0, 10), ("s", 4, 13, 0.0, 9000.0, 20), ("s", 4, 14, 0.0, 9001.0, 20), ("s", 5, 15, 0.0, 400.0, 10), ("s", 5, 16, 0.0, 401.0, 10), ("s", 6, 17, 0.0, 9500.0, 50)]
+    got = {r.component: (r.nearest, r.reason) for r in route.residual_components(spark.createDataFrame(rows, "scope string, component long, id long, x double, y double, orders long")).collect()}
+    assert got == {1: (None, None), 2: (200.0, "small_isolated_block"), 3: (900.0, "small_far_island_component"), 4: (None, "medium_far_component"), 5: (400.0, None), 6: (None, None)}
+
+
+def test_statuses(spark):
+    patterns = spark.createDataFrame([("a", "x y", 0, False), ("a", "y z", 0, True), ("a", "p q", 3, False), ("b", "x y", 0, False), ("b", "s t", 0, False)], "owner string, pattern string, foreign long, selected boolean")
+    errors = spark.createDataFrame([("b", "w s t u"), ("b", "w s t u"), ("a", "xx y")], "owner string, normal string")
+    active = spark.createDataFrame([("a", "x y"), ("a", "p q"), ("b", "s t"), ("c", "old one")], "owner string, pattern string")
+    got = {(r.owner, r.pattern): r.status for r in learn.statuses(learn.error_hits(patterns, errors), active).collect()}
+    assert got == {("a", "x y"): "active", ("a", "y z"): "active", ("a", "p q"): "proposed", ("b", "x y"): "proposed", ("b", "s t"): "blocked_error", ("c", "old one"): "active"}
+
+
 def test_state(spark):
     day = date(2024, 1, 1)
     dims = [(day, "p", "b", "c")]
