@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fenwright.operators.cut import cut
+
 SPACE = r"(?U)\s+"
 
 
@@ -194,6 +196,23 @@ def row_id(order: Column) -> Column:
     return F.lit(1_000_000_000) + F.crc32(order).bitwiseAND(F.lit(0x3FFFFFFF))
 
 
+#: Rows of one range of the order, so that numbering takes one task for each range, not one for all.
+NUMBERED_RANGE = "_range"
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """df with each row's place in the order, from 1: ranges are sorted apart, and each begins behind those before it."""
+    sorted_ = cut(df.orderBy(*order).withColumn(NUMBERED_RANGE, F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    sizes = sorted_.groupBy(NUMBERED_RANGE).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    begins = sizes.select(F.col(NUMBERED_RANGE).alias("_r"), F.col("_first"), F.coalesce(F.sum("_n").over(Window.orderBy(NUMBERED_RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return sorted_.join(F.broadcast(begins), F.col(NUMBERED_RANGE) == F.col("_r")).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_r", "_first", "_before", "_at", NUMBERED_RANGE)
+
+
+def file_name(c: Column) -> Column:
+    """A text as the name of a file: what file systems refuse becomes an underscore, no space or dot at the ends."""
+    return F.regexp_replace(F.regexp_replace(c, r'[\\/:*?"<>|]+', "_"), r"^[ .]+|[ .]+$", "")
+
+
 def address_summary(records: DataFrame) -> DataFrame:
     """Per (scope, address): rows, distinct households, rows of each use, units in order, the most frequent district (the first seen of equals)."""
     uses = records.groupBy("scope", "address", "use").agg(F.count("*").alias("n")).groupBy("scope", "address").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("use", "n")))).alias("use_counts"))

@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A new lineage: a table in spark.checkpoint.dir, or a local one where that is unset."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from fenwright.operators.cut import cut as table
 
 
 #: Beyond so many edges the steps of a round are tables of their own.
 FEW_EDGES = 1_000_000
 
 
-def connected_components(edges: DataFrame, left: str, right: str, cut: Callable[[DataFrame], DataFrame] = _cut) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str, cut: Callable[[DataFrame], DataFrame] = table) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 
     Large-star and small-star rounds: each joins every edge with the smallest neighbour of its end,
