@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 
 _U = np.uint64
@@ -49,17 +48,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_powers = [np.zeros(0, np.uint64)] * 2
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, int(n).bit_length())
-    up, down = _powers(size)
-    return up[:n], down[:n]
+    """The first n powers of BASE and of its inverse; a worker keeps one pair of arrays, as long as it has needed."""
+    global _powers
+    if len(_powers[0]) < n:
+        size = 1 << max(12, int(n).bit_length())
+        up, down = np.full(size, BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        _powers = [np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)]
+    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
