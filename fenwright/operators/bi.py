@@ -62,6 +62,17 @@ def benchmark(cube: DataFrame) -> DataFrame:
     return per.withColumn("rank", F.row_number().over(order)).withColumn("share", share)
 
 
+#: What blank categories and details are called.
+NO_CATEGORY, NO_DETAIL = "(미분류)", "(내용 없음)"
+
+
+def grouped_details(rows: DataFrame) -> DataFrame:
+    """(person, category, detail, n, place) of rows (person, category, detail): groups of a person, the largest first."""
+    filled = lambda c, name: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(name)).alias(c)
+    counted = rows.select("person", filled("category", NO_CATEGORY), filled("detail", NO_DETAIL)).groupBy("person", "category", "detail").agg(F.count("*").alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy("person").orderBy(F.desc("n"), "category", "detail")))
+
+
 def shift_window(start: date, end: date, mode: str) -> tuple[date, date]:
     """The comparison period: both ends a month or a year earlier, at the month's end where the day does not exist."""
     import calendar

@@ -90,6 +90,12 @@ def summary(rules: DataFrame) -> DataFrame:
     return rules.groupBy("decision", "status").agg(F.count("*").alias("rules"), F.sum(F.size("origins")).alias("origins"))
 
 
+def catalogue(rules: DataFrame) -> DataFrame:
+    """(owner, kind, role, values, many): what people read of a document, sorted; the role is that of the rule's state."""
+    role = F.when(F.col("override"), "override").when(F.col("cross") == "hard", "hard").when(F.col("own"), "own").otherwise("other")
+    return in_use(rules).withColumn("role", role).groupBy("owner", "kind", "role").agg(F.array_sort(F.collect_set("value")).alias("values"), F.count_distinct("value").alias("many"))
+
+
 def truth(historical: DataFrame, approved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(truth, doubled): confirmed errors (order_number, owner, signature) of both sources; orders named twice, for which
     there is no truth to learn from, are told."""

@@ -128,6 +128,20 @@ def bracket_segments(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(c, F.lit(r"[\[(【]([^\])】]*)[\])】]"), F.lit(1)), lambda s: F.trim(s) != "")
 
 
+# Bracketed words that name no work.
+GENERIC_TAGS = ("고객", "요청", "확인", "안내", "문의", "통화", "방문", "접수")
+
+
+def bracket_lock(texts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(id, foreign): texts (id, own, text) with a bracketed part that holds a pattern of their own and one of another
+    owner. contexts: (owner, kind, key, key2) as for `owners`; a foreign word alone is not enough."""
+    parts = texts.select("id", "own", F.posexplode(bracket_segments(F.col("text"))).alias("nth", "part")).withColumn("normal", X.normal(F.col("part")))
+    kept = parts.where((F.col("normal") != "") & ~F.regexp_replace("normal", " ", "").isin(*GENERIC_TAGS))
+    named = kept.select(F.struct("id", "own", "nth").alias("id"), "normal")
+    found = owners(named, contexts).where(F.array_contains("owners", F.col("id.own")))
+    return found.select("id.id", "id.own", F.explode("owners").alias("foreign")).where("foreign <> own").select("id", "foreign").distinct()
+
+
 def leading(normalised: Column, generic: tuple[str, ...] = X.GENERIC_PHRASE) -> Column:
     """The first three words that say something."""
     return F.slice(F.filter(X.words(normalised), lambda t: ~t.isin(*generic)), 1, 3)

@@ -39,6 +39,39 @@ def approve(details: DataFrame, batches: DataFrame, exclusions: DataFrame, rows:
     return marked.where(good).drop("times", "known"), marked.where(~good).drop("times", "known")
 
 
+def registration(rows: DataFrame, known: DataFrame, active_details: DataFrame, most: int = 500) -> DataFrame:
+    """Preview of rows (order_number, subcategory) to register as errors by hand, each with its problem, null if there is none: blank
+    number, given twice, not among the known orders (order_number, subcategory, ..), of another subcategory there, or active
+    already; all have one if they are more than `most`."""
+    number = F.trim(F.coalesce("order_number", F.lit("")))
+    times = F.count("*").over(Window.partitionBy("order_number"))
+    given = rows.withColumn("order_number", number).withColumn("times", times)
+    given = given.withColumn("given", F.lit(given.limit(most + 1).count()))
+    there = known.groupBy("order_number").agg(F.min("subcategory").alias("theirs"))
+    on = active_details.select("order_number").distinct().withColumn("on", F.lit(True))
+    joined = given.join(there, "order_number", "left").join(on, "order_number", "left")
+    problem = (
+        F.when(F.col("given") > most, "too_many").when(F.col("order_number") == "", "blank").when(F.col("times") > 1, "twice")
+        .when(F.col("theirs").isNull(), "unknown").when(~F.col("subcategory").eqNullSafe(F.col("theirs")), "mismatch").when(F.col("on"), "active")
+    )
+    return joined.withColumn("problem", problem).select("order_number", "subcategory", "problem")
+
+
+def register(details: DataFrame, preview: DataFrame, known: DataFrame, batch_id: int) -> DataFrame:
+    """details with the previewed rows as details of a batch, all of them or, if one has a problem, none."""
+    if not preview.where("problem is not null").isEmpty():
+        return details
+    first = known.groupBy("order_number").agg(F.min(F.struct("detail_id", *C.DIMENSIONS)).alias("k"))
+    new = preview.select("order_number").join(first, "order_number").select("order_number", "k.*").withColumn("batch_id", F.lit(batch_id).cast("long"))
+    return details.unionByName(new.select(*details.columns))
+
+
+def replace_historical(fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(details, doubled): a full refresh of historical details; orders that stand there twice are told, and none of them is taken."""
+    counted = fresh.withColumn("times", F.count("*").over(Window.partitionBy("order_number")))
+    return counted.where("times = 1").drop("times"), counted.where("times > 1").select("order_number", "times").distinct()
+
+
 def roll_back_latest(batches: DataFrame, job_id: str | None = None) -> DataFrame:
     """batches with the latest manual one in force (of a job, if given) rolled back."""
     at = (F.col("batch_type") == "manual") & ~F.col("rolled_back")

@@ -253,3 +253,108 @@ def street_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = D.points(spark, sf_dir)
     records = p.select(F.lit("s").alias("scope"), "id", F.col("label").cast("string").alias("dong"), (F.col("id") % 10).cast("string").alias("road_stem"), (F.col("id") / 10).cast("int").alias("lot_main"), F.lit(None).cast("int").alias("lot_sub"), (36 + F.col("y") / 10_000_000).alias("lat"), (127 + F.col("x") / 10_000_000).alias("lon"))
     return streets.blocks(records)
+
+
+EDGES = f"""{PAIRS}, walls AS (SELECT id, x AS ax, y AS ay, x + 60 AS bx, y + 80 AS "by" FROM points WHERE id % 5 = 0), k AS (SELECT pairs.a, pairs.b, distance, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS "by" FROM pairs JOIN points p ON p.id = pairs.a JOIN points q ON q.id = pairs.b)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = lambda n: D.points(spark, sf_dir).select(F.col("id").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    return _pairs(spark, sf_dir).join(side("a"), "a").join(side("b"), "b")
+
+
+TURN = "CASE WHEN abs(({2} - {0}) * ({5} - {1}) - ({3} - {1}) * ({4} - {0})) <= 1e-9 THEN 0 ELSE sign(({2} - {0}) * ({5} - {1}) - ({3} - {1}) * ({4} - {0})) END"
+ON = "(abs(({2} - {0}) * ({5} - {1}) - ({3} - {1}) * ({4} - {0})) <= 1e-9 AND {4} BETWEEN least({0}, {2}) - 1e-9 AND greatest({0}, {2}) + 1e-9 AND {5} BETWEEN least({1}, {3}) - 1e-9 AND greatest({1}, {3}) + 1e-9)"
+_S, _O = ("k.ax", "k.ay", "k.bx", 'k."by"'), ("w.ax", "w.ay", "w.bx", 'w."by"')
+CROSS = f"(({TURN.format(*_S, *_O[:2])}) <> ({TURN.format(*_S, *_O[2:])}) AND ({TURN.format(*_O, *_S[:2])}) <> ({TURN.format(*_O, *_S[2:])})) OR {ON.format(*_S, *_O[:2])} OR {ON.format(*_S, *_O[2:])} OR {ON.format(*_O, *_S[:2])} OR {ON.format(*_O, *_S[2:])}"
+
+
+@query(f"{EDGES} SELECT DISTINCT a, b FROM k JOIN walls w ON {CROSS}")
+def barrier_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir).withColumn("edge", F.struct("a", "b"))
+    walls = D.points(spark, sf_dir).where("id % 5 = 0").select(F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 60).alias("bx"), (F.col("y") + 80).alias("by"))
+    return spatial.crossing(edges.select("edge", "ax", "ay", "bx", "by"), walls).select("edge.*")
+
+
+MEASURED = "border AS (SELECT a, b, distance / 10 AS border, (a + b) % 4 AS shared, distance AS centres, (a + b) % 7 = 0 AS barrier, a % 10 <> b % 10 AND (a + b) % 3 = 0 AS other FROM pairs)"
+RELATION = "CASE WHEN NOT ((border <= 3 AND shared >= 1) OR (border <= 18 AND centres <= 90)) THEN NULL WHEN other THEN 'across_admin_boundary' WHEN barrier THEN 'across_transport_barrier' WHEN border <= 3 AND shared >= 1 THEN 'touches' ELSE 'near' END"
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, d = F.col("a"), F.col("b"), F.col("distance")
+    return _pairs(spark, sf_dir).select("a", "b", (d / 10).alias("border"), ((a + b) % 4).alias("shared"), d.alias("centres"), ((a + b) % 7 == 0).alias("barrier"), ((a % 10 != b % 10) & ((a + b) % 3 == 0)).alias("other"))
+
+
+@query(f"{PAIRS}, {MEASURED} SELECT a, b, {RELATION} AS relation FROM border")
+def edge_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir).select("a", "b", spatial.relation(*map(F.col, ("border", "shared", "centres", "barrier", "other"))).alias("relation"))
+
+
+@query(f"{PAIRS}, {MEASURED}, r AS (SELECT a % 20 AS block, {RELATION} AS relation FROM border) SELECT block, relation, count(*) AS edges FROM r WHERE relation IS NOT NULL GROUP BY ALL")
+def relation_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _measured(spark, sf_dir).select((F.col("a") % 20).alias("block"), spatial.relation(*map(F.col, ("border", "shared", "centres", "barrier", "other"))).alias("relation"))
+    return rows.where("relation is not null").groupBy("block", "relation").agg(F.count("*").alias("edges"))
+
+
+@query(f"{PAIRS}, {MEASURED} SELECT a, b, CASE WHEN border <= 3 AND shared >= 1 THEN 'touches' WHEN border <= 18 AND centres * 3 <= 90 THEN 'near' WHEN centres * 3 <= 500 THEN 'weak_bridge' ELSE 'over_500m_jump' END AS link FROM border")
+def route_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.link_types(_measured(spark, sf_dir).withColumn("distance", F.col("centres") * 3)).select("a", "b", "link")
+
+
+@query(f"""{SHORT}, u AS (SELECT *, sum(orders) OVER (PARTITION BY scope) AS whole FROM r), g AS (SELECT scope, pos, orders, 0 AS unit, orders AS load, whole, n FROM u WHERE n = 1
+  UNION ALL SELECT u.scope, u.pos, u.orders, CASE WHEN cut THEN g.unit + 1 ELSE g.unit END, CASE WHEN cut THEN u.orders ELSE g.load + u.orders END, u.whole, u.n FROM g, u, LATERAL (SELECT u.whole > 78 AND g.load >= 12 AND (g.load + u.orders > 25 OR abs(g.load - 18) <= abs(g.load + u.orders - 18)) AS cut) WHERE u.scope = g.scope AND u.n = g.n + 1)
+SELECT scope, pos, unit::BIGINT AS unit FROM g""")
+def block_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each short route as a block of one scope: one unit, or parts where it holds more than 78 orders."""
+    found = route.units(_short_route(spark, sf_dir).withColumn("block", F.lit(1)), 18.0, 12.0, 78.0)
+    return found.select("scope", "pos", "unit")
+
+
+TRIANGLE = "t AS (SELECT id, x AS ax, y AS ay, x + 10 + id % 7 AS bx, y + id % 5 AS \"by\", x + id % 3 AS cx, y + 20 - id % 40 AS cy FROM points), s AS (SELECT *, ((ax * \"by\" - bx * ay) + (bx * cy - cx * \"by\") + (cx * ay - ax * cy)) / 2 AS area FROM t)"
+
+
+@query(f"""{POINTS}, {TRIANGLE} SELECT id, round(area, 4) AS area, 3::INT AS segments, round((ax + bx + cx) / 3, 3) AS mx, round((ay + "by" + cy) / 3, 3) AS my, round(greatest(0, greatest(ax, bx, cx) - 1e3, -1e3 - least(ax, bx, cx)), 3) AS beyond FROM s WHERE abs(area) > 1""")
+def triangle_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings left open and closed: segments, signed area, centroid, and how far the box reaches beyond a kilometre."""
+    n, x, y = F.col("id"), F.col("x"), F.col("y")
+    corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    first = corner(x, y)
+    ring = F.array(first, corner(x + 10 + n % 7, y + n % 5), corner(x + n % 3, y + 20 - n % 40))
+    shaped = D.points(spark, sf_dir).select("id", F.when(n % 2 == 0, ring).otherwise(geo.closed(ring)).alias("ring")).select("id", "ring", geo.segments(F.col("ring")).alias("segs"))
+    middle = geo.centroid(F.col("segs"))
+    xs = F.transform("ring", lambda p: p.x)
+    beyond = F.greatest(F.lit(0.0), F.array_max(xs) - 1e3, F.lit(-1e3) - F.array_min(xs))
+    area = geo.signed_area(F.col("segs"))
+    return shaped.where(F.abs(area) > 1).select("id", F.round(area, 4).alias("area"), F.size("segs").alias("segments"), F.round(middle["x"], 3).alias("mx"), F.round(middle["y"], 3).alias("my"), F.round(beyond, 3).alias("beyond"))
+
+
+@query(f"""{POINTS}, p AS (SELECT id, radians(36 + y / 100000) AS f, 127 + x / 100000 AS lon FROM points), c AS (SELECT (1 / 298.257222101::DOUBLE) * (2 - 1 / 298.257222101::DOUBLE) AS e2), v AS (SELECT p.*, e2, e2 / (1 - e2) AS ep2, 6378137 / sqrt(1 - e2 * sin(f) ** 2) AS n, tan(f) ** 2 AS t, e2 / (1 - e2) * cos(f) ** 2 AS c, radians(lon - 127) * cos(f) AS a,
+  [6378137 * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * g - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * sin(2 * g) + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * sin(4 * g) - (35 * e2 ** 3 / 3072) * sin(6 * g)) FOR g IN [f, radians(38.0)]] AS m FROM p, c)
+SELECT id, round(200000 + n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * a ** 5 / 120), 3) AS x, round(600000 + m[1] - m[2] + n * tan(f) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * a ** 6 / 720), 3) AS y FROM v""")
+def plane_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = geo.to_plane(36 + F.col("y") / 100_000, 127 + F.col("x") / 100_000)
+    return D.points(spark, sf_dir).select("id", F.round(at["x"], 3).alias("x"), F.round(at["y"], 3).alias("y"))
+
+
+@query(f"{POINTS}, r AS (SELECT id, (label % 6)::VARCHAR AS code, CASE WHEN id % 4 > 0 THEN 'd' || (label % 6) END AS dong FROM points), names(code, name) AS (VALUES ('0', 'zero'), ('1', 'one'), ('2', 'two')), m AS (SELECT code, dong, count(*) AS n, min(id) AS first FROM r WHERE dong IS NOT NULL GROUP BY ALL), o AS (SELECT code, min_by(dong, {{'n': -n, 'first': first}}) AS common FROM m GROUP BY code) SELECT id, coalesce(name, common) AS dong FROM r LEFT JOIN names USING (code) LEFT JOIN o USING (code)")
+def district_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A district by the code of the parcel, else the one that most records of the code name."""
+    n = F.col("id")
+    rows = D.points(spark, sf_dir).select("id", (F.col("label") % 6).cast("string").alias("code"), F.when(n % 4 > 0, F.concat(F.lit("d"), F.col("label") % 6)).alias("dong"))
+    return spatial.districts(rows, spark.createDataFrame([("0", "zero"), ("1", "one"), ("2", "two")], "code string, name string"))
+
+
+@query(f"{POINTS}, b AS (SELECT label AS block, sum(CASE WHEN label % 3 = 0 THEN 0 ELSE orders END)::BIGINT AS orders FROM points GROUP BY label) SELECT count(*) AS blocks, count(*) FILTER (orders > 0) AS active FROM b")
+def active_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = D.points(spark, sf_dir).groupBy("label").agg(F.sum(F.when(F.col("label") % 3 == 0, 0).otherwise(F.col("orders"))).alias("orders"))
+    return sums.agg(F.count("*").alias("blocks"), F.count_if(F.col("orders") > 0).alias("active"))
+
+
+@query(f"""{PAIRS}, r AS (SELECT id, (label % 3)::VARCHAR AS dong, (id % 5)::VARCHAR AS stem, CASE WHEN id % 6 > 0 THEN id // 10 END AS main, CASE WHEN id % 4 = 0 THEN id % 9 END AS sub FROM points)
+SELECT pairs.a, pairs.b, round(distance + CASE WHEN l.dong <> r.dong THEN 90 ELSE 0 END + CASE WHEN l.stem <> r.stem THEN 50 + CASE WHEN distance > 70 THEN 45 ELSE 0 END ELSE 0 END + CASE WHEN l.main IS NULL OR r.main IS NULL THEN 0 ELSE least(abs(l.main - r.main) * 4, 80) END + CASE WHEN l.sub IS NULL OR r.sub IS NULL THEN 0 ELSE least(abs(l.sub - r.sub) * 2, 24) END, 3) AS score FROM pairs JOIN r l ON l.id = pairs.a JOIN r ON r.id = pairs.b""")
+def address_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("id")
+    record = F.struct((F.col("label") % 3).cast("string").alias("dong"), (n % 5).cast("string").alias("road_stem"), F.when(n % 6 > 0, F.floor(n / 10)).alias("lot_main"), F.when(n % 4 == 0, n % 9).alias("lot_sub"))
+    side = lambda c, name: D.points(spark, sf_dir).select(n.alias(c), record.alias(name))
+    both = _pairs(spark, sf_dir).join(side("a", "l"), "a").join(side("b", "r"), "b")
+    return both.select("a", "b", F.round(streets.affinity("l", "r", F.col("distance")), 3).alias("score"))

@@ -13,8 +13,7 @@ from fenwright.registry import query
 
 NORMAL = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '<(?:전화번호|성명|이메일|식별번호)>', ' ', 'g'), '[^가-힣a-z]+', ' ', 'g'))"
 WORDS = "list_filter(string_split(n, ' '), lambda t: t <> '')"
-DOCS = f"WITH d AS (SELECT doc_id AS id, lang AS owner, {NORMAL.format('text')} AS n, text FROM documents), w AS (SELECT *, {WORDS} AS w FROM d)"
-SHORT = f"WITH d AS (SELECT doc_id AS id, lang AS owner, {NORMAL.format('text')} AS n, text FROM documents WHERE n_chars < 600), w AS (SELECT *, {WORDS} AS w FROM d)"
+DOCS = f"WITH d AS (SELECT doc_id AS id, lang AS owner, {NORMAL.format('text')} AS n, text, n_chars FROM documents), w AS (SELECT *, {WORDS} AS w FROM d)"
 
 
 def grams_sql(size: int, source: str = "w") -> str:
@@ -26,11 +25,6 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), F.col("lang").alias("owner"), X.normal(F.col("text")).alias("normal"), "text", "n_chars")
 
 
-def short_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Details in the length of service notes; the operators take any, the domain has short ones."""
-    return details(spark, sf_dir).where("n_chars < 600")
-
-
 @query(f"{DOCS} SELECT id, md5(n) AS normal_md5, md5(regexp_replace(lower(text), '[^가-힣a-z]+', '', 'g')) AS signature_md5 FROM d")
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details(spark, sf_dir).select("id", F.md5("normal").alias("normal_md5"), F.md5(X.signature(F.col("text"))).alias("signature_md5"))
@@ -87,10 +81,10 @@ def body_context_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _learning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = D.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
-    return short_details(spark, sf_dir).join(labels, "id", "left").withColumn("confirmed", F.col("quality").isNotNull()).withColumn("signature", X.signature(F.col("text")))
+    return details(spark, sf_dir).join(labels, "id", "left").withColumn("confirmed", F.col("quality").isNotNull()).withColumn("signature", X.signature(F.col("text")))
 
 
-LEARN = f"{SHORT}, lr AS (SELECT w.*, quality IS NOT NULL AS confirmed, md5(regexp_replace(lower(text), '[^가-힣a-z]+', '', 'g')) AS s, regexp_replace(lower(text), '[^가-힣a-z]+', '', 'g') <> '' AS filled FROM w LEFT JOIN labels ON doc_id = id)"
+LEARN = f"{DOCS}, lr AS (SELECT w.*, quality IS NOT NULL AS confirmed, md5(regexp_replace(lower(text), '[^가-힣a-z]+', '', 'g')) AS s, regexp_replace(lower(text), '[^가-힣a-z]+', '', 'g') <> '' AS filled FROM w LEFT JOIN labels ON doc_id = id)"
 
 
 @query(f"{LEARN} SELECT owner, s AS signature, count(*) AS total, count(*) FILTER (confirmed) AS confirmed, count(*) FILTER (NOT confirmed) AS normal FROM lr WHERE filled GROUP BY ALL")
@@ -106,8 +100,12 @@ def exact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 MINE = f"{LEARN}, u AS (SELECT any_value(id) AS id, owner, s, any_value(w) AS w, count(*) AS weight FROM lr WHERE confirmed AND filled GROUP BY owner, s), g AS ({grams_sql(2, 'u')} UNION ALL {grams_sql(3, 'u')} UNION ALL {grams_sql(4, 'u')})"
 
 
-def _confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _learning_rows(spark, sf_dir).where("confirmed and signature <> ''")
+#: Texts of service notes' length, for the two queries whose SQL or whose pairs are too slow on long ones.
+SHORT = "n_chars < 600"
+
+
+def _confirmed(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    rows = _learning_rows(spark, sf_dir).where(which).where("confirmed and signature <> ''")
     return rows.groupBy("owner", "signature").agg(F.first("normal").alias("normal"), F.count("*").alias("weight"))
 
 
@@ -116,27 +114,28 @@ def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.eligible(learn.phrases(_confirmed(spark, sf_dir)), learn.PHRASE_SUPPORT)
 
 
-@query(f"""{MINE}, t AS (SELECT id, owner, weight, i, w[i] AS x FROM u, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) WHERE len(w[i]) >= 2),
-p AS (SELECT DISTINCT a.id, a.owner, a.weight, a.x || ' ' || b.x AS phrase, 2 AS size FROM t a JOIN t b ON a.id = b.id AND b.i - a.i BETWEEN 2 AND 6
-  UNION SELECT DISTINCT a.id, a.owner, a.weight, a.x || ' ' || b.x || ' ' || c.x, 3 FROM t a JOIN t b ON a.id = b.id AND b.i > a.i AND b.i - a.i <= 6 JOIN t c ON a.id = c.id AND c.i > b.i AND c.i - a.i BETWEEN 3 AND 6)
+@query(f"""{MINE.replace("LEFT JOIN labels ON doc_id = id)", "LEFT JOIN labels ON doc_id = id WHERE n_chars < 600)")}, t AS (SELECT id, owner, weight, w, i FROM u, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) WHERE len(w[i]) >= 2),
+s AS (SELECT t.*, j FROM t, LATERAL (SELECT unnest(range(i + 1, least(i + 6, len(w)) + 1)) AS j) WHERE len(w[j]) >= 2),
+p AS (SELECT DISTINCT id, owner, weight, w[i] || ' ' || w[j] AS phrase, 2 AS size FROM s WHERE j - i >= 2
+  UNION SELECT DISTINCT id, owner, weight, w[i] || ' ' || w[j] || ' ' || w[k], 3 FROM s, LATERAL (SELECT unnest(range(j + 1, least(i + 6, len(w)) + 1)) AS k) WHERE len(w[k]) >= 2 AND k - i >= 3)
 SELECT owner, phrase, size, sum(weight)::BIGINT AS support, count(*) AS signatures FROM p WHERE len(replace(phrase, ' ', '')) >= 5 GROUP BY owner, phrase, size HAVING sum(weight) >= CASE size WHEN 2 THEN 3 ELSE 2 END AND count(*) >= 2""")
 def core_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learn.eligible(learn.core_phrases(_confirmed(spark, sf_dir)), learn.CORE_SUPPORT, learn.CORE_SIGNATURES)
+    return learn.eligible(learn.core_phrases(_confirmed(spark, sf_dir, SHORT)), learn.CORE_SUPPORT, learn.CORE_SIGNATURES)
 
 
 @query()
 def ordered_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _learning_rows(spark, sf_dir).where("signature <> ''")
+    rows = _learning_rows(spark, sf_dir).where(SHORT).where("signature <> ''")
     weighed = rows.groupBy("owner", "normal").agg(F.count_if("confirmed").alias("confirmed"), F.count_if(~F.col("confirmed")).alias("normal_count"))
-    best = learn.eligible(learn.phrases(_confirmed(spark, sf_dir)), {4: 2})
+    best = learn.eligible(learn.phrases(_confirmed(spark, sf_dir, SHORT)), {4: 2})
     return learn.confirm(best, weighed).select("owner", "phrase", "support", "confirmed", "normal", "status")
 
 
-EVIDENCE = f"{SHORT}, g AS ({grams_sql(2)} UNION ALL {grams_sql(3)} UNION ALL {grams_sql(4)}), o AS (SELECT owner, g AS pattern, size, count(*) AS support, count(DISTINCT id % 11) AS dates, count(DISTINCT id % 5) AS people, count(*) FILTER (id % 4 = 0) AS coverage FROM g GROUP BY ALL), e AS (SELECT *, (sum(support) OVER (PARTITION BY pattern))::BIGINT - support AS \"foreign\" FROM o), k AS (SELECT * FROM e WHERE support >= 2)"
+EVIDENCE = f"{DOCS}, g AS ({grams_sql(2)} UNION ALL {grams_sql(3)} UNION ALL {grams_sql(4)}), o AS (SELECT owner, g AS pattern, size, count(*) AS support, count(DISTINCT id % 11) AS dates, count(DISTINCT id % 5) AS people, count(*) FILTER (id % 4 = 0) AS coverage FROM g GROUP BY ALL), e AS (SELECT *, (sum(support) OVER (PARTITION BY pattern))::BIGINT - support AS \"foreign\" FROM o), k AS (SELECT * FROM e WHERE support >= 2)"
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learn.evidence(short_details(spark, sf_dir).select("id", "owner", "normal", (F.col("id") % 11).alias("date"), (F.col("id") % 5).alias("person"), (F.col("id") % 4 == 0).alias("candidate")))
+    return learn.evidence(details(spark, sf_dir).select("id", "owner", "normal", (F.col("id") % 11).alias("date"), (F.col("id") % 5).alias("person"), (F.col("id") % 4 == 0).alias("candidate")))
 
 
 @query(f"{EVIDENCE} SELECT * FROM k")
@@ -159,7 +158,7 @@ def evidence_accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similarity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeness of short details to benchmark items of any owner: the best of those with the nearest character pairs."""
     sig = lambda c: X.signature(F.col(c))
-    some = short_details(spark, sf_dir).where("n_chars < 120").select("id", F.lit("all").alias("owner"), sig("text").alias("sig"))
+    some = details(spark, sf_dir).where("n_chars < 120").select("id", F.lit("all").alias("owner"), sig("text").alias("sig"))
     items = D.table(spark, sf_dir, "benchmark").select(F.lit("all").alias("owner"), sig("text").alias("sig"))
     return rules.closest(some, items, 5).select("id", F.round("score", 6).alias("score"))
 

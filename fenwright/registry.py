@@ -23,7 +23,7 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Quer
 
         QUERIES[f.__name__] = run if dates else f
         if sql:
-            SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'{d}::VARCHAR AS {d}' for d in dates)}) FROM ({sql})" if dates else sql
+            SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'"{d}"::VARCHAR AS "{d}"' for d in dates)}) FROM ({sql})" if dates else sql
         return f
 
     return put
