@@ -26,7 +26,7 @@ def trend(cube: DataFrame, start: str, end: str, by: str = "day", series: str |
     found = cube.withColumn("bucket", unit if isinstance(unit, Column) else F.col(unit)).groupBy(*keys).agg(*sums())
     spine = cube.sparkSession.range(1).select(F.explode(F.sequence(first, last, F.expr(step))).alias("bucket"))
     if series:
-        spine = spine.crossJoin(F.broadcast(cube.select(series).distinct()))
+        spine = cube.select(series).distinct().crossJoin(F.broadcast(spine))  # a period's days, at most
     filled = spine.join(found, keys, "left").select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total_count", "error_count")))
     return with_rate(filled)
 

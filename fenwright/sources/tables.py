@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -114,7 +115,7 @@ def with_header(cells: DataFrame, signature: Sequence[str], columns: Sequence[st
     heads = trimmed.where(is_header).groupBy("path", "sheet").agg(F.min_by(F.struct("row", "cells"), "row").alias("head"))
     sizes = trimmed.groupBy("path", "sheet").agg(F.count("*").alias("n"))
     best = heads.join(sizes, ["path", "sheet"]).groupBy("path").agg(F.max_by(F.struct("sheet", "head"), F.struct("n", "sheet")).alias("b")).select("path", "b.sheet", F.col("b.head.row").alias("top"), F.col("b.head.cells").alias("names"))
-    below = trimmed.join(F.broadcast(best), ["path", "sheet"]).where(F.col("row") > F.col("top"))
+    below = trimmed.join(best, ["path", "sheet"]).where(F.col("row") > F.col("top"))
     value = lambda c: F.when(F.array_position("names", c) > 0, F.get("cells", (F.array_position("names", c) - 1).cast("int")))
     return below.select("path", *(value(c).alias(c) for c in columns)).na.drop(how="all", subset=list(columns))
 
@@ -352,34 +353,61 @@ def legal_dongs(attributes: DataFrame) -> DataFrame:
 
 
 class Versions:
-    """Tables under a folder, each write a new version; a pointer file, renamed into place, says which one is current."""
+    """Tables under a folder, each write a new version; numbered pointer files, the last of which says what is current.
+
+    A pointer is created only where none of its number is, so of two writers that replace the same version one fails; there
+    is a current version at any time, whenever a writer dies. A pointer that a writer left empty counts for nothing, and after
+    STALE seconds stands in nobody's way.
+    """
+
+    STALE = 600
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
+        self.jvm = spark.sparkContext._jvm
+        self.path = self.jvm.org.apache.hadoop.fs.Path
         self.files = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[tuple[int, str | None, float]]:
+        """(number, version or None, age in seconds), the latest first."""
+        folder, out = self.path(f"{self.root}/_current"), []
+        if self.files.exists(folder):
+            now = self.jvm.java.lang.System.currentTimeMillis()
+            for status in self.files.listStatus(folder):
+                if status.getPath().getName().isdigit():
+                    stream = self.files.open(status.getPath())
+                    text = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                    stream.close()
+                    try:
+                        version = json.loads(text)["version"]
+                    except ValueError:  # its writer has not come so far
+                        version = None
+                    out.append((int(status.getPath().getName()), version, (now - status.getModificationTime()) / 1000))
+        return sorted(out, reverse=True)
+
     def write(self, tables: dict[str, DataFrame], expected: str | None = None, **partition_by: Sequence[str]) -> str:
         """Write all tables as one version and make it current, unless another writer was faster (`expected` is not current any more)."""
         version = uuid.uuid4().hex
         for name, df in tables.items():
             df.write.partitionBy(*partition_by.get(name, ())).parquet(f"{self.root}/{version}/{name}")
-        if expected is not None and self.current() != expected:
+        pointers = self._pointers()
+        faster = expected is not None and (self.current() != expected or any(v is None and age < self.STALE for _, v, age in pointers[:1]))
+        if not faster:
+            try:
+                out = self.files.create(self.path(f"{self.root}/_current/{pointers[0][0] + 1 if pointers else 1:012d}"), False)
+                out.write(json.dumps({"version": version, "tables": sorted(tables)}).encode())
+                out.close()
+            except Py4JJavaError as e:
+                if "Exist" not in e.java_exception.getClass().getName() and "exist" not in str(e.java_exception.getMessage()):
+                    raise
+                faster = True
+        if faster:
             self.files.delete(self.path(f"{self.root}/{version}"), True)
             raise RuntimeError("another version has become current")
-        manifest = self.spark.createDataFrame([(json.dumps({"version": version, "tables": sorted(tables)}),)], "value string")
-        manifest.coalesce(1).write.text(f"{self.root}/_pointer-{version}")
-        old = self.path(f"{self.root}/CURRENT")
-        if self.files.exists(old):
-            self.files.delete(old, True)
-        self.files.rename(self.path(f"{self.root}/_pointer-{version}"), old)
         return version
 
     def current(self) -> str | None:
-        if not self.files.exists(self.path(f"{self.root}/CURRENT")):
-            return None
-        return json.loads(self.spark.read.text(f"{self.root}/CURRENT").first()["value"])["version"]
+        return next((version for _, version, _ in self._pointers() if version), None)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.current()}/{name}")

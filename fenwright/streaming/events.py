@@ -37,7 +37,7 @@ def keep_cube(rows: DataFrame, rows_path: str, cube_path: str, checkpoint: str)
         days = batch.select("order_date").where("order_date is not null").distinct()
         if days.isEmpty():
             return
-        touched = spark.read.parquet(rows_path).join(F.broadcast(days), "order_date", "left_semi").dropDuplicates(["row_id"])
+        touched = spark.read.parquet(rows_path).join(days, "order_date", "left_semi").dropDuplicates(["row_id"])
         cube.build(touched).write.mode("overwrite").options(**dynamic).partitionBy("order_date").parquet(cube_path)
 
     return rows.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

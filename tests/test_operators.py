@@ -345,6 +345,14 @@ def test_versions_and_pasted(spark, tmp_path):
     with pytest.raises(RuntimeError):
         store.write({"t": spark.range(1)}, expected=first)
     assert store.current() == second
+    # A writer that died after creating its pointer: the last complete version stays current; a fresh one is waited for, an old one not.
+    (tmp_path / "v" / "_current" / "000000000003").write_text("")
+    assert store.current() == second
+    with pytest.raises(RuntimeError):
+        store.write({"t": spark.range(1)}, expected=second)
+    store.STALE = -1
+    third = store.write({"t": spark.range(7)}, expected=second)
+    assert store.current() == third and store.read("t").count() == 7
     known = spark.createDataFrame([("12",)], "order_number string")
     got = tables.pasted(spark, "title\nx\t오더 번호\ny\t12.0\nz\t12\n\n\"a\nb\"\t34", known)
     assert sorted(tuple(r) for r in got.collect()) == [("12", 2, True), ("34", 1, False)]
