@@ -88,8 +88,18 @@ def _bins(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=n * BINS), FULL).astype(np.uint8).reshape(n, BINS)
 
 
+def _parts(texts: DataFrame, size: int) -> DataFrame:
+    """(set, bins) of texts (set, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, t in X.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in _bins(*shingle_sets(t, size))], pa.binary())], names=["set", "bins"])
+
+    return texts.select("set", "text").mapInArrow(run, "set long, bins binary")
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, set (hash of the shingle set), sig, bins; set, sig and bins are null for empty sets."""
+    """doc_id, th (hash of the text), n_shingles, set (hash of the shingle set), sig; set and sig are null for empty sets."""
     X.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,12 +112,10 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 sets[full] = X.mix(np.add.reduceat(X.mix(values + X.BASE), begins[full]) + n[full].astype(np.uint64))
                 sig[full] = _signatures(values, begins[full])
             empty = n == 0
-            raw = [pa.array([None if e else row.tobytes() for e, row in zip(empty.tolist(), rows)], pa.binary()) for rows in (sig, _bins(values, begins))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets.view(np.int64), pa.int64(), mask=empty), *raw], names=["doc_id", "th", "n_shingles", "set", "sig", "bins"]
-            )
+            raw = pa.array([None if e else row.tobytes() for e, row in zip(empty.tolist(), sig)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets.view(np.int64), pa.int64(), mask=empty), raw], names=["doc_id", "th", "n_shingles", "set", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, set long, sig binary, bins binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, set long, sig binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -319,7 +327,7 @@ def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, th (xxhash64 of the text), n_shingles, component_id of every row of docs (doc_id, text)."""
     cut = lambda df, name: _store.written(df, f"near-{name}")
     sketched = cut(sketches(docs, size), "sketches")
-    one = [F.first(c).alias(c) for c in ("sig", "bins", "n_shingles")]
+    one = [F.first(c).alias(c) for c in ("sig", "n_shingles")]
     classes = cut(sketched.where("set is not null").groupBy("set").agg(*one, F.min(F.struct("doc_id", "th")).alias("one")), "classes")
 
     # 2. Against the smallest class under each key.
@@ -338,7 +346,9 @@ def components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # 3. Neighbourhoods of components that some key still joins.
     labelled = members.select("key", "n", "set").join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = labelled.join(open_keys, "key").join(classes.select("set", F.col("n_shingles").alias("many"), "sig", "bins"), "set")
+    left = labelled.join(open_keys, "key")
+    some = cut(_parts(texts.join(left.select("set").distinct(), "set"), size), "parts").join(classes.select("set", F.col("n_shingles").alias("many"), "sig"), "set")
+    left = left.join(some, "set")
     areas = connected_components(cut(_neighbours(left, percent), "neighbours"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("area"))
 
     # 4. Comparison inside neighbourhoods.

@@ -37,7 +37,7 @@ from fenwright.llm import _store, _text
 END_ID = 2
 SHARD_TOKENS, BLOCK_TOKENS, MOST_SHARDS = 4 << 20, 1 << 18, 65_536
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
-MEMORY = 1_200_000
+MEMORY = 700_000
 #: Larger slices meet fewer distinct pieces for their size.
 SLICE = 6 << 20
 #: What the file of a tokenizer states if it lower-cases in normal form, drops white space, and splits off runs
