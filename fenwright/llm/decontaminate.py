@@ -140,10 +140,11 @@ def occurrences(p: Patterns, part: Part, t: X.Texts, words: X.Words, h: np.ndarr
 
 
 def _pieces(benchmark: DataFrame, size: int) -> DataFrame:
-    """(item_id, text, bytes): items as strings, long ones in pieces that overlap by size - 1 words."""
+    """(item_id, text, bytes): items as strings, lower-cased; long ones in pieces that overlap by size - 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in X.slices(batches, "text"):
+            t = X.Texts(X.LOWER[t.data], t.offsets)
             words = X.words_of(t, X.ALNUM)
             of = [(d, i) for d, n in enumerate(words.counts().tolist()) for i in range(0, max(1, n - size + 1), PIECE_WORDS)]
             texts = []
