@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fenwright.llm import decontaminate, html_extract, mix_sources, near_dedup, quality_rules, secret_scan, suffix_dedup, token_output, url_filter, warc
+from fenwright.llm import decontaminate, filter_audit, html_extract, lexical_search, mix_sources, near_dedup, quality_rules, secret_scan, suffix_dedup, token_output, url_filter, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -192,10 +192,60 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 """
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '{TERM}') AS w FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '{TERM}')) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+total AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+held AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+tfs AS (SELECT row, doc_id, n, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tfs, total GROUP BY term),
+scores AS (SELECT item_id, row, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term), total GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY rank <= {lexical_search.TOP}
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# Each document is followed through each order, step by step.
+OP13_SQL = rf"""
+WITH letters(letter, bit) AS (VALUES {", ".join(f"('{c}', {1 << i})" for i, c in enumerate(filter_audit.FILTERS))}),
+orders AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS filter, bits[step] AS bit, list_sum(bits[:step - 1])::INTEGER AS earlier FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS step)),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+told AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+masks AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 16 ELSE 0 END AS mask FROM d LEFT JOIN told USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM masks GROUP BY ALL),
+told_steps AS (SELECT part, filter_order, step, filter,
+    sum(CASE WHEN mask & (coalesce(earlier, 0) | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & coalesce(earlier, 0) = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & coalesce(earlier, 0) > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & coalesce(earlier, 0) = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & coalesce(earlier, 0) = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM told_steps
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_output, op2_url_filter, op3_suffix_dedup, op4_decontaminate, op5_html_extract, op6_warc, op7_near_dedup, op8_secret_scan, op9_mix_sources, op10_quality_rules)
+    found = (op1_token_output, op2_url_filter, op3_suffix_dedup, op4_decontaminate, op5_html_extract, op6_warc, op7_near_dedup, op8_secret_scan, op9_mix_sources, op10_quality_rules, op12_lexical_search, op13_filter_audit)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_mix_sources": OP9_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_mix_sources": OP9_SQL, "op10_quality_rules": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_filter_audit": OP13_SQL}
