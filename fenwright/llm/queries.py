@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fenwright.llm import decontaminate, filter_audit, html_extract, lexical_search, mix_sources, near_dedup, quality_rules, secret_scan, suffix_dedup, token_output, url_filter, warc
+from fenwright.llm import decontaminate, filter_audit, html_extract, language_id, lexical_search, mix_sources, near_dedup, quality_rules, secret_scan, suffix_dedup, token_output, url_filter, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -192,6 +192,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 """
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.judge(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -243,7 +247,7 @@ SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_output, op2_url_filter, op3_suffix_dedup, op4_decontaminate, op5_html_extract, op6_warc, op7_near_dedup, op8_secret_scan, op9_mix_sources, op10_quality_rules, op12_lexical_search, op13_filter_audit)
+    found = (op1_token_output, op2_url_filter, op3_suffix_dedup, op4_decontaminate, op5_html_extract, op6_warc, op7_near_dedup, op8_secret_scan, op9_mix_sources, op10_quality_rules, op11_language_id, op12_lexical_search, op13_filter_audit)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
