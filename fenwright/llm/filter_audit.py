@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fenwright.llm import _store
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Filters of `judge` in the order of their bits; the last is the duplicate filter.
 FILTERS = "ABCDE"
@@ -55,6 +57,7 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.join(told, "id", "left").na.fill(False, ["good", "toxic"])
     # Of each count: its least id, the rows with that id, and the rows without any.
     counts = rows.groupBy("digest", "mask", "part", "good", "toxic").agg(F.sum("n").alias("n"), F.min("id").alias("low"), F.min_by("n", "id").alias("n_low"), F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("n_null"))
+    counts = _store.written(counts, "mask-counts")  # read twice; the texts only once
     least = counts.groupBy("digest").agg(F.min("low").alias("least"))
     first = F.when(F.col("low") == F.col("least"), F.col("n_low")).otherwise(F.lit(0))
     passes = F.col("n_null") + F.coalesce(first, F.lit(0))
