@@ -2,13 +2,13 @@
 
 Every rule compares one figure of a document with a cutoff. Cutoffs come from a grid that is
 fixed before any data is seen, so all labelled documents serve as the holdout. For each stratum
-(a language; null is one of its own) and rule, the strictest cutoff is taken whose exact
-(Clopper-Pearson) upper bound on the share of good documents rejected stays within the risk. The
-error probability is divided by the number of all bounds examined (Bonferroni over strata, rules
-and cutoffs), and the risk by the number of rules, so that with probability 1 - delta no
-stratum's rules together reject more than `risk` of its good documents. A rule without such a cutoff, or that
-would reject no larger a share of bad than of good documents there, stays off. So `judge`, whose SQL states it;
-`filter_documents`, the stage of the pipeline, gets by with fewer labels (`joint_thresholds`).
+(a language; null is one of its own) the cutoffs of all rules are tightened one after another along a path that the stratum's
+bad documents alone set. Its good documents test what each step rejects: the step stands if the exact
+(Clopper-Pearson) upper bound on the share of good documents rejected by all rules together stays within the risk, and the first that
+does not ends the path. As steps are tested in an order that good documents have no part in, until the first failure, each has the stratum's whole
+error probability (fixed sequence); that is delta divided by the number of strata and the table as a whole (Bonferroni). So with
+probability 1 - delta no stratum's rules together reject more than `risk` of its good documents.
+A stratum with too few labels for any cutoff (`labels_needed`) takes those of the table as a whole, tested in the same way.
 
 Cases: null or empty text has no words and fails the base rules (n_words < 50). Labels without a
 quality, or for unknown documents, count for nothing; a document labelled more than once is good
@@ -145,29 +145,6 @@ def _is_beyond(rule: int, place: int, beyond: tuple[int, ...]) -> bool:
     return beyond[rule] >= len(RULES[rule][3]) - place
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id: str = "doc_id", text: str = "text", stratum: str = "lang") -> dict[str | None, dict[str, float]]:
-    """The cutoff of each rule by stratum, learnt from every labelled document that passes the base rules.
-
-    Each rule is certified alone, with its share of the risk, and each cutoff with its share of the error.
-    """
-    counted = _cells(docs, labels, id, text, stratum)
-    strata = {s for s, _, _ in counted}
-    error = delta / max(1, len(strata) * sum(len(g) for *_, g in RULES))
-    out: dict[str | None, dict[str, float]] = {}
-    for s in strata:
-        out[s] = {}
-        of = {g: [(beyond, n) for (at, good, beyond), n in counted.items() if at == s and good == g] for g in (True, False)}
-        total = {g: sum(n for _, n in of[g]) for g in (True, False)}
-        for r, (name, _, _, grid) in enumerate(RULES):
-            for i, cutoff in reversed(list(enumerate(grid))):
-                lost = {g: sum(n for beyond, n in of[g] if _is_beyond(r, i, beyond)) for g in (True, False)}
-                useful = lost[False] * max(total[True], 1) > lost[True] * max(total[False], 1)
-                if useful and upper_bound(lost[True], total[True], error) <= risk / len(RULES):
-                    out[s][name] = cutoff
-                    break
-    return out
-
-
 def _path(bad: list[tuple[tuple[int, ...], int]]) -> list[dict[int, int]]:
     """The places of the cutoffs by rule, one step after another, each stricter: always the step that rejects most further
     bad documents, to the most lenient cutoff that does. It sees no good document, so those can test it."""
@@ -204,7 +181,7 @@ def labels_needed(risk: float, error: float) -> int:
     return math.ceil(math.log(error) / math.log1p(-risk))
 
 
-def joint_thresholds(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id: str = "doc_id", text: str = "text", stratum: str = "lang") -> dict[str | None, dict[str, float]]:
+def thresholds(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id: str = "doc_id", text: str = "text", stratum: str = "lang") -> dict[str | None, dict[str, float]]:
     """The cutoffs of all rules together by stratum: what they reject together is certified, with the whole risk.
 
     A stratum's cutoffs are tightened along a path that its bad documents alone set, and its good ones test step after step
@@ -244,7 +221,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 
 def filter_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of docs that are kept, with their own columns only."""
-    cutoffs = joint_thresholds(docs, labels, risk, delta)
+    cutoffs = thresholds(docs, labels, risk, delta)
     prefix = X.fresh(docs, "q_")
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"

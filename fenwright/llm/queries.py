@@ -158,37 +158,56 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def _rules_sql() -> str:
-    """(rule, place, cutoff) of the whole grid, and each document's figure of each rule."""
-    return ", ".join(f"('{name}', {i}, {c})" for name, _, _, grid in quality_rules.RULES for i, c in enumerate(grid))
+def _beyond_sql() -> str:
+    """Of each rule: how many of its cutoffs a document's figure is beyond."""
+    return "[" + ", ".join(f"len(list_filter({list(grid)}::DOUBLE[], lambda c: CASE WHEN {d} > 0 THEN {n}::DOUBLE / {d} ELSE 0 END > c))" for _, n, d, grid in quality_rules.RULES) + "]"
 
 
-def _figures_sql() -> str:
-    return " UNION ALL ".join(f"SELECT doc_id, lang, '{name}' AS rule, CASE WHEN {d} > 0 THEN {n}::DOUBLE / {d} ELSE 0 END AS figure FROM f WHERE NOT base_failed" for name, n, d, _ in quality_rules.RULES)
+def _rejected_sql(beyond: str, places: str) -> str:
+    return "(" + " OR ".join(f"({places}[{r}] >= 0 AND {beyond}[{r}] >= {len(grid)} - {places}[{r}])" for r, (*_, grid) in enumerate(quality_rules.RULES, 1)) + ")"
 
 
-# A cutoff's exact upper bound is within the risk if so few rejections or fewer would be rarer at the risk than the error allows.
+_SIZES = str([len(grid) for *_, grid in quality_rules.RULES])
+_ERROR = f"({quality_rules.DELTA} / (SELECT count(DISTINCT coalesce(s, chr(0))) + 1 FROM cells WHERE NOT pooled))"
+
+# Each path takes, step by step, the cutoff that rejects most further bad documents. A step's exact upper bound is within the risk
+# if so few rejections of good documents or fewer would be rarer at the risk than the error allows; the first step beyond ends the path.
 OP10_SQL = rf"""
-WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 g AS (SELECT doc_id, i, w[i:i + 2] AS x FROM d, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM g) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM twice) GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_beyond_sql()} AS beyond FROM (
   SELECT doc_id, lang, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0)::BIGINT AS n_lines
   FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id))),
-figures AS ({_figures_sql()}),
-grid(rule, place, cutoff) AS (VALUES {_rules_sql()}),
 judged AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-cells AS (SELECT lang, rule, place, cutoff, count(*) FILTER (q > 0) AS n, count(*) FILTER (q > 0 AND figure > cutoff) AS k, count(*) FILTER (q <= 0) AS bad, count(*) FILTER (q <= 0 AND figure > cutoff) AS hit
-  FROM figures JOIN judged USING (doc_id) JOIN grid USING (rule) GROUP BY ALL),
-tests AS (SELECT *, {quality_rules.DELTA} / ((SELECT count(DISTINCT coalesce(lang, chr(0))) FROM cells) * (SELECT count(*) FROM grid)) AS error, {quality_rules.RISK} / {len(quality_rules.RULES)} AS risk FROM cells),
-tails AS (SELECT lang, rule, place, cutoff, error, n, k, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(risk) + (n - i) * ln(1 - risk))) AS tail
-  FROM tests, LATERAL (SELECT unnest(range(0, k + 1)) AS i) WHERE k < n AND hit * greatest(n, 1) > k * greatest(bad, 1) GROUP BY ALL),
-cutoffs AS (SELECT lang, rule, max_by(cutoff, place) AS cutoff FROM tails WHERE tail <= error GROUP BY lang, rule),
-rejected AS (SELECT DISTINCT doc_id FROM figures JOIN cutoffs ON figures.rule = cutoffs.rule AND figures.lang IS NOT DISTINCT FROM cutoffs.lang WHERE figure > cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM f
+labelled AS MATERIALIZED (SELECT lang, q > 0 AS good, beyond FROM f JOIN judged USING (doc_id) WHERE NOT base_failed),
+cells AS MATERIALIZED (SELECT false AS pooled, lang AS s, good, beyond, count(*) AS n FROM labelled GROUP BY ALL
+  UNION ALL SELECT true, NULL, good, beyond, count(*) FROM labelled GROUP BY ALL),
+grid(r, i) AS (VALUES {", ".join(f"({r}, {i})" for r, (*_, cutoffs) in enumerate(quality_rules.RULES, 1) for i in range(len(cutoffs)))}),
+path AS (
+  SELECT DISTINCT pooled, s, 0 AS step, {[-1] * len(quality_rules.RULES)} AS before, 0 AS r, 0 AS i, {[-1] * len(quality_rules.RULES)} AS places FROM cells
+  UNION ALL
+  SELECT pooled, s, step + 1, places, r, i, list_transform(places, lambda x, k: CASE WHEN k = r THEN i ELSE x END) FROM (
+    SELECT *, row_number() OVER (PARTITION BY pooled, s ORDER BY gain DESC, i, r) AS nth FROM (SELECT p.pooled, p.s, p.step, p.places, g.r, g.i, sum(c.n) AS gain
+    FROM path p JOIN cells c ON c.pooled = p.pooled AND c.s IS NOT DISTINCT FROM p.s AND NOT c.good AND NOT {_rejected_sql("c.beyond", "p.places")}
+      JOIN grid g ON g.i > p.places[g.r] AND c.beyond[g.r] >= {_SIZES}[g.r] - g.i
+    GROUP BY ALL)) WHERE nth = 1),
+steps AS (SELECT DISTINCT p.pooled, p.s, step, j, list_transform(before, lambda x, k: CASE WHEN k = r THEN j ELSE x END) AS places
+  FROM (SELECT p.*, {_SIZES}[p.r] - c.beyond[p.r] AS j FROM path p JOIN cells c ON p.step > 0 AND c.pooled = p.pooled AND c.s IS NOT DISTINCT FROM p.s AND NOT c.good AND NOT {_rejected_sql("c.beyond", "p.before")}) p
+  WHERE j > before[r] AND j <= i),
+total AS (SELECT pooled, s, coalesce(sum(n) FILTER (good), 0) AS n FROM cells GROUP BY pooled, s),
+lost AS (SELECT st.pooled, st.s, step, j, places, any_value(t.n) AS n, coalesce(sum(c.n) FILTER (c.good AND {_rejected_sql("c.beyond", "st.places")}), 0) AS k
+  FROM steps st JOIN total t ON t.pooled = st.pooled AND t.s IS NOT DISTINCT FROM st.s JOIN cells c ON c.pooled = st.pooled AND c.s IS NOT DISTINCT FROM st.s GROUP BY ALL),
+tails AS (SELECT pooled, s, step, j, places, k < n AND sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality_rules.RISK}) + (n - i) * ln(1 - {quality_rules.RISK}))) <= {_ERROR} AS held
+  FROM lost, LATERAL (SELECT unnest(range(0, (least(k, n) + 1)::BIGINT)) AS i) GROUP BY pooled, s, step, j, places, k, n),
+kept_steps AS (SELECT pooled, s, step, j, places, bool_and(held) OVER (PARTITION BY pooled, s ORDER BY step, j) AS stands FROM tails),
+last AS (SELECT pooled, s, max_by(places, step * 1000 + j) AS places FROM kept_steps WHERE stands GROUP BY pooled, s),
+cutoffs AS (SELECT t.s, l.places FROM total t JOIN last l ON CASE WHEN t.n >= ceil(ln({_ERROR}) / ln(1 - {quality_rules.RISK})) THEN NOT l.pooled AND l.s IS NOT DISTINCT FROM t.s ELSE l.pooled END WHERE NOT t.pooled)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, NOT base_failed AND NOT coalesce({_rejected_sql("beyond", "places")}, false) AS kept
+FROM f LEFT JOIN cutoffs ON lang IS NOT DISTINCT FROM s
 """
 
 

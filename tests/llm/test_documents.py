@@ -111,7 +111,7 @@ def test_quality_cutoffs_are_counted_from_the_strict_end(spark):
     text = lambda i: prose(80, i) + " #" * 24 if i % 4 in (1, 2) else prose(80, i) if i % 4 else " ".join(f"{w}%%" for w in prose(80, i).split())
     docs = spark.createDataFrame([(i, text(i), "en") for i in range(6000)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(6000)], "doc_id long, quality int")
-    for f in (quality_rules.thresholds, quality_rules.joint_thresholds):
+    for f in (quality_rules.thresholds,):
         assert 24 / 104 <= f(docs, labels)["en"]["symbols"] <= 2
     kept = {r.doc_id for r in quality_rules.judge(docs, labels).where("kept").collect()}
     assert kept == {i for i in range(6000) if i % 4}
@@ -124,7 +124,7 @@ def test_quality_stage_certifies_few_labels(spark):
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(880)], "doc_id long, quality int")
     assert {r.doc_id for r in quality_rules.filter_documents(docs, labels).collect()} == {i for i in range(880) if i % 4}
     assert quality_rules.labels_needed(0.01, 0.05 / 3) == 408
-    few = quality_rules.joint_thresholds(docs.where("doc_id < 400"), labels)
+    few = quality_rules.thresholds(docs.where("doc_id < 400"), labels)
     assert few == {"en": {}}
 
 
