@@ -3,14 +3,16 @@
 A page becomes a row of blocks: runs of text between block-level tags. A logistic classifier gives
 each block costs for the labels content and boilerplate from its text, links, tag, place and the
 text around it; no name of an element or class is among its features, but for the kind of text block.
-The costs become the block's capacities to the two terminals. Blocks inside elements that state their
-role (`article` or `main` against `nav`, `footer`, `aside`, `form` and telling class names) are seeds: they
-get a capacity that outweighs all their edges. Neighbouring blocks, and blocks of one parent, are joined
+The costs become the block's capacities to the two terminals, MOST at most. What the elements around a block state (`article` or
+`main` against `nav`, `footer`, `aside`, `form` and telling class names) is a bounded prior added to them: STRONG for
+elements and names that say nothing else, WEAK for names that also say something else. So a classifier that is sure overrules a weak
+name alone, and a strong one together with the edges. Names that state how a page is set (`has-sidebar`, `no-comments`) say nothing of
+their element; `html` and `body` have no role; nor has a form, or an element of a weak name, with more than half of the page's own text.
+Neighbouring blocks, and blocks of one parent, are joined
 by edges that cost the more to cut the fewer steps of the element tree lie between them. A maximum
-flow then cuts the page at least cost, and the content side, in page order, is the text. So pages
-that state roles are cut along them, and others where classifier and edges say.
+flow then cuts the page at least cost, and the content side, in page order, is the text.
 
-The classifier is trained on the seeds, with their roles as labels, of at most TRAIN_PAGES
+The classifier is trained on blocks with roles, labelled by those and weighed by their strength, of at most TRAIN_PAGES
 pages, those with the smallest ids, and on PROTOTYPES, so that it is defined for any table.
 
 Cases: null or empty html, or no content, gives an empty text. Unclosed elements end with their
@@ -43,10 +45,15 @@ HIDDEN = frozenset("script style noscript template head title iframe object svg
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title")
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"p": BLOCK, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"})}
-#: Roles by element, and by words of class, id and role.
+#: Roles by element, and by words of class, id and role; words of which a name is built that say nothing of the role; words of names that are about the page.
 GOOD_TAGS, BAD_TAGS = frozenset({"article", "main"}), frozenset({"nav", "header", "footer", "aside", "form", "menu", "dialog"})
 GOOD_WORDS = frozenset("article content main post story entry body text".split())
 BAD_WORDS = frozenset("ad ads advert advertisement banner sponsor sponsored promo nav navigation navbar menu breadcrumb breadcrumbs header footer sidebar aside widget related share social comment comments reply replies respond disqus cookie cookies consent notice notices alert popup modal newsletter subscribe login search form copyright legal pagination".split())
+BUILT = frozenset("list area section wrapper wrap container box block left right top bottom inner outer item items row col group bar panel site page global primary secondary links link area holder main body content".split())
+STATE = frozenset("has no with without is not open closed enabled disabled single hide show".split())
+STRONG, WEAK = 5.0, 2.5
+#: Share of an edge's weight between blocks under different roles and of different elements.
+UNLIKE = 0.4
 
 #: Comments, declarations and tags; no part of an attribute is looked at twice.
 ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|["'][^>]*+|[^\s>"'][^\s>]*+)?+)?+"""
@@ -64,24 +71,59 @@ class Block:
     depth: int  # block-level elements around the text
     shared: int  # how many of them are around the block before, too
     tag: str
-    role: int  # of the nearest element with one: 1 content, -1 boilerplate, 0 none
-
-
-def _role(tag: str, attributes: str, inside: int) -> int:
-    if tag in BAD_TAGS and not (tag == "header" and inside > 0):
-        return -1
-    words = {w for m in NAMES.finditer(attributes) for w in SPLIT.split("".join(filter(None, m.groups())).lower())} if attributes and "=" in attributes else ()
-    if words and BAD_WORDS.intersection(words):
-        return -1
+    node: int  # number of the nearest element with a role of its own
+    role: float = 0.0  # prior by the elements around: above 0 content, below boilerplate
+
+
+def _named(name: str) -> float:
+    """What one name of class, id or role says."""
+    parts = [w for w in SPLIT.split(name.lower()) if w]
+    if STATE.intersection(parts):
+        return 0.0
+    telling = [w for w in parts if w not in BUILT] or parts
+    bad = [w in BAD_WORDS for w in telling]
+    if any(bad):
+        return -STRONG if all(bad) else -WEAK
+    return WEAK if any(w in GOOD_WORDS for w in telling) else 0.0
+
+
+def _role(tag: str, attributes: str) -> float:
+    """The role that an element states of itself."""
+    if tag in ("html", "body"):
+        return 0.0
+    said = [_named(name) for m in NAMES.finditer(attributes) for name in "".join(filter(None, m.groups())).split()] if attributes and "=" in attributes else []
+    if tag in BAD_TAGS:
+        said.append(-STRONG)
     if tag in GOOD_TAGS:
-        return 1
-    return 1 if words and inside >= 0 and GOOD_WORDS.intersection(words) and tag not in ("html", "body") else 0
+        said.append(STRONG)
+    low, high = min(said, default=0.0), max(said, default=0.0)
+    return low if -low >= high else high
+
+
+def _put_roles(blocks: list[Block], nodes: list[tuple[int, str, float]]) -> None:
+    """The role in force at each block. nodes: elements with roles: the node around, tag, own role; an outer one comes first."""
+    own_text = [0] * len(nodes)
+    for b in blocks:
+        own_text[b.node] += len(b.text) - b.linked
+    total = sum(own_text)
+    for i in range(len(nodes) - 1, 0, -1):
+        own_text[nodes[i][0]] += own_text[i]
+    role = [0.0] * len(nodes)
+    for i, (around, tag, own) in enumerate(nodes):
+        outer = role[around]
+        frame = own < 0 and (tag == "form" or own > -STRONG) and 2 * own_text[i] > total
+        if frame or tag == "header" and outer > 0 or outer < 0 < own <= -outer or outer < own < 0:
+            own = 0.0
+        role[i] = max(own, outer) if own > 0 else own or outer
+    for b in blocks:
+        b.role = role[b.node]
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order; white space is single and references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, number, role in force
+    stack: list[tuple[str, int, int]] = []  # tag, number, node
+    nodes: list[tuple[int, str, float]] = [(0, "", 0.0)]
     around: list[tuple[str, int]] = []  # those of the stack that are block-level
     pieces: list[str] = []
     open_tags: Counter[str] = Counter()
@@ -151,16 +193,20 @@ def blocks_of(page: str) -> list[Block]:
             close(len(stack) - 1)
         if tag in VOID or m[2].endswith("/"):
             continue
-        inside = stack[-1][2] if stack else 0
-        own = _role(tag, m[2], inside)
+        node = stack[-1][2] if stack else 0
+        own = _role(tag, m[2])
+        if own:
+            nodes.append((node, tag, own))
+            node = len(nodes) - 1
         number += 1
-        stack.append((tag, number, own if own else inside))
+        stack.append((tag, number, node))
         open_tags[tag] += 1
         if tag in BLOCK:
             around.append((tag, number))
         hidden += tag in HIDDEN
         links += tag == "a"
     flush()
+    _put_roles(out, nodes)
     return out
 
 
@@ -207,7 +253,7 @@ def train(pages: list[str | None], steps: int = 300, penalty: float = 1e-3) -> n
         if known:
             x.append(features(known))
             y += [b.role > 0 for b in known]
-            w += [1.0] * len(known)
+            w += [abs(b.role) / STRONG for b in known]
     for page, label in PROTOTYPES:
         own = blocks_of(page)
         x.append(features(own))
@@ -227,16 +273,19 @@ def train(pages: list[str | None], steps: int = 300, penalty: float = 1e-3) -> n
 
 
 def _edges(blocks: list[Block], smooth: float) -> list[tuple[int, int, float]]:
-    """Neighbours, and the next block of the same parent, weighted by the steps between them in the element tree."""
+    """Neighbours, and the next block of the same parent, weighted by the steps between them in the element tree.
+
+    Blocks under different roles and of different elements, such as a paragraph and an advert beside it, are less alike."""
     out: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
+        alike = lambda o: smooth * (UNLIKE if o.node != b.node and o.tag != b.tag else 1.0)  # noqa: E731, B023
         if i:
             steps = blocks[i - 1].depth + b.depth - 2 * b.shared
-            out[i - 1, i] = smooth * 4.0 ** -max(0, steps - 2)
+            out[i - 1, i] = alike(blocks[i - 1]) * 4.0 ** -max(0, steps - 2)
         j = last.get(b.parent, -1)
         if j >= 0:
-            out[j, i] = smooth
+            out[j, i] = alike(blocks[j])
         last[b.parent] = i
     return [(i, j, w) for (i, j), w in out.items()]
 
@@ -293,15 +342,13 @@ def content_side(supply: np.ndarray, edges: list[tuple[int, int, float]]) -> np.
     return np.array(settled, bool)
 
 
-#: Most that the classifier says of a block, and what a stated role says.
-MOST, SEED = 6.0, 40.0
+#: Most that the classifier says of a block.
+MOST = 4.0
 
 
-def labels(blocks: list[Block], weights: np.ndarray, smooth: float = 1.0, seeds: bool = True) -> np.ndarray:
-    """Which blocks are content. The classifier's log-odds are the difference of the two labels' costs."""
-    supply = np.clip(features(blocks) @ weights, -MOST, MOST)
-    if seeds:
-        supply = supply + SEED * np.array([b.role for b in blocks], float)
+def labels(blocks: list[Block], weights: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+    """Which blocks are content. The classifier's log-odds and the role are the difference of the two labels' costs."""
+    supply = np.clip(features(blocks) @ weights, -MOST, MOST) + np.array([b.role for b in blocks], float)
     return content_side(supply, _edges(blocks, smooth)) if len(blocks) and supply.min() < 0 < supply.max() else supply > 0
 
 

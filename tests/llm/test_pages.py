@@ -177,3 +177,37 @@ def test_long_pages_take_time_in_proportion():
         began = time.process_time()
         html_extract.main_blocks(one, weights)
         assert time.process_time() - began < 5
+
+
+PARA = "A paragraph of plain prose that says something of interest, and goes on for a while so that it is long enough to be read by people."
+MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>All news</a></li><li><a href=/c>About</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "n"),
+    [
+        (f'<html class="no-js cookie-consent-open"><body class="single-post has-sidebar comments-open"><nav>{MENU}</nav><div class="content">{f"<p>{PARA}</p>" * 6}</div>', 6),
+        (f'<body><form id="aspnetForm" action="x"><div>{MENU}</div>{f"<p>{PARA}</p>" * 6}<input type=submit></form>', 6),
+        (f'<body><nav>{MENU}</nav><div class="entry no-comments share-enabled">{f"<p>{PARA}</p>" * 6}</div><div id=comments class="comments-area">{f"<p>{PARA}</p>" * 9}</div>', 6),
+        (f'<article><p>{PARA}</p><p class="share-price">{PARA}</p><p>{PARA}</p><div class="related-links">{MENU}</div></article><aside><p>{PARA}</p></aside><div class="ad">{PARA}</div>', 3),
+        (f'<div class="story">{MENU}</div><div><p>{PARA}</p><p>{PARA}</p></div><div class="cookie-banner">{PARA}</div>', 2),
+        (f'<div class="site-header">{PARA}</div><main><header><h1>{PARA}</h1></header><p>{PARA}</p><form><p>Your name</p></form></main><ol class="comment-list"><li class="comment"><p>{PARA}</p></ol>', 2),
+    ],
+)
+def test_roles_that_mislead(page, n):
+    weights = html_extract.train([made_page(i, True)[0] for i in range(100)])
+    assert html_extract.main_blocks(page, weights) == [PARA] * n
+
+
+def test_roles_are_bounded():
+    """A sure classifier overrules weak names, and with the edges strong ones; a role alone never decides."""
+    assert html_extract.WEAK < html_extract.MOST < html_extract.STRONG < html_extract.MOST + 2
+    weights = html_extract.train([made_page(i, True)[0] for i in range(100)])
+    blocks = html_extract.blocks_of(f'<article><p>{PARA}</p><p class="notice-of-intent">{PARA}</p><p>{PARA}</p></article><div class="post">{MENU}</div>')
+    assert [b.role for b in blocks] == [5, -2.5, 5, 2.5, 2.5, 2.5]
+    assert html_extract.labels(blocks, weights).tolist() == [True] * 3 + [False] * 3
+    misnamed = html_extract.blocks_of("<div>" + f"<p>{PARA}</p>" * 3 + f'<p class="ad">{PARA}</p>' + f"<p>{PARA}</p>" * 3 + "</div>")
+    assert misnamed[3].role == -5 and html_extract.labels(misnamed, weights).all()
+    assert not html_extract.labels(misnamed, weights, smooth=0.0)[3]
+    advert = html_extract.blocks_of("<div>" + f"<p>{PARA}</p>" * 3 + f'<div class="ad">{PARA}</div><aside>{PARA}</aside>' + f"<p>{PARA}</p>" * 3 + "</div>")
+    assert html_extract.labels(advert, weights).tolist() == [True] * 3 + [False] * 2 + [True] * 3
