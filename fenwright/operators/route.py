@@ -11,11 +11,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fenwright.functions import geo
+from fenwright.operators.cut import cut as table
+from fenwright.operators.graph import connected_components
 
 # What ends a group, weights of a partition's cost, share of the target that counts as even.
 JUMP = 500.0
@@ -252,6 +254,127 @@ def residual_components(blocks: DataFrame) -> DataFrame:
     return ranked.join(near, ["scope", "component"], "left").withColumn("reason", reason).select("scope", "component", "members", "orders", "nearest", "reason")
 
 
+def _around(c: str, cell: float, reach: int) -> Column:
+    return F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: F.floor(F.col(c) / cell) + i))
+
+
+def component_distances(blocks: DataFrame, reach: float = JUMP) -> DataFrame:
+    """(scope, a, b, distance) of a scope's components a < b whose nearest two blocks are at most `reach` apart. blocks
+    (scope, component, id, x, y) meet in grid cells of that size; of a cell's pairs only the nearest of each two components is shuffled."""
+    own = blocks.select("scope", F.col("component").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.floor(F.col("x") / reach).alias("gx"), F.floor(F.col("y") / reach).alias("gy"))
+    looks = blocks.select("scope", F.col("component").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    looks = looks.select("*", _around("ax", reach, 1).alias("gx")).select("*", _around("ay", reach, 1).alias("gy"))
+    met = looks.join(own, ["scope", "gx", "gy"]).where("a < b").withColumn("distance", geo.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    return met.where(F.col("distance") <= reach).groupBy("scope", "a", "b").agg(F.min("distance").alias("distance"))
+
+
+def jump_clusters(blocks: DataFrame, reach: float = JUMP) -> DataFrame:
+    """(scope, component, cluster) of all components: those that steps of `reach` at most join, with the least of them as the cluster.
+
+    All blocks of a cell of side reach / sqrt(2) are within reach, so their components join the least of the cell's, and cells join
+    by their outermost blocks; both are linear. Only blocks of near cells that this leaves in different clusters are compared one by one.
+    """
+    side = reach / math.sqrt(2) * (1 - 1e-9)
+    placed = blocks.select("scope", F.struct("scope", "component").alias("node"), "x", "y", F.floor(F.col("x") / side).alias("gx"), F.floor(F.col("y") / side).alias("gy"))
+    corners = [f(F.struct(F.col("x") * u + F.col("y") * v, "x", "y")) for u, v in ((1, 0), (0, 1), (1, 1), (1, -1)) for f in (F.min, F.max)]
+    cells = table(placed.groupBy("scope", "gx", "gy").agg(F.min("node").alias("first"), F.array_distinct(F.transform(F.array(*corners), lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))).alias("outer")), "cells")
+    inside = placed.join(cells.select("scope", "gx", "gy", "first"), ["scope", "gx", "gy"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+
+    def near(of: DataFrame) -> DataFrame:
+        """Pairs of rows (scope, gx, gy, and others) of different cells at most two apart, as l and r."""
+        looks = of.select(F.struct("*").alias("l"), "scope", _around("gx", 1.0, 2).alias("gx"), "gy").select("l", "scope", "gx", _around("gy", 1.0, 2).alias("gy"))
+        return looks.join(of.select(F.struct("*").alias("r"), "scope", "gx", "gy"), ["scope", "gx", "gy"]).where("l.gx < r.gx or l.gx = r.gx and l.gy < r.gy")
+
+    apart = lambda p, q: geo.distance(p["x"], p["y"], q["x"], q["y"])
+    met = near(cells).where(F.exists("l.outer", lambda p: F.exists("r.outer", lambda q: apart(p, q) <= reach)))
+    edges = inside.unionByName(met.select(F.col("l.first").alias("a"), F.col("r.first").alias("b")))
+    known = table(connected_components(edges, "a", "b"), "joined")
+    at = cells.join(known.select(F.col("node").alias("first"), "component"), "first", "left").select("scope", "gx", "gy", F.coalesce("component", "first").alias("cluster"))
+    # All of a cell is in one cluster by now, so what is left to compare are cells.
+    open_cells = near(at).where("l.cluster <> r.cluster").select("scope", F.col("l.cluster").alias("a"), F.col("r.cluster").alias("b"), *(F.col(f"{s}.{c}").alias(s + c) for s in "lr" for c in ("gx", "gy")))
+    of_cell = lambda s: placed.select("scope", F.col("gx").alias(s + "gx"), F.col("gy").alias(s + "gy"), F.struct("x", "y").alias(s))
+    late = open_cells.join(of_cell("l"), ["scope", "lgx", "lgy"]).join(of_cell("r"), ["scope", "rgx", "rgy"]).where(apart(F.col("l"), F.col("r")) <= reach).select("a", "b").distinct()
+    last = connected_components(late, "a", "b").select(F.col("node").alias("cluster"), F.col("component").alias("least"))
+    named = blocks.select(F.struct("scope", "component").alias("node")).distinct().join(known, "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component")
+    return named.join(last, "cluster", "left").select("node.scope", "node.component", F.coalesce("least", "cluster")["component"].alias("cluster"))
+
+
+def admissible(links: DataFrame) -> DataFrame:
+    """(scope, a, b) of the links (scope, a, b, border, shared, distance) that a route may follow: the best of each pair if it touches or
+    is near. Links of other kinds are blocked; their blocks are reached by a jump, if at all."""
+    typed = link_types(links.withColumns({"p": F.least("a", "b"), "q": F.greatest("a", "b")}).where("p <> q"))
+    order = F.struct(F.when(F.col("link") == "touches", 0).when(F.col("link") == "near", 1).otherwise(2).alias("kind"), F.col("border"), -F.col("shared"), F.col("distance"))
+    return typed.groupBy("scope", F.col("p").alias("a"), F.col("q").alias("b")).agg(F.min(order).alias("best")).where("best.kind < 2").select("scope", "a", "b")
+
+
+def _first(keys: tuple[np.ndarray, ...]) -> int:
+    """Where the least row is; the first key counts most."""
+    return int(np.lexsort(keys[::-1])[0])
+
+
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One cluster's blocks with pos. From the north-west component to the component nearest to where the last one ended; in each, from
+    block to block by links while there is one, else by a jump."""
+    pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+    xy, rank, ids = pdf[["x", "y"]].to_numpy(float), pdf["rank"].to_numpy(), pdf["id"].to_numpy()
+    place = {b: i for i, b in enumerate(ids.tolist())}
+    links = [[place[b] for b in n if b in place] if n is not None else [] for n in pdf["neighbours"]]
+    share = np.maximum(pdf["orders"].to_numpy(float), 1.0)
+    members = {c: g.to_numpy() for c, g in pdf.groupby("component", sort=True).apply(lambda g: g.index, include_groups=False).items()}
+    middle = {c: (xy[m] * share[m, None]).sum(0) / share[m].sum() for c, m in members.items()}
+    order: list[int] = []
+    at = None
+    while members:
+        names = list(members)
+        heart = np.array([middle[c] for c in names])
+        corner = lambda p: np.abs(p[:, 0] - p[:, 0].min()) + np.abs(p[:, 1].max() - p[:, 1])
+        far = lambda p: np.hypot(*(p - at).T)  # noqa: E731, B023
+        own = members.pop(names[int(np.argmin(corner(heart) if at is None else far(heart)))])
+        now = int(own[_first((corner(xy[own]) if at is None else far(xy[own]), rank[own], ids[own]))])
+        left = np.zeros(len(pdf), bool)
+        left[own] = True
+        while True:
+            order.append(now)
+            left[now] = False
+            rest = np.flatnonzero(left)
+            if not len(rest):
+                break
+            linked = np.array([j for j in links[now] if left[j]], int)
+            near = rest[np.hypot(*(xy[rest] - xy[now]).T) <= JUMP] if not len(linked) else linked
+            pick = near if len(near) else rest
+            metres, steps = np.hypot(*(xy[pick] - xy[now]).T), np.abs(rank[pick] - rank[now])
+            now = int(pick[_first((rank[pick] < rank[now], *((steps, metres) if len(linked) else (metres, steps)), ids[pick]))])
+        at = xy[now]
+    return pdf.iloc[order].assign(pos=range(1, len(order) + 1))
+
+
+def block_route(blocks: DataFrame, links: DataFrame) -> DataFrame:
+    """blocks (scope, cluster, component, id, x, y, orders) with rank (serpentine from the north in its component) and pos in its
+    cluster's route. links (scope, a, b) are those that `admissible` gives. A route goes on to a linked block that is not yet on it: first
+    those ahead in rank, then those nearest in rank, in metres and by id. Without one it jumps to the nearest block ahead, within JUMP if there
+    is any, then to others. A cluster is one task's work; a scope's clusters are spread."""
+    keys = ["scope", "cluster", "component"]
+    south = blocks.select(F.struct(*keys).alias("scope"), "id", "x", (-F.col("y")).alias("y"))
+    ranked = blocks.join(serpentine(south).select("scope.*", "id", "rank"), [*keys, "id"])
+    ends = links.unionByName(links.select("scope", F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("scope", F.col("a").alias("id")).agg(F.collect_set("b").alias("neighbours"))
+    joined = ranked.join(ends, ["scope", "id"], "left")
+    schema = T.StructType([*ranked.schema.fields, T.StructField("pos", T.LongType())])
+    return joined.groupBy("scope", "cluster").applyInPandas(lambda pdf: _walk(pdf)[schema.fieldNames()], schema)
+
+
+def along_axis(records: DataFrame, way: DataFrame) -> DataFrame:
+    """records (scope, block, id, x, y) with pos in their block: by place along the line from the block before to the block after on the
+    way (scope, block, pos, x, y), then by id. At an end of the way the block's own place stands in for the missing one; a way of one
+    block, or of blocks at one place, is followed to the south-east."""
+    w = _scope("pos")
+    end = lambda c: F.coalesce(F.lead(c).over(w), F.col(c)) - F.coalesce(F.lag(c).over(w), F.col(c))
+    axes = way.select("scope", "block", end("x").alias("ax"), end("y").alias("ay"))
+    still = F.abs("ax") + F.abs("ay") < 1e-7
+    along = F.col("x") * F.when(still, 1.0).otherwise(F.col("ax")) + F.col("y") * F.when(still, -1.0).otherwise(F.col("ay"))
+    placed = records.join(axes, ["scope", "block"]).withColumn("along", along)
+    return placed.withColumn("pos", F.row_number().over(Window.partitionBy("scope", "block").orderBy("along", "id"))).drop("ax", "ay", "along")
+
+
 def quality(assigned: DataFrame, people: int) -> DataFrame:
     """Per scope: parts outside the band, jumps inside parts, people without work. assigned (scope, pos, x, y, orders, person)."""
     w = Window.partitionBy("scope", "person").orderBy("pos")

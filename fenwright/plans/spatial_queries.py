@@ -328,6 +328,73 @@ def triangle_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped.where(F.abs(area) > 1).select("id", F.round(area, 4).alias("area"), F.size("segs").alias("segments"), F.round(middle["x"], 3).alias("mx"), F.round(middle["y"], 3).alias("my"), F.round(beyond, 3).alias("beyond"))
 
 
+#: Scopes of a hundred points each; components are joined by links of 250 m, clusters by steps of 500 m.
+SCOPE = 100
+TOWN = f"""{POINTS}, blocks AS (SELECT id // {SCOPE} AS scope, id, x / 2 AS x, y / 2 AS y, orders FROM points),
+near AS (SELECT a.scope, a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM blocks a JOIN blocks b ON a.scope = b.scope AND a.id <> b.id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 250),
+reached AS (SELECT id AS node, id AS got FROM blocks UNION SELECT r.node, n.b FROM reached r JOIN near n ON r.got = n.a), component AS (SELECT node AS id, min(got) AS component FROM reached GROUP BY node),
+placed AS (SELECT * FROM blocks JOIN component USING (id)),
+apart AS (SELECT p.scope, p.component AS a, q.component AS b, min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS distance FROM placed p JOIN placed q ON p.scope = q.scope AND p.component <> q.component GROUP BY ALL HAVING min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) <= 500),
+joined AS (SELECT DISTINCT scope, component AS node, component AS got FROM placed UNION SELECT j.scope, j.node, d.b FROM joined j JOIN apart d ON j.got = d.a), clusters AS (SELECT scope, node AS component, min(got) AS cluster FROM joined GROUP BY ALL)"""
+
+
+def _town(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks (scope, component, id, x, y, orders), and the links between them that make components."""
+    p = D.points(spark, sf_dir).select(F.floor(F.col("id") / SCOPE).alias("scope"), "id", (F.col("x") / 2).alias("x"), (F.col("y") / 2).alias("y"), F.col("orders").cast("long").alias("orders"))
+    # Within half a cell's reach points of different scopes never meet: scopes are set far apart.
+    spread = p.select("id", (F.col("x") + F.col("scope") * 1e6).alias("x"), "y")
+    links = spatial.within(spread, 250.0).join(p.select(F.col("id").alias("a"), "scope"), "a").select("scope", "a", "b", "distance")
+    member = graph.connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
+    return p.join(member, "id", "left").withColumn("component", F.coalesce("component", "id")), links
+
+
+@query(f"{TOWN} SELECT scope, a, b, round(distance, 3) AS distance FROM apart WHERE a < b")
+def component_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.component_distances(_town(spark, sf_dir)[0]).withColumn("distance", F.round("distance", 3))
+
+
+@query(f"{TOWN} SELECT * FROM clusters")
+def jump_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return route.jump_clusters(_town(spark, sf_dir)[0])
+
+
+# Links as measured borders; three in seven are blocked by kind. Of the blocks not yet on the route: those of the component first, by link, within reach, others.
+BLOCK_ROUTE = f"""{TOWN}, measured AS (SELECT scope, a, b, distance / 10 AS border, (a + b) % 4 AS shared, distance FROM near),
+links AS (SELECT scope, a, b FROM measured WHERE (border <= 3 AND shared >= 1) OR (border <= 18 AND distance <= 90)),
+of AS (SELECT p.*, cluster FROM placed p JOIN clusters USING (scope, component)),
+sized AS (SELECT *, greatest(1, least(24, round(sqrt(count(*) OVER w))::INT)) AS n, max(y) OVER w AS high, greatest(max(y) OVER w - min(y) OVER w, 1e-9) AS height,
+  sum(x * greatest(orders, 1)) OVER w / sum(greatest(orders, 1)) OVER w AS mx, sum(y * greatest(orders, 1)) OVER w / sum(greatest(orders, 1)) OVER w AS my FROM of WINDOW w AS (PARTITION BY scope, component)),
+banded AS (SELECT *, least(floor((high - y) / height * n), n - 1) AS band FROM sized),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY scope, component ORDER BY band, CASE WHEN band % 2 = 1 THEN -x ELSE x END, id) AS rank FROM banded),
+corners AS (SELECT *, abs(mx - min(mx) OVER (PARTITION BY scope, cluster)) + abs(max(my) OVER (PARTITION BY scope, cluster) - my) AS far_component, abs(x - min(x) OVER (PARTITION BY scope, component)) + abs(max(y) OVER (PARTITION BY scope, component) - y) AS far_block FROM ranked),
+walk AS (SELECT scope, cluster, component, id, x, y, rank, 1 AS pos, [id] AS seen FROM (SELECT *, row_number() OVER (PARTITION BY scope, cluster ORDER BY round(far_component, 6), component, round(far_block, 6), rank, id) AS first FROM corners) WHERE first = 1
+  UNION ALL SELECT scope, cluster, component, id, x, y, rank, pos, seen FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY scope, cluster ORDER BY NOT same, CASE WHEN same THEN kind ELSE 0 END, CASE WHEN same THEN rank < was ELSE false END, CASE WHEN NOT same THEN heart WHEN kind = 0 THEN steps ELSE metres END, CASE WHEN same THEN 0 ELSE component END,
+      CASE WHEN same AND kind > 0 THEN steps ELSE metres END, rank, id) AS nth FROM (
+      SELECT r.scope, r.cluster, r.component, r.id, r.x, r.y, r.rank, w.rank AS was, w.pos + 1 AS pos, list_append(w.seen, r.id) AS seen, r.component = w.component AS same, round(sqrt((r.x - w.x) ** 2 + (r.y - w.y) ** 2), 6) AS metres, round(sqrt((r.mx - w.x) ** 2 + (r.my - w.y) ** 2), 6) AS heart, abs(r.rank - w.rank) AS steps,
+        CASE WHEN l.a IS NOT NULL THEN 0 WHEN sqrt((r.x - w.x) ** 2 + (r.y - w.y) ** 2) <= 500 THEN 1 ELSE 2 END AS kind
+      FROM walk w JOIN ranked r ON r.scope = w.scope AND r.cluster = w.cluster AND NOT list_contains(w.seen, r.id) LEFT JOIN links l ON l.scope = w.scope AND l.a = w.id AND l.b = r.id) c) WHERE nth = 1)
+SELECT scope, cluster, component, id, rank, pos FROM walk"""
+
+
+@query(BLOCK_ROUTE)
+def block_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way through each cluster: by admissible links in serpentine order, else by jumps."""
+    blocks, near = _town(spark, sf_dir)
+    placed = blocks.join(route.jump_clusters(blocks), ["scope", "component"])
+    measured = near.select("scope", "a", "b", (F.col("distance") / 10).alias("border"), ((F.col("a") + F.col("b")) % 4).alias("shared"), "distance")
+    return route.block_route(placed, route.admissible(measured)).select("scope", "cluster", "component", "id", "rank", F.col("pos").cast("int").alias("pos"))
+
+
+@query(f"""{SHORT}, b AS (SELECT scope, pos // 4 AS block, avg(x) AS x, avg(y) AS y FROM r GROUP BY ALL), a AS (SELECT scope, block, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS ax, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS ay FROM b WINDOW w AS (PARTITION BY scope ORDER BY block))
+SELECT r.scope, a.block, id, row_number() OVER (PARTITION BY r.scope, a.block ORDER BY CASE WHEN abs(ax) + abs(ay) < 1e-7 THEN x - y ELSE x * ax + y * ay END, id) AS pos FROM r JOIN a ON a.scope = r.scope AND a.block = r.pos // 4""")
+def records_along_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four points a block; blocks follow each other as they stand."""
+    rows = _short_route(spark, sf_dir).withColumn("block", F.floor(F.col("pos") / 4)).drop("pos")
+    way = rows.groupBy("scope", "block").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("pos", F.col("block"))
+    return route.along_axis(rows, way).select("scope", "block", "id", "pos")
+
+
 @query(f"""{POINTS}, p AS (SELECT id, radians(36 + y / 100000) AS f, 127 + x / 100000 AS lon FROM points), c AS (SELECT (1 / 298.257222101::DOUBLE) * (2 - 1 / 298.257222101::DOUBLE) AS e2), v AS (SELECT p.*, e2, e2 / (1 - e2) AS ep2, 6378137 / sqrt(1 - e2 * sin(f) ** 2) AS n, tan(f) ** 2 AS t, e2 / (1 - e2) * cos(f) ** 2 AS c, radians(lon - 127) * cos(f) AS a,
   [6378137 * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * g - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * sin(2 * g) + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * sin(4 * g) - (35 * e2 ** 3 / 3072) * sin(6 * g)) FOR g IN [f, radians(38.0)]] AS m FROM p, c)
 SELECT id, round(200000 + n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * a ** 5 / 120), 3) AS x, round(600000 + m[1] - m[2] + n * tan(f) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * a ** 6 / 720), 3) AS y FROM v""")

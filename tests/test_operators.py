@@ -406,10 +406,15 @@ def test_context_locks(spark):
     assert sorted(r.value for r in rules.strict_contexts(df).collect()) == ["계량기교체", "두 단어", "세 단어 문구"]
 
 
-def test_parcel_neighbours_are_of_all_parcels(spark):
+def test_parcel_neighbours_are_of_all_parcels(spark, monkeypatch):
     from fenwright.plans import spatial_queries
 
-    at = {(n % 81, n // 81): n for n in range(81 * 81) if n % 3}
-    expected = {tuple(sorted((n, at[i + di, j + dj]))) for (i, j), n in at.items() for di in (-1, 0, 1) for dj in (-1, 0, 1) if (di or dj) and (i + di, j + dj) in at}
-    got = spatial_queries.parcel_neighbours(spark, "").select("a", "b", "relation").collect()
-    assert len(got) == len(expected) and {tuple(sorted((r.a, r.b))) for r in got} == expected and {r.relation for r in got} == {"touches"}
+    # Points in every cell of a square of nine by nine, two in one of them.
+    n = range(-4, 5)
+    rows = [(f"{i},{j}", (i + 0.5) * spatial_queries.SIDE, (j + 0.25) * spatial_queries.SIDE) for i in n for j in n] + [("again", 1.0, 1.0)]
+    monkeypatch.setattr(spatial_queries.D, "points", lambda spark, sf_dir: spark.createDataFrame(rows, "id string, x double, y double"))
+    number = lambda i, j: (i + 5000) * 10000 + j + 5000
+    held = {(i, j) for i in n for j in n if (i + 2 * j) % 3}
+    expected = {(*sorted((number(i, j), number(i + di, j + dj))), "touches") for i, j in held for di in (-1, 0, 1) for dj in (-1, 0, 1) if (di or dj) and (i + di, j + dj) in held}
+    got = [tuple(r) for r in spatial_queries.parcel_neighbours(spark, "no folder").select("a", "b", "relation").collect()]
+    assert len(held) == 54 and len(got) == len(expected) and set(got) == expected
