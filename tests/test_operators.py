@@ -309,8 +309,8 @@ def workbook(path, sheets):
         z.writestr("xl/workbook.xml", f'<workbook {x} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
         for i, rows in enumerate(sheets.values(), 1):
-            cells = lambda n, row: "".join(f'<c r="{"ABCDE"[j]}{n}" t="inlineStr"><is><t>{v}</t></is></c>' for j, v in enumerate(row) if v is not None)
-            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {x}><sheetData>" + "".join(f'<row r="{n}">{cells(n, row)}</row>' for n, row in enumerate(rows, 1)) + "</sheetData></worksheet>")
+            cells = lambda n, row: "".join(f'<c r="{chr(65 + j)}{n}" t="inlineStr"><is><t>{v}</t></is></c>' for j, v in enumerate(row) if v is not None)
+            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {x}><sheetData>" + "".join(f'<row r="{n}">{cells(n, row)}</row>' for n, row in enumerate(rows, 1) if row) + "</sheetData></worksheet>")
 
 
 def test_workbooks(spark, tmp_path):
