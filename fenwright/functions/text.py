@@ -43,16 +43,21 @@ def tokens(normalised: Column) -> Column:
     return F.filter(F.split(normalised, " "), lambda t: F.length(t) >= 2)
 
 
-def runs(words: Column, size: int) -> Column:
-    """All `size` consecutive words, joined by spaces. Shifted copies of the list are zipped, so each is cut once. Give a
-    column: an expression would be worked out for every copy."""
-    many = F.greatest(F.size(words) - (size - 1), F.lit(0))
+def skips(words: Column, places: Sequence[int]) -> Column:
+    """From each word on, the words at these places (0 is the word itself), joined by spaces; null where one of them is. Shifted copies of the
+    list are zipped, so each is cut once. Give a column: an expression would be worked out for every copy."""
+    many = F.greatest(F.size(words) - places[-1], F.lit(0))
     out = F.slice(words, F.lit(1), many)
-    for shift in range(1, size):
+    for shift in places[1:]:
         out = F.zip_with(out, F.slice(words, F.lit(shift + 1), many), lambda a, b: F.concat(a, F.lit(" "), b))
     return out
 
 
+def runs(words: Column, size: int) -> Column:
+    """All `size` consecutive words, joined by spaces. Give a column, as for `skips`."""
+    return skips(words, range(size))
+
+
 def ngrams(words: Column, size: int) -> Column:
     """The set of `size` consecutive words, joined by spaces."""
     return F.array_distinct(runs(words, size))
@@ -84,25 +89,20 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_likeness(x, y) for x, y in zip(a, b)])
 
 
-def _finds(words: Sequence[str], anchors: Sequence[str]) -> bool:
-    at = 0
-    for nth, anchor in enumerate(anchors):
-        reach = len(words) if nth == 0 else min(len(words), at + GAP_TOKENS + 1)
-        for start in range(at, reach):
-            end = next((start + n for n in range(SPLIT_TOKENS) if start + n < len(words) and anchor in "".join(words[start : start + n + 1])), None)
-            if end is not None:
-                at = end + 1
-                break
-        else:
-            return False
-    return bool(anchors) and bool(words)
-
-
-@F.pandas_udf(T.BooleanType())
-def holds_phrase(text: pd.Series, phrase: pd.Series) -> pd.Series:
-    """Whether a normal text holds a phrase's words in order: each inside one or two adjacent words, the earliest
-    that fit, no word used twice, at most GAP_TOKENS words between."""
-    return pd.Series([_finds([w for w in (t or "").split(" ") if w], [w for w in (p or "").split(" ") if w]) for t, p in zip(text, phrase)])
+def holds_phrase(words: Column, phrase: Column) -> Column:
+    """Whether a text's words hold a phrase's words in order: each inside one or two adjacent words, the earliest that fit, no word
+    used twice, at most GAP_TOKENS words between. The phrase's words are folded over the place behind the last match, -1 once one is missing.
+    Give columns."""
+    adjacent = F.zip_with(words, F.concat(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+
+    def follow(at: Column, word: Column) -> Column:
+        ahead = F.slice(adjacent, F.greatest(at, F.lit(0)) + 1, F.when(at == 0, F.size(words)).otherwise(GAP_TOKENS + 1))
+        step = F.array_position(F.transform(ahead, lambda t: F.contains(t, word)), True).cast("int")
+        found = F.transform(F.array(step), lambda n: F.when(n == 0, -1).otherwise(at + n + F.when(F.contains(F.get(words, at + n - 1), word), 0).otherwise(1)))
+        return F.when(at < 0, -1).otherwise(F.get(found, 0))
+
+    wanted = F.filter(F.split(phrase, " "), lambda t: t != "")
+    return (F.size(wanted) > 0) & (F.size(words) > 0) & (F.aggregate(wanted, F.lit(0), follow) > 0)
 
 
 # Words of the likeness template.

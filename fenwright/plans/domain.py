@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a scan over all cores. A table of one row group is one task's, however much work its texts are; one of many is left alone."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order_number, order_date, person, business, subcategory, department, cancelled, is_error."""
     o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))

@@ -21,7 +21,7 @@ def grams_sql(size: int, source: str = "w") -> str:
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = D.table(spark, sf_dir, "documents")
+    d = D.spread(D.table(spark, sf_dir, "documents"))
     return d.select(F.col("doc_id").alias("id"), F.col("lang").alias("owner"), X.normal(F.col("text")).alias("normal"), "text", "n_chars")
 
 
@@ -100,12 +100,8 @@ def exact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 MINE = f"{LEARN}, u AS (SELECT any_value(id) AS id, owner, s, any_value(w) AS w, count(*) AS weight FROM lr WHERE confirmed AND filled GROUP BY owner, s), g AS ({grams_sql(2, 'u')} UNION ALL {grams_sql(3, 'u')} UNION ALL {grams_sql(4, 'u')})"
 
 
-#: Texts of service notes' length, for the two queries whose SQL or whose pairs are too slow on long ones.
-SHORT = "n_chars < 600"
-
-
-def _confirmed(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
-    rows = _learning_rows(spark, sf_dir).where(which).where("confirmed and signature <> ''")
+def _confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _learning_rows(spark, sf_dir).where("confirmed and signature <> ''")
     return rows.groupBy("owner", "signature").agg(F.first("normal").alias("normal"), F.count("*").alias("weight"))
 
 
@@ -114,20 +110,32 @@ def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.eligible(learn.phrases(_confirmed(spark, sf_dir)), learn.PHRASE_SUPPORT)
 
 
-@query(f"""{MINE.replace("LEFT JOIN labels ON doc_id = id)", "LEFT JOIN labels ON doc_id = id WHERE n_chars < 600)")}, t AS (SELECT id, owner, weight, w, i FROM u, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) WHERE len(w[i]) >= 2),
-s AS (SELECT t.*, j FROM t, LATERAL (SELECT unnest(range(i + 1, least(i + 6, len(w)) + 1)) AS j) WHERE len(w[j]) >= 2),
-p AS (SELECT DISTINCT id, owner, weight, w[i] || ' ' || w[j] AS phrase, 2 AS size FROM s WHERE j - i >= 2
-  UNION SELECT DISTINCT id, owner, weight, w[i] || ' ' || w[j] || ' ' || w[k], 3 FROM s, LATERAL (SELECT unnest(range(j + 1, least(i + 6, len(w)) + 1)) AS k) WHERE len(w[k]) >= 2 AND k - i >= 3)
+# Words at the places 0, a and b (0, if there are two only) of a window of seven.
+CORE_SHAPES = ", ".join(f"({a}, {b})" for a in range(1, 7) for b in (0, *range(a + 1, 7)) if max(a, b) > (2 if b else 1))
+
+
+@query(f"""{MINE}, shapes(a, b) AS (VALUES {CORE_SHAPES}),
+m AS (SELECT id, owner, weight, CASE WHEN b = 0 THEN 2 ELSE 3 END AS size, unnest([CASE WHEN len(w[i]) >= 2 AND len(w[i + a]) >= 2 AND (b = 0 OR len(w[i + b]) >= 2) THEN w[i] || ' ' || w[i + a] || CASE WHEN b = 0 THEN '' ELSE ' ' || w[i + b] END END FOR i IN range(1, len(w) - greatest(a, b) + 1)]) AS phrase FROM u, shapes),
+p AS (SELECT DISTINCT id, owner, weight, phrase, size FROM m WHERE phrase IS NOT NULL)
 SELECT owner, phrase, size, sum(weight)::BIGINT AS support, count(*) AS signatures FROM p WHERE len(replace(phrase, ' ', '')) >= 5 GROUP BY owner, phrase, size HAVING sum(weight) >= CASE size WHEN 2 THEN 3 ELSE 2 END AND count(*) >= 2""")
 def core_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learn.eligible(learn.core_phrases(_confirmed(spark, sf_dir, SHORT)), learn.CORE_SUPPORT, learn.CORE_SIGNATURES)
+    return learn.eligible(learn.core_phrases(_confirmed(spark, sf_dir)), learn.CORE_SUPPORT, learn.CORE_SIGNATURES)
 
 
-@query()
+# The match, word by word: where the next word is inside one or two adjacent words, among the seven ahead (all, for the first).
+ORDERED = "".join(f", s{n} AS (SELECT *, list_position(list_transform({'adj' if n == 1 else f'adj[at{n - 1} + 1:at{n - 1} + 7]'}, lambda x: contains(x, k[{n}])), true) AS p{n}, {0 if n == 1 else f'at{n - 1}'} + p{n} + CASE WHEN contains(w[{0 if n == 1 else f'at{n - 1}'} + p{n}], k[{n}]) THEN 0 ELSE 1 END AS at{n} FROM {'c' if n == 1 else f's{n - 1}'}{'' if n == 1 else f' WHERE p{n - 1} > 0'})" for n in (1, 2, 3, 4))
+
+
+@query(f"""{MINE}, e AS (SELECT g.owner, g AS phrase, sum(weight)::BIGINT AS support, string_split(g, ' ') AS k FROM g JOIN u USING (id) WHERE size = 4 AND len(list_filter(string_split(g, ' '), lambda t: len(t) >= 2)) > 0 AND len(replace(g, ' ', '')) >= 5 GROUP BY g.owner, g HAVING sum(weight) >= 2),
+t AS (SELECT owner, n, any_value(w) AS w, count(*) FILTER (confirmed) AS sure, count(*) FILTER (NOT confirmed) AS other, replace(n, ' ', '') AS packed FROM lr WHERE filled GROUP BY owner, n), a AS (SELECT *, list_transform(w, lambda x, i: x || coalesce(w[i + 1], '')) AS adj FROM t),
+c AS (SELECT e.owner, phrase, k, w, adj, sure, other FROM e JOIN a ON a.owner = e.owner AND contains(packed, k[1]) AND contains(packed, k[2]) AND contains(packed, k[3]) AND contains(packed, k[4])){ORDERED},
+f AS (SELECT owner, phrase, sum(sure)::BIGINT AS confirmed, sum(other)::BIGINT AS normal FROM s4 WHERE p4 > 0 GROUP BY ALL)
+SELECT e.owner, e.phrase, support, coalesce(confirmed, 0)::BIGINT AS confirmed, coalesce(normal, 0)::BIGINT AS normal, CASE WHEN coalesce(normal, 0) = 0 THEN 'active' ELSE 'audit' END AS status FROM e LEFT JOIN f USING (owner, phrase)""")
 def ordered_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _learning_rows(spark, sf_dir).where(SHORT).where("signature <> ''")
+    """Phrases of four words from confirmed texts, looked for in all texts."""
+    rows = _learning_rows(spark, sf_dir).where("signature <> ''")
     weighed = rows.groupBy("owner", "normal").agg(F.count_if("confirmed").alias("confirmed"), F.count_if(~F.col("confirmed")).alias("normal_count"))
-    best = learn.eligible(learn.phrases(_confirmed(spark, sf_dir, SHORT)), {4: 2})
+    best = learn.eligible(learn.phrases(_confirmed(spark, sf_dir)), {4: 2})
     return learn.confirm(best, weighed).select("owner", "phrase", "support", "confirmed", "normal", "status")
 
 
@@ -165,13 +173,13 @@ def similarity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mask_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = privacy.mask_frame(D.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")[0]
+    masked = privacy.mask_frame(D.spread(D.table(spark, sf_dir, "documents").select("doc_id", "text")), "text")[0]
     return masked.select("doc_id", F.md5("text").alias("masked_md5"), F.length("text").alias("n_chars"))
 
 
 @query()
 def mask_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.mask_frame(D.table(spark, sf_dir, "documents").select("doc_id", "text"), "text")[1]
+    return privacy.mask_frame(D.spread(D.table(spark, sf_dir, "documents").select("doc_id", "text")), "text")[1]
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:^|[^a-z0-9._%+-])[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}'))::INT AS n FROM documents WHERE regexp_matches(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}')")
