@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fenwright import registry
-from fenwright.plans import bi_queries, clean_queries, document_queries, field_queries, rule_queries, source_queries, spatial_queries, state_queries, text_queries  # noqa: F401  they register their queries
+from fenwright.plans import bi_queries, clean_queries, document_queries, field_queries, name_queries, rule_queries, source_queries, spatial_queries, state_queries, text_queries  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, registry.Query]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,13 +74,52 @@ def remove_names(words: Column, names: Column, titles: Sequence[str] = ("님", "
     return F.filter(words, lambda t: ~F.array_contains(names, t) & ~F.array_contains(names, bare(t)))
 
 
+def letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def matched(a: np.ndarray, b: np.ndarray) -> int:
+    """Letters in matching blocks: the longest common block (the first in a, then in b), then those before and behind it, and so on.
+
+    The shorter side is gone through letter by letter, the longer one at once.
+    """
+    if len(a) < len(b):
+        rows, others, swapped = a, b, False
+    else:
+        rows, others, swapped = b, a, True
+    total, todo = 0, [(0, len(rows), 0, len(others))]
+    while todo:
+        r0, r1, o0, o1 = todo.pop()
+        if r0 >= r1 or o0 >= o1:
+            continue
+        side, run = others[o0:o1], np.zeros(o1 - o0 + 1, np.int32)
+        most, at_row, at_other = 0, 0, 0
+        for i in range(r0, r1):
+            run[1:] = np.where(side == rows[i], run[:-1] + 1, 0)
+            k = int(run.max())
+            # Rows ascend; where they are b's, a tie goes to the block that is earlier in a.
+            if k > most or k == most > 0 and swapped:
+                j = int(run.argmax()) - 1 + o0
+                if k > most or j < at_other:
+                    most, at_row, at_other = k, i, j
+        if most:
+            total += most
+            todo += [(r0, at_row - most + 1, o0, at_other - most + 1), (at_row + 1, r1, at_other + 1, o1)]
+    return total
+
+
+def pair_counts(text: str) -> Counter:
+    """How often each pair of letters stands in a text; a single letter stands for itself."""
+    return Counter(text[i : i + 2] for i in range(max(1, len(text) - 1))) if text else Counter()
+
+
 def _likeness(a: str | None, b: str | None) -> float:
     if not a or not b:
         return 0.0
-    grams = [Counter(x[i : i + 2] for i in range(max(1, len(x) - 1))) for x in (a, b)]
+    grams = [pair_counts(x) for x in (a, b)]
     dot = sum(n * grams[1][g] for g, n in grams[0].items())
     norms = math.prod(math.sqrt(sum(n * n for n in g.values())) for g in grams)
-    return COSINE_WEIGHT * dot / norms + SEQUENCE_WEIGHT * SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return COSINE_WEIGHT * dot / norms + SEQUENCE_WEIGHT * 2 * matched(letters(a), letters(b)) / (len(a) + len(b))
 
 
 @F.pandas_udf(T.DoubleType())

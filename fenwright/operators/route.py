@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fenwright.functions import geo
+from fenwright.operators import scan
 from fenwright.operators.cut import cut as table
 from fenwright.operators.graph import connected_components
 
@@ -38,30 +39,28 @@ def _scope(*order: str) -> Window:
 
 def measured(route: DataFrame) -> DataFrame:
     """route (scope, pos, id, x, y, orders) with jump (to the one before), group (a new one after a jump over JUMP) and running orders."""
-    w = _scope("pos")
-    jump = F.coalesce(geo.distance(F.col("x"), F.col("y"), F.lag("x").over(w), F.lag("y").over(w)), F.lit(0.0))
-    out = route.withColumn("jump", jump)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return out.withColumn("group", F.sum((F.col("jump") > JUMP).cast("int")).over(run)).withColumn("running", F.sum("orders").over(run))
+    placed = scan.with_previous(scan.ranged(route, ["scope"], ["pos"]), ["scope"], ["pos"], ["x", "y"])
+    jump = F.coalesce(geo.distance(F.col("x"), F.col("y"), F.col("previous.x"), F.col("previous.y")), F.lit(0.0))
+    out = table(placed.withColumn("jump", jump).drop("previous"), "jumps")
+    return scan.with_running(out, ["scope"], ["pos"], {"group": (F.col("jump") > JUMP).cast("int"), "running": F.col("orders")}).drop(scan.PART)
 
 
 def serpentine(points: DataFrame) -> DataFrame:
     """points (scope, id, x, y) with rank: rows by y, every other row backwards; about as many rows as the root of the number, 24 at most."""
-    every = Window.partitionBy("scope")
-    n = F.greatest(F.lit(1), F.least(F.lit(24), F.round(F.sqrt(F.count("*").over(every))).cast("int")))
-    low, high = F.min("y").over(every), F.max("y").over(every)
-    sized = points.withColumn("rows", n).withColumn("low", low).withColumn("height", F.greatest(high - low, F.lit(1e-9)))
+    n = F.greatest(F.lit(1), F.least(F.lit(24), F.round(F.sqrt(F.count("*"))).cast("int")))
+    sizes = points.groupBy("scope").agg(n.alias("rows"), F.min("y").alias("low"), F.greatest(F.max("y") - F.min("y"), F.lit(1e-9)).alias("height"))
     row = F.least(F.floor((F.col("y") - F.col("low")) / F.col("height") * F.col("rows")), F.col("rows") - 1)
-    placed = sized.withColumn("row", row)
-    order = _scope("row", F.when(F.col("row") % 2 == 1, -F.col("x")).otherwise(F.col("x")), "id")
-    return placed.withColumn("rank", F.row_number().over(order)).drop("rows", "low", "height")
+    placed = points.join(sizes.withColumnRenamed("scope", "_scope"), F.col("scope").eqNullSafe(F.col("_scope"))).drop("_scope").withColumn("row", row).drop("rows", "low", "height").withColumn("along", F.when(F.col("row") % 2 == 1, -F.col("x")).otherwise(F.col("x")))
+    order = ["row", "along", "id"]
+    return scan.with_running(scan.ranged(placed, ["scope"], order), ["scope"], order, {"rank": F.lit(1)}).drop("along", scan.PART)
 
 
 def reentries(route: DataFrame) -> DataFrame:
     """(scope, block, pos) where a route (scope, pos, block) comes back to a block that it had left."""
-    begins = route.withColumn("new", ~F.col("block").eqNullSafe(F.lag("block").over(_scope("pos")))).where("new")
-    again = F.row_number().over(Window.partitionBy("scope", "block").orderBy("pos")) > 1
-    return begins.withColumn("again", again).where("again").select("scope", "block", "pos")
+    placed = scan.with_previous(scan.ranged(route.select("scope", "pos", "block"), ["scope"], ["pos"]), ["scope"], ["pos"], ["block"])
+    begins = table(placed.where(F.col("previous").isNull() | ~F.col("block").eqNullSafe(F.col("previous.block"))).select("scope", "block", "pos"), "begins")
+    first = begins.groupBy(F.col("scope").alias("s"), F.col("block").alias("b")).agg(F.min("pos").alias("first"))
+    return begins.join(first, F.col("scope").eqNullSafe(F.col("s")) & F.col("block").eqNullSafe(F.col("b"))).where("pos > first").select("scope", "block", "pos")
 
 
 def link_types(links: DataFrame) -> DataFrame:

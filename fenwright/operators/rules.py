@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fenwright.functions import text as X
+from fenwright.operators.cut import cut, dealt
 
 # When a candidate is promoted by likeness.
 MIN_SCORE, MAX_NORMAL, MIN_MARGIN, MIN_INFORMATIVE, PREFILTER = 0.75, 0.55, 0.20, 2, 30
@@ -147,35 +154,95 @@ def leading(normalised: Column, generic: tuple[str, ...] = X.GENERIC_PHRASE) ->
     return F.slice(F.filter(X.words(normalised), lambda t: ~t.isin(*generic)), 1, 3)
 
 
-def _pairs(sig: Column) -> Column:
-    """The character pairs of a signature; a single character stands for itself."""
-    first = F.split(sig, "")
-    return F.when(F.length(sig) > 1, F.slice(F.zip_with(first, F.slice(first, F.lit(2), F.size(first)), lambda a, b: F.concat(a, b)), F.lit(1), F.length(sig) - 1)).when(F.length(sig) == 1, F.array(sig)).otherwise(F.array().cast("array<string>"))
-
-
-def _counted(df: DataFrame, key: str) -> DataFrame:
-    """(owner, key, gram, n, norm) for each signature `key`."""
-    grams = df.select("owner", key).distinct().select("owner", key, F.explode(_pairs(F.col(key))).alias("gram")).groupBy("owner", key, "gram").agg(F.count("*").cast("double").alias("n"))
-    return grams.withColumn("norm", F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("owner", key))))
+#: Letters of references that are broadcast at once; more are met in further passes.
+REFERENCE_LETTERS = 16 << 20
+
+
+class References:
+    """Reference signatures by owner as an inverted index: for each pair of letters the references that hold it, with their share of it."""
+
+    def __init__(self, rows: list[tuple[str, str]]) -> None:
+        self.of: dict[str, tuple[list[str], dict[str, tuple[np.ndarray, np.ndarray]]]] = {}
+        for owner in sorted({o for o, _ in rows}):
+            # In descending order, so that of equal cosines the greater signature comes first.
+            refs = sorted({r for o, r in rows if o == owner}, reverse=True)
+            held: dict[str, list[tuple[int, float]]] = {}
+            for i, r in enumerate(refs):
+                counts = X.pair_counts(r)
+                norm = math.sqrt(sum(n * n for n in counts.values())) or 1.0
+                for g, n in counts.items():
+                    held.setdefault(g, []).append((i, n / norm))
+            self.of[owner] = refs, {g: (np.array([i for i, _ in h]), np.array([v for _, v in h])) for g, h in held.items()}
+
+    def nearest(self, owner: str, sig: str, most: int) -> list[tuple[float, str]]:
+        """(cosine, reference) of the references of largest cosine; each list of the index is read once, at one time."""
+        refs, held = self.of[owner]
+        counts = X.pair_counts(sig)
+        hits = [(held[g], n) for g, n in counts.items() if g in held]
+        cos = np.zeros(len(refs))
+        if hits:
+            at = np.concatenate([h[0] for h, _ in hits])
+            cos = np.bincount(at, np.concatenate([h[1] * n for h, n in hits]), len(refs)) / math.sqrt(sum(n * n for n in counts.values()))
+        order = np.argsort(-np.round(cos, 12), kind="stable")[:most]
+        return [(float(cos[i]), refs[i]) for i in order.tolist()]
+
+
+def _best(sig: str, near: list[tuple[float, str]]) -> float:
+    """The best likeness to some references. They are taken by an upper bound, letters in common in any order, so most need no matching."""
+    own, letters = Counter(sig), X.letters(sig)
+    bounds = sorted(((X.COSINE_WEIGHT * cos + X.SEQUENCE_WEIGHT * 2 * sum((own & Counter(r)).values()) / max(1, len(sig) + len(r)), cos, r) for cos, r in near), reverse=True)
+    best = 0.0
+    for bound, cos, r in bounds:
+        if bound <= best:
+            break
+        if sig and r:
+            best = max(best, X.COSINE_WEIGHT * cos + X.SEQUENCE_WEIGHT * 2 * X.matched(letters, X.letters(r)) / (len(sig) + len(r)))
+    return best
+
+
+def nearest(candidates: DataFrame, references: DataFrame, most: int = PREFILTER) -> DataFrame:
+    """(owner, sig, ref, cos, nth): of each different candidate (owner, sig) the `most` references (owner, sig) of its owner with the largest
+    cosine of their pairs of letters, exactly; of equal ones (to twelve places) the greatest. Candidates of any length are read where they
+    are; references come to them as an index, REFERENCE_LETTERS at a time, so no pair of texts is ever a row of a shuffle but the best of each pass.
+    """
+    spark = candidates.sparkSession
+    known = cut(references.where("sig is not null").select("owner", "sig").distinct(), "references")
+    parts = max(1, math.ceil((known.agg(F.sum(F.length("sig"))).first()[0] or 0) / REFERENCE_LETTERS))
+    own = dealt(candidates.where("sig is not null").select("owner", "sig"), "owner", "sig").distinct()
+    out = None
+    for part in range(parts):
+        rows = [tuple(r) for r in known.where(F.pmod(F.xxhash64("owner", "sig"), F.lit(parts)) == part).collect()]
+        index = spark.sparkContext.broadcast(References(rows))
+
+        def run(frames: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                found = [(o, s, r, c) for o, s in zip(frame["owner"], frame["sig"]) if o in index.value.of for c, r in index.value.nearest(o, s, most)]
+                yield pd.DataFrame(found, columns=["owner", "sig", "ref", "cos"])
+
+        one = own.mapInPandas(run, "owner string, sig string, ref string, cos double")
+        out = one if out is None else out.unionByName(one)
+    order = Window.partitionBy("owner", "sig").orderBy(F.round("cos", 12).desc(), F.desc("ref"))
+    return out.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
 
 
 def closest(candidates: DataFrame, references: DataFrame, prefilter: int = PREFILTER) -> DataFrame:
-    """(id, score): the best likeness of candidates (id, owner, sig) to references (owner, sig) of their owner.
+    """(owner, sig, score): the best likeness of each different candidate (owner, sig) to references (owner, sig) of its owner, 0 if it is like
+    none; candidates of owners without references have no row. Only the `prefilter` references with the largest cosine are compared in
+    full, as the rule says."""
 
-    Cosines come from equal character pairs, so signatures without a common one never meet (their likeness is at most
-    a match of single letters). Only the `prefilter` references with the largest cosine are compared in full, as the rule says.
-    """
-    left, right = _counted(candidates, "sig"), _counted(references.select("owner", F.col("sig").alias("ref")), "ref").withColumnsRenamed({"n": "m", "norm": "other"})
-    dots = left.join(right, ["owner", "gram"]).groupBy("owner", "sig", "ref").agg((F.sum(F.col("n") * F.col("m")) / (F.first("norm") * F.first("other"))).alias("cos"))
-    order = Window.partitionBy("owner", "sig").orderBy(F.desc("cos"), F.desc("ref"))
-    near = dots.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= prefilter)
-    best = near.withColumn("score", X.likeness("sig", "ref")).groupBy("owner", "sig").agg(F.max("score").alias("score"))
-    return candidates.join(best, ["owner", "sig"]).select("id", "score")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            scores = [_best(s, [(n["cos"], n["ref"]) for n in near]) for s, near in zip(frame["sig"], frame["near"])]
+            yield pd.DataFrame({"owner": frame["owner"], "sig": frame["sig"], "score": scores})
+
+    near = nearest(candidates, references, prefilter).groupBy("owner", "sig").agg(F.collect_list(F.struct("cos", "ref")).alias("near"))
+    return dealt(near, "owner", "sig").mapInPandas(run, "owner string, sig string, score double")
 
 
 def promote(candidates: DataFrame, errors: DataFrame, normals: DataFrame) -> DataFrame:
-    """Candidates (id, owner, sig, informative, locked) that are near known errors of their owner and far from its normal texts."""
+    """Candidates (id, owner, sig, informative, locked) that are near known errors of their owner and far from its normal texts. An owner
+    without either has nothing to compare with; a candidate unlike every normal text is as far as can be."""
     near = closest(candidates, errors).withColumnRenamed("score", "positive")
     far = closest(candidates, normals).withColumnRenamed("score", "negative")
-    both = candidates.join(near, "id").join(far, "id")
+    both = candidates.join(near, ["owner", "sig"]).join(far, ["owner", "sig"])
     return both.where(~F.col("locked") & (F.col("informative") >= MIN_INFORMATIVE) & (F.col("positive") >= MIN_SCORE) & (F.col("negative") < MAX_NORMAL) & (F.col("positive") - F.col("negative") >= MIN_MARGIN))

@@ -206,13 +206,14 @@ def route_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.quality(assigned, PEOPLE)
 
 
-@query(f"""{POINTS}, b AS (SELECT 's' || (label % 4) AS scope, id % 37 AS component, id, x / 8 AS x, y / 8 AS y, orders FROM points WHERE id % 37 <> 36 OR id % 3 = 0), c AS (SELECT scope, component, count(*) AS members, sum(orders)::BIGINT AS orders FROM b GROUP BY ALL),
+@query(f"""{POINTS}, b AS (SELECT 's' || (label % 4) AS scope, CASE WHEN id % 37 = 36 AND id % 3 > 0 THEN id + 100 ELSE id % 37 END AS component, id, x / 8 AS x, y / 8 AS y, orders FROM points), c AS (SELECT scope, component, count(*) AS members, sum(orders)::BIGINT AS orders FROM b GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY orders DESC, component) = 1 AS main FROM c),
 n AS (SELECT p.scope, p.component, min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS d FROM b p JOIN k ON k.scope = p.scope AND k.component = p.component AND NOT k.main JOIN k z ON z.scope = p.scope AND z.main JOIN b q ON q.scope = p.scope AND q.component = z.component GROUP BY ALL)
 SELECT scope, component, members, orders, CASE WHEN d <= 1500 THEN round(d, 3) END AS nearest, CASE WHEN main THEN NULL WHEN members = 1 AND orders <= 24 THEN 'small_isolated_block' WHEN orders <= 40 AND d > 1500 THEN 'medium_far_component' WHEN orders <= 24 AND d > 500 THEN 'small_far_island_component' END AS reason
 FROM k LEFT JOIN n USING (scope, component)""")
 def residual_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = D.points(spark, sf_dir).where("id % 37 <> 36 or id % 3 = 0").select(F.concat(F.lit("s"), F.col("label") % 4).alias("scope"), (F.col("id") % 37).alias("component"), "id", (F.col("x") / 8).alias("x"), (F.col("y") / 8).alias("y"), "orders")
+    n = F.col("id")
+    blocks = D.points(spark, sf_dir).select(F.concat(F.lit("s"), F.col("label") % 4).alias("scope"), F.when((n % 37 == 36) & (n % 3 > 0), n + 100).otherwise(n % 37).alias("component"), "id", (F.col("x") / 8).alias("x"), (F.col("y") / 8).alias("y"), "orders")
     return route.residual_components(blocks).withColumn("nearest", F.round("nearest", 3))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fenwright.functions import privacy
 from fenwright.functions import text as X
 from fenwright.operators import learn, rules
+from fenwright.operators.cut import dealt
 from fenwright.plans import domain as D
 from fenwright.registry import query
 
@@ -102,7 +103,7 @@ MINE = f"{LEARN}, u AS (SELECT any_value(id) AS id, owner, s, any_value(w) AS w,
 
 def _confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _learning_rows(spark, sf_dir).where("confirmed and signature <> ''")
-    return rows.groupBy("owner", "signature").agg(F.first("normal").alias("normal"), F.count("*").alias("weight"))
+    return dealt(rows, "owner", "signature").groupBy("owner", "signature").agg(F.first("normal").alias("normal"), F.count("*").alias("weight"))
 
 
 @query(f"{MINE} SELECT g.owner, g AS phrase, size, sum(weight)::BIGINT AS support, count(*) AS signatures FROM g JOIN u USING (id) WHERE len(list_filter(string_split(g, ' '), lambda t: len(t) >= 2)) > 0 AND len(replace(g, ' ', '')) >= 5 GROUP BY g.owner, g, size HAVING sum(weight) >= CASE size WHEN 2 THEN 3 ELSE 2 END")
@@ -162,13 +163,32 @@ def evidence_accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.accumulate(e.unionByName(e.where("size = 2")))
 
 
+def _signatures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Those of details, and of benchmark items, as of one owner."""
+    sig = lambda c: X.signature(F.col(c))
+    every = details(spark, sf_dir).select("id", F.lit("all").alias("owner"), sig("text").alias("sig"))
+    return every, D.table(spark, sf_dir, "benchmark").select(F.lit("all").alias("owner"), sig("text").alias("sig"))
+
+
+# Cosines to twelve places, so that the order of a sum's terms makes no difference; of equal ones the greater signature.
+COSINES = """WITH c AS (SELECT DISTINCT regexp_replace(lower(text), '[^가-힣a-z]+', '', 'g') AS sig FROM documents), r AS (SELECT DISTINCT regexp_replace(lower(text), '[^가-힣a-z]+', '', 'g') AS ref FROM benchmark),
+cg AS (SELECT sig, g, count(*) AS n FROM (SELECT sig, unnest([sig[i:i + 1] FOR i IN range(1, greatest(len(sig), 2))]) AS g FROM c WHERE sig <> '') GROUP BY ALL), rg AS (SELECT ref, g, count(*) AS m FROM (SELECT ref, unnest([ref[i:i + 1] FOR i IN range(1, greatest(len(ref), 2))]) AS g FROM r WHERE ref <> '') GROUP BY ALL),
+cn AS (SELECT sig, sqrt(sum(n * n)) AS norm FROM cg GROUP BY sig), rn AS (SELECT ref, sqrt(sum(m * m)) AS norm FROM rg GROUP BY ref), dots AS (SELECT sig, ref, sum(n * m) AS dot FROM cg JOIN rg USING (g) GROUP BY ALL),
+cosines AS (SELECT c.sig, r.ref, coalesce(dot / (cn.norm * rn.norm), 0) AS cos FROM c CROSS JOIN r LEFT JOIN dots USING (sig, ref) LEFT JOIN cn ON cn.sig = c.sig LEFT JOIN rn ON rn.ref = r.ref)"""
+
+
+@query(f"{COSINES} SELECT md5(sig) AS signature, md5(ref) AS nearest, round(cos, 9) AS cosine, row_number() OVER (PARTITION BY sig ORDER BY round(cos, 12) DESC, ref DESC) AS nth FROM cosines QUALIFY nth <= 5")
+def similarity_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five benchmark items of largest cosine for each text, whatever its length."""
+    found = rules.nearest(*_signatures(spark, sf_dir), 5)
+    return found.select(F.md5("sig").alias("signature"), F.md5("ref").alias("nearest"), F.round("cos", 9).alias("cosine"), "nth")
+
+
 @query()
 def similarity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likeness of short details to benchmark items of any owner: the best of those with the nearest character pairs."""
-    sig = lambda c: X.signature(F.col(c))
-    some = details(spark, sf_dir).where("n_chars < 120").select("id", F.lit("all").alias("owner"), sig("text").alias("sig"))
-    items = D.table(spark, sf_dir, "benchmark").select(F.lit("all").alias("owner"), sig("text").alias("sig"))
-    return rules.closest(some, items, 5).select("id", F.round("score", 6).alias("score"))
+    """Likeness of details to benchmark items: the best of those with the nearest character pairs."""
+    every, items = _signatures(spark, sf_dir)
+    return every.join(rules.closest(every, items, 5), ["owner", "sig"]).select("id", F.round("score", 6).alias("score"))
 
 
 @query()

@@ -71,7 +71,7 @@ def test_text_forms(spark):
     assert one(spark, X.template(F.lit("계량기지침확인필요 010-1234-5678 김봉기"), surnames, not_names)) == "계량기지침확인필요"
     assert one(spark, X.template(F.lit("58,404원 24일까지 2개월 체납"), surnames, not_names)) == "금액값 날짜값 기간값 체납"
     pairs = spark.createDataFrame([("혹서기 안내 격월 후 검침", "혹서기 격월 검침"), ("혹 서기 격월검침", "혹서기 격월 검침"), ("격월 혹서기 검침", "혹서기 격월 검침"), ("가 나", ""), ("혹서기 a b c d e f g 격월", "혹서기 격월"), ("혹서기 a b c d e f g h 격월", "혹서기 격월")], "t string, p string")
-    assert [r.v for r in pairs.select(X.holds_phrase("t", "p").alias("v")).collect()] == [True, False, False, False, True, False]
+    assert [r.v for r in pairs.select(X.words(F.col("t")).alias("w"), "p").select(X.holds_phrase(F.col("w"), F.col("p")).alias("v")).collect()] == [True, False, False, False, True, False]
     same = spark.createDataFrame([("abcd", "abcd"), ("abcd", "wxyz"), ("", "a"), (None, "a")], "a string, b string")
     assert [round(r.v, 6) for r in same.select(X.likeness("a", "b").alias("v")).collect()] == [1.0, 0.0, 0.0, 0.0]
     names = F.array(F.lit("홍길동"))
@@ -90,9 +90,69 @@ def test_promotion_by_likeness(spark):
     c = spark.createDataFrame([("similar", "o", "계량기교체요청오류", 3, False), ("normal", "o", "정상업무처리문구", 3, False), ("locked", "o", "계량기교체요청오류", 3, True), ("other", "p", "계량기교체요청오류", 3, False)], "id string, owner string, sig string, informative int, locked boolean")
     errors = spark.createDataFrame([("o", "계량기교체요청오류건")], "owner string, sig string")
     normals = spark.createDataFrame([("o", "정상업무처리문구")], "owner string, sig string")
-    # Whoever shares no pair with any normal text has no negative score to compare; both reference sets must be met.
-    normals = normals.unionByName(spark.createDataFrame([("o", "요청접수")], "owner string, sig string"))
     assert [r.id for r in rules.promote(c, errors, normals).collect()] == ["similar"]
+    # Unlike every normal text is as far as can be; without any normal text of the owner there is nothing to be far from.
+    assert [r.id for r in rules.promote(c, errors, normals.select("owner", F.lit("xyz").alias("sig"))).collect()] == ["similar"]
+    assert rules.promote(c, errors, normals.where("owner = 'p'")).count() == 0 and rules.promote(c, errors.limit(0), normals).count() == 0
+    twice = c.unionByName(c)
+    assert [r.id for r in rules.promote(twice, errors, normals).collect()] == ["similar"] * 2
+
+
+def test_matching_blocks_are_those_of_difflib():
+    from difflib import SequenceMatcher
+
+    r = random.Random(7)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abc가"[: r.randint(1, 4)]) for _ in range(r.randint(0, 25))) for _ in range(2))
+        expected = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        assert X.matched(X.letters(a), X.letters(b)) == expected, (a, b)
+
+
+def test_nearest_references_are_exact(spark, monkeypatch):
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdef") for _ in range(n))
+    refs = [(o, text(r.randint(1, 30))) for o in "xy" for _ in range(40)] + [("x", "zz"), ("x", "")]
+    cands = [(i, "xyz"[i % 3], text(r.randint(0, 60))) for i in range(60)] + [(60, "x", "qqqq"), (61, "x", None), (62, "x", text(4000))]
+    expected = {}
+    for _, o, s in cands:
+        if s is not None and o != "z":
+            expected[o, s] = max(X._likeness(s, q) for p, q in refs if p == o)
+    for bound in (rules.REFERENCE_LETTERS, 200):
+        monkeypatch.setattr(rules, "REFERENCE_LETTERS", bound)
+        got = {(g.owner, g.sig): g.score for g in rules.closest(spark.createDataFrame(cands, "id int, owner string, sig string"), spark.createDataFrame(refs, "owner string, sig string"), 100).collect()}
+        assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
+def test_ordered_match_against_plain_search(spark):
+    def finds(words, anchors):
+        at = 0
+        for nth, anchor in enumerate(anchors):
+            for start in range(at, len(words) if nth == 0 else min(len(words), at + X.GAP_TOKENS + 1)):
+                end = next((start + n for n in range(X.SPLIT_TOKENS) if start + n < len(words) and anchor in "".join(words[start : start + n + 1])), None)
+                if end is not None:
+                    at = end + 1
+                    break
+            else:
+                return False
+        return bool(anchors) and bool(words)
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 3)))
+    rows = [(" ".join(word() for _ in range(r.randint(0, 25))), " ".join(word() + r.choice(["", "a", "b"]) for _ in range(r.randint(0, 4)))) for _ in range(600)]
+    df = spark.createDataFrame(rows, "t string, p string").select("t", "p", X.words(F.col("t")).alias("w")).select("t", "p", X.holds_phrase(F.col("w"), F.col("p")).alias("v"))
+    assert all(row.v == finds([w for w in row.t.split(" ") if w], [w for w in row.p.split(" ") if w]) for row in df.collect())
+
+
+def test_overlapping_periods(spark):
+    r = random.Random(2)
+    period = lambda: (lambda s, n: (s, s + n))(r.randint(-500, 500), r.choice((0, 1, 3, 30, 400)))
+    left, right = [period() for _ in range(200)] + [(5, 4), (None, 3), (9000, None)], [period() for _ in range(6)] + [(700, 600)]
+    df = lambda rows: spark.createDataFrame(rows, "start int, end int")
+    got = {tuple(x) for x in learn.overlapping(df(left), df(right)).collect()}
+    assert got == {(s, e) for s, e in left if s is None or e is None or any(s <= b and a <= e for a, b in right if a <= b and s <= e)}
+    assert learn.overlapping(df(left), df([(None, 1)])).count() == len(set(left)) and learn.overlapping(df(left), df([]).limit(0)).count() == 0
+    dates = spark.createDataFrame([(date(2024, 1, 1), date(2024, 1, 31)), (date(2024, 2, 1), date(2024, 2, 29))], "start date, end date")
+    assert [x.start for x in learn.overlapping(dates, dates.where("start = date'2024-02-01'")).collect()] == [date(2024, 2, 1)]
 
 
 def test_learning(spark):
