@@ -81,30 +81,29 @@ def letters(text: str) -> np.ndarray:
 def matched(a: np.ndarray, b: np.ndarray) -> int:
     """Letters in matching blocks: the longest common block (the first in a, then in b), then those before and behind it, and so on.
 
-    The shorter side is gone through letter by letter, the longer one at once.
+    Of each two stretches the shorter one is gone through letter by letter, the longer one at once.
     """
-    if len(a) < len(b):
-        rows, others, swapped = a, b, False
-    else:
-        rows, others, swapped = b, a, True
-    total, todo = 0, [(0, len(rows), 0, len(others))]
+    total, todo = 0, [(0, len(a), 0, len(b))]
     while todo:
-        r0, r1, o0, o1 = todo.pop()
-        if r0 >= r1 or o0 >= o1:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 >= a1 or b0 >= b1:
             continue
-        side, run = others[o0:o1], np.zeros(o1 - o0 + 1, np.int32)
-        most, at_row, at_other = 0, 0, 0
-        for i in range(r0, r1):
-            run[1:] = np.where(side == rows[i], run[:-1] + 1, 0)
+        by_a = a1 - a0 <= b1 - b0
+        rows, side = (a[a0:a1], b[b0:b1]) if by_a else (b[b0:b1], a[a0:a1])
+        run = np.zeros(len(side) + 1, np.int32)
+        most = at_row = at_side = 0
+        for i, letter in enumerate(rows):
+            run[1:] = (run[:-1] + 1) * (side == letter)
             k = int(run.max())
-            # Rows ascend; where they are b's, a tie goes to the block that is earlier in a.
-            if k > most or k == most > 0 and swapped:
-                j = int(run.argmax()) - 1 + o0
-                if k > most or j < at_other:
-                    most, at_row, at_other = k, i, j
+            # Where rows are a's, the first block found is the first; where they are b's, an equal one may be earlier in a.
+            if k > most or k == most > 0 and not by_a:
+                j = int(run.argmax()) - 1
+                if k > most or j < at_side:
+                    most, at_row, at_side = k, i, j
         if most:
             total += most
-            todo += [(r0, at_row - most + 1, o0, at_other - most + 1), (at_row + 1, r1, at_other + 1, o1)]
+            end_a, end_b = (a0 + at_row, b0 + at_side) if by_a else (a0 + at_side, b0 + at_row)
+            todo += [(a0, end_a - most + 1, b0, end_b - most + 1), (end_a + 1, a1, end_b + 1, b1)]
     return total
 
 
@@ -128,14 +127,19 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_likeness(x, y) for x, y in zip(a, b)])
 
 
-def holds_phrase(words: Column, phrase: Column) -> Column:
+def adjacent(words: Column) -> Column:
+    """Each word with the next one behind it."""
+    return F.zip_with(words, F.concat(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+
+
+def holds_phrase(words: Column, phrase: Column, pairs: Column | None = None) -> Column:
     """Whether a text's words hold a phrase's words in order: each inside one or two adjacent words, the earliest that fit, no word
     used twice, at most GAP_TOKENS words between. The phrase's words are folded over the place behind the last match, -1 once one is missing.
-    Give columns."""
-    adjacent = F.zip_with(words, F.concat(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    Give columns; and `adjacent` of the words as one, where many phrases are looked for in a text."""
+    pairs = adjacent(words) if pairs is None else pairs
 
     def follow(at: Column, word: Column) -> Column:
-        ahead = F.slice(adjacent, F.greatest(at, F.lit(0)) + 1, F.when(at == 0, F.size(words)).otherwise(GAP_TOKENS + 1))
+        ahead = F.slice(pairs, F.greatest(at, F.lit(0)) + 1, F.when(at == 0, F.size(words)).otherwise(GAP_TOKENS + 1))
         step = F.array_position(F.transform(ahead, lambda t: F.contains(t, word)), True).cast("int")
         found = F.transform(F.array(step), lambda n: F.when(n == 0, -1).otherwise(at + n + F.when(F.contains(F.get(words, at + n - 1), word), 0).otherwise(1)))
         return F.when(at < 0, -1).otherwise(F.get(found, 0))
