@@ -497,3 +497,13 @@ def test_secret_forest_on_held_out_findings(spark):
     held_out = secret_scan.labelled_findings(spark, 6000).subtract(secret_scan.labelled_findings(spark, 4000))
     scored = model.transform(secret_scan.features(held_out))
     assert scored.where("prediction = label").count() >= 0.97 * scored.count()
+
+
+def test_decontamination_of_items_with_capitals(spark):
+    """Items are lower-cased before they are cut: capitals at the beginning, at the end, throughout, and a rest of one word."""
+    items = [(1, "Which USA is NASA"), (2, "x!! UPPER CASE ITEM"), (3, "ALL CAPITALS OF ONE ITEM THAT HAS MORE THAN TEN WORDS IN IT"), (4, "end in CAPITALS"), (5, "É À not ASCII")]
+    texts = [(1, "so which usa is nasa, then"), (2, "an x alone"), (3, "all Capitals of one item that has more than TEN words in it"), (4, "end in capitals"), (5, "é à not ascii"), (6, "É À NOT ascii"), (7, "hich usa is")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.judge(spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect()}
+    assert got == {i: decontaminate.brute_force(t, items) for i, t in texts}
+    assert [i for i, r in got.items() if r[-1]] == [1, 3, 4, 6]
