@@ -51,7 +51,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Each stage's table goes when the next one is written; the last one stays, as the result reads it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = _store.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = _store.new_path(spark, name.replace(" ", "-"))
+        found = stage(spark, docs, sf_dir)
+        found.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if before:
+            _store.drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
