@@ -132,20 +132,35 @@ def adjacent(words: Column) -> Column:
     return F.zip_with(words, F.concat(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
 
 
-def holds_phrase(words: Column, phrase: Column, pairs: Column | None = None) -> Column:
+def holds_phrase(words: Column, phrase: Column, pairs: Column | None = None, spaced: Column | None = None, packed: Column | None = None) -> Column:
     """Whether a text's words hold a phrase's words in order: each inside one or two adjacent words, the earliest that fit, no word
     used twice, at most GAP_TOKENS words between. The phrase's words are folded over the place behind the last match, -1 once one is missing.
-    Give columns; and `adjacent` of the words as one, where many phrases are looked for in a text."""
+    Give columns; and where many phrases are looked for in a text, `adjacent` of its words, and the words joined by spaces and by nothing, as columns too.
+
+    The first word may stand anywhere. Where its first place in the text without spaces is one inside a single word, the spaces before it
+    tell the place, and the list of words is not gone through.
+    """
     pairs = adjacent(words) if pairs is None else pairs
+    spaced = F.array_join(words, " ") if spaced is None else spaced
+    packed = F.array_join(words, "") if packed is None else packed
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+
+    def behind(held: Column, at: Column, word: Column) -> Column:
+        step = F.array_position(held, True).cast("int")
+        return once(step, lambda n: F.when(n == 0, -1).otherwise(at + n + F.when(F.contains(F.get(words, at + n - 1), word), 0).otherwise(1)))
 
     def follow(at: Column, word: Column) -> Column:
-        ahead = F.slice(pairs, F.greatest(at, F.lit(0)) + 1, F.when(at == 0, F.size(words)).otherwise(GAP_TOKENS + 1))
-        step = F.array_position(F.transform(ahead, lambda t: F.contains(t, word)), True).cast("int")
-        found = F.transform(F.array(step), lambda n: F.when(n == 0, -1).otherwise(at + n + F.when(F.contains(F.get(words, at + n - 1), word), 0).otherwise(1)))
-        return F.when(at < 0, -1).otherwise(F.get(found, 0))
+        ahead = F.array(*map(F.lit, range(GAP_TOKENS + 1)))  # by their places, as a slice would copy the whole list first
+        return F.when(at < 0, -1).otherwise(behind(F.transform(ahead, lambda n: F.contains(F.get(pairs, at + n), word)), at, word))
+
+    def first(word: Column) -> Column:
+        before = lambda p: F.size(F.split(F.left(spaced, p), " ")) - 1
+        inside = lambda p, n: F.when((p > 0) & (F.instr(packed, word) == p - n), n + 1).otherwise(behind(F.transform(pairs, lambda t: F.contains(t, word)), F.lit(0), word))
+        return F.when(F.contains(packed, word), once(F.instr(spaced, word), lambda p: once(before(p), lambda n: inside(p, n)))).otherwise(-1)
 
     wanted = F.filter(F.split(phrase, " "), lambda t: t != "")
-    return (F.size(wanted) > 0) & (F.size(words) > 0) & (F.aggregate(wanted, F.lit(0), follow) > 0)
+    rest = F.slice(wanted, F.lit(2), F.greatest(F.size(wanted) - 1, F.lit(0)))
+    return (F.size(wanted) > 0) & (F.size(words) > 0) & (F.aggregate(rest, first(F.get(wanted, 0)), follow) > 0)
 
 
 # Words of the likeness template.
