@@ -248,7 +248,19 @@ def union_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.outline(segs)
 
 
-@query()
+_METRES = "2 * 6371000.0 * asin(least(1.0, sqrt(sin(radians({2} - {0}) / 2) ** 2 + cos(radians({0})) * cos(radians({2})) * sin(radians({3} - {1}) / 2) ** 2)))"
+# Each street in the order of its lots; the head of a run is carried along it. A street's runs are its components.
+STREETS = f"""{POINTS}, r AS (SELECT id, label, id % 10 AS road, id // 10 AS m, 36 + y / 10000000 AS lat, 127 + x / 10000000 AS lon, row_number() OVER (PARTITION BY label, id % 10 ORDER BY id // 10, id) AS n FROM points),
+w AS (SELECT id, label, road, n, m, lat, lon, id AS head, m AS hm, lat AS hlat, lon AS hlon FROM r WHERE n = 1
+  UNION ALL SELECT id, label, road, n, m, lat, lon, CASE WHEN near THEN head ELSE id END, CASE WHEN near THEN hm ELSE m END, CASE WHEN near THEN hlat ELSE lat END, CASE WHEN near THEN hlon ELSE lon END
+  FROM (SELECT *, (d <= 22 AND score <= 95) OR (d <= 55 AND score <= 118 AND lots <= 4) OR (d <= 38 AND score <= 108 AND lots <= 8) AS near
+    FROM (SELECT *, d + least(lots * 4, 80) AS score FROM (SELECT r.*, head, hm, hlat, hlon, abs(r.m - hm) AS lots, {_METRES.format("hlat", "hlon", "r.lat", "r.lon")} AS d FROM w JOIN r ON r.label = w.label AND r.road = w.road AND r.n = w.n + 1)))),
+o AS (SELECT *, lag(m) OVER s AS pm, lag(lat) OVER s AS plat, lag(lon) OVER s AS plon, count(*) OVER (PARTITION BY head) AS held FROM w WINDOW s AS (PARTITION BY head ORDER BY m, lat, lon, id)),
+b AS (SELECT *, sum(CASE WHEN pm IS NULL OR abs(m - pm) > 10 OR {_METRES.format("plat", "plon", "lat", "lon")} > 65 THEN 1 ELSE 0 END) OVER (PARTITION BY head ORDER BY m, lat, lon, id) AS run FROM o),
+c AS (SELECT *, (row_number() OVER (PARTITION BY head, run ORDER BY m, lat, lon, id) - 1) // 80 AS part FROM b)"""
+
+
+@query(f"{STREETS} SELECT id, head AS component, CASE WHEN held <= 80 THEN 0 ELSE dense_rank() OVER (PARTITION BY head ORDER BY run, part) - 1 END::BIGINT AS piece FROM c")
 def street_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points as addresses of ten streets, about 1 degree to 100 km."""
     p = D.points(spark, sf_dir)
