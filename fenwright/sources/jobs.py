@@ -75,6 +75,10 @@ def write_sheets(stream: object, name: str, header: list[str], rows: Iterator[tu
     return total
 
 
+#: The file that says that a job has not ended.
+ALIVE = "_alive"
+
+
 class Part(WriterCommitMessage):
     def __init__(self, file: str | None, rows: int) -> None:
         self.file, self.rows = file, rows
@@ -88,11 +92,17 @@ class WorkbookSink(DataSource):
         return "workbook_parts"
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return WorkbookWriter(self.options["path"], self.options.get("sheet", "Sheet"), schema.fieldNames(), overwrite)
+        made = WorkbookWriter(self.options["path"], self.options.get("sheet", "Sheet"), schema.fieldNames(), overwrite)
+        made.begin()
+        return made
 
 
 class WorkbookWriter(DataSourceWriter):
-    """Tasks write beside the result; only the commit of all moves their workbooks there, and an abort takes them away."""
+    """Tasks write beside the result; only the commit of all moves their workbooks there, and an abort takes them away.
+
+    Other tasks may still run when one fails and the job is aborted. So the driver makes the folder, with a file that says the job is alive;
+    a task that no longer finds that file writes nothing, and takes away what it has written.
+    """
 
     def __init__(self, path: str, sheet: str, header: list[str], overwrite: bool) -> None:
         self.path, self.sheet, self.header, self.overwrite = path, sheet, header, overwrite
@@ -102,21 +112,36 @@ class WorkbookWriter(DataSourceWriter):
         files, root = fs.FileSystem.from_uri(self.path) if ":" in self.path.split("/")[0] else (fs.LocalFileSystem(), self.path)
         return files, root.rstrip("/")
 
+    def _folder(self, root: str) -> str:
+        return f"{root}/_temporary-{self.job}"
+
+    def begin(self) -> None:
+        files, root = self._place()
+        files.create_dir(self._folder(root), recursive=True)
+        with files.open_output_stream(f"{self._folder(root)}/{ALIVE}"):
+            pass
+
+    def _check(self, files: fs.FileSystem, root: str) -> None:
+        if files.get_file_info(f"{self._folder(root)}/{ALIVE}").type != fs.FileType.File:
+            self._clear(files, root)
+            raise RuntimeError("the job was aborted")
+
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         first = next(iterator, None)
         if first is None:
             return Part(None, 0)
         files, root = self._place()
-        folder = f"{root}/_temporary-{self.job}"
-        files.create_dir(folder, recursive=True)
-        file = f"{folder}/{uuid.uuid4().hex}.xlsx"
+        self._check(files, root)
+        file = f"{self._folder(root)}/{uuid.uuid4().hex}.xlsx"
 
         def rows() -> Iterator[tuple]:
             yield tuple(first)
             yield from map(tuple, iterator)
 
         with files.open_output_stream(file) as out:
-            return Part(file, write_sheets(out, self.sheet, self.header, rows()))
+            n = write_sheets(out, self.sheet, self.header, rows())
+        self._check(files, root)
+        return Part(file, n)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         files, root = self._place()
@@ -133,9 +158,17 @@ class WorkbookWriter(DataSourceWriter):
         self._clear(*self._place())
 
     def _clear(self, files: fs.FileSystem, root: str) -> None:
-        folder = f"{root}/_temporary-{self.job}"
-        if files.get_file_info(folder).type == fs.FileType.Directory:
-            files.delete_dir(folder)
+        folder = self._folder(root)
+        if files.get_file_info(f"{folder}/{ALIVE}").type == fs.FileType.File:
+            files.delete_file(f"{folder}/{ALIVE}")
+        for left in range(5, 0, -1):  # a task may open its file while the folder is emptied
+            try:
+                if files.get_file_info(folder).type == fs.FileType.Directory:
+                    files.delete_dir(folder)
+                return
+            except OSError:
+                if left == 1:
+                    raise
 
 
 def save_workbook(df: DataFrame, path: str, sheet: str, detail: str | None = None, subcategory: str | None = None, mode: str = "overwrite") -> None:

@@ -47,6 +47,21 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     assert sorted(os.listdir(path)) == before
 
 
+def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path):
+    writer = jobs.WorkbookWriter(str(tmp_path / "out"), "s", ["v"], True)
+    writer.begin()
+
+    def rows():
+        yield ("a",)
+        writer.abort([])
+        yield ("b",)
+
+    for late in (rows(), iter([("c",)])):
+        with pytest.raises(RuntimeError, match="aborted"):
+            writer.write(late)
+    assert os.listdir(tmp_path / "out") == []
+
+
 def test_sheets_have_an_end():
     stream = io.BytesIO()
     assert jobs.write_sheets(stream, "s", ["a"], iter([(i,) for i in range(7)]), most=4) == 7
