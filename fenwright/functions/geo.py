@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +79,22 @@ def cross(s: Column, o: Column) -> Column:
     return ((a != b) & (c != d)) | on_segment(o.ax, o.ay, s) | on_segment(o.bx, o.by, s) | on_segment(s.ax, s.ay, o) | on_segment(s.bx, s.by, o)
 
 
+def crossed(s: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """`cross` of two arrays of segments (ax, ay, bx, by), row by row; the same sums in the same order."""
+    (sax, say, sbx, sby), (oax, oay, obx, oby) = s.T, o.T
+
+    def side(ax, ay, bx, by, x, y):  # noqa: ANN001, ANN202
+        v = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        on = np.abs(v) <= 1e-9
+        inside = on & (x >= np.minimum(ax, bx) - 1e-9) & (x <= np.maximum(ax, bx) + 1e-9) & (y >= np.minimum(ay, by) - 1e-9) & (y <= np.maximum(ay, by) + 1e-9)
+        return np.where(on, 0.0, np.sign(v)), inside
+
+    (a, on_a), (b, on_b) = side(sax, say, sbx, sby, oax, oay), side(sax, say, sbx, sby, obx, oby)
+    (c, on_c), (d, on_d) = side(oax, oay, obx, oby, sax, say), side(oax, oay, obx, oby, sbx, sby)
+    return ((a != b) & (c != d)) | on_a | on_b | on_c | on_d
+
+
+
 def between_segments(s: Column, o: Column) -> Column:
     return F.when(cross(s, o), F.lit(0.0)).otherwise(F.least(to_segment(s.ax, s.ay, o), to_segment(s.bx, s.by, o), to_segment(o.ax, o.ay, s), to_segment(o.bx, o.by, s)))
 

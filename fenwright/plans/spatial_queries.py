@@ -11,7 +11,7 @@ from fenwright.plans import domain as D
 from fenwright.registry import query
 
 POINTS = f"WITH RECURSIVE {D.POINTS_SQL}"
-SIDE = 700.0
+SIDE, REACH = 700.0, 250.0
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ PAIRS = f"{POINTS}, pairs AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.within(D.points(spark, sf_dir), 250.0)
+    return spatial.within(D.points(spark, sf_dir), REACH)
 
 
 @query(f"{PAIRS} SELECT a, b, round(distance, 3) AS distance FROM pairs")
@@ -271,11 +271,6 @@ def street_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = f"""{PAIRS}, walls AS (SELECT id, x AS ax, y AS ay, x + 60 AS bx, y + 80 AS "by" FROM points WHERE id % 5 = 0), k AS (SELECT pairs.a, pairs.b, distance, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS "by" FROM pairs JOIN points p ON p.id = pairs.a JOIN points q ON q.id = pairs.b)"""
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = lambda n: D.points(spark, sf_dir).select(F.col("id").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
-    return _pairs(spark, sf_dir).join(side("a"), "a").join(side("b"), "b")
-
-
 TURN = "CASE WHEN abs(({2} - {0}) * ({5} - {1}) - ({3} - {1}) * ({4} - {0})) <= 1e-9 THEN 0 ELSE sign(({2} - {0}) * ({5} - {1}) - ({3} - {1}) * ({4} - {0})) END"
 ON = "(abs(({2} - {0}) * ({5} - {1}) - ({3} - {1}) * ({4} - {0})) <= 1e-9 AND {4} BETWEEN least({0}, {2}) - 1e-9 AND greatest({0}, {2}) + 1e-9 AND {5} BETWEEN least({1}, {3}) - 1e-9 AND greatest({1}, {3}) + 1e-9)"
 _S, _O = ("k.ax", "k.ay", "k.bx", 'k."by"'), ("w.ax", "w.ay", "w.bx", 'w."by"')
@@ -284,9 +279,9 @@ CROSS = f"(({TURN.format(*_S, *_O[:2])}) <> ({TURN.format(*_S, *_O[2:])}) AND ({
 
 @query(f"{EDGES} SELECT DISTINCT a, b FROM k JOIN walls w ON {CROSS}")
 def barrier_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir).withColumn("edge", F.struct("a", "b"))
+    edges = spatial.met(D.points(spark, sf_dir), REACH)
     walls = D.points(spark, sf_dir).where("id % 5 = 0").select(F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 60).alias("bx"), (F.col("y") + 80).alias("by"))
-    return spatial.crossing(edges.select("edge", "ax", "ay", "bx", "by"), walls).select("edge.*")
+    return spatial.meeting(edges.select("a", "b", "ax", "ay", "bx", "by"), walls, REACH).select("a", "b")
 
 
 MEASURED = "border AS (SELECT a, b, distance / 10 AS border, (a + b) % 4 AS shared, distance AS centres, (a + b) % 7 = 0 AS barrier, a % 10 <> b % 10 AND (a + b) % 3 = 0 AS other FROM pairs)"
