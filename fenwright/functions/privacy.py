@@ -10,6 +10,9 @@ from fenwright.operators.clean import strip
 # Marks, patterns, surnames, words that are no names, the category in which arrows join names.
 PHONE_MARK, NAME_MARK, EMAIL_MARK, ID_MARK, ADDRESS_MARK = "<전화번호>", "<성명>", "<이메일>", "<식별번호>", "***"
 EMAIL = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}(?![a-z0-9._%+-])"
+# What is counted as an address, whatever stands behind it: `mask` leaves one that a point or a digit follows. Case as RE2 folds it, by which the long s and the Kelvin sign are letters.
+_LETTER = r"a-zA-Z\u017F\u212A"
+ANY_EMAIL = rf"(?<![{_LETTER}0-9._%+-])[{_LETTER}0-9._%+-]+@[{_LETTER}0-9.-]+\.[{_LETTER}]{{2,}}"
 RESIDENT_ID = r"(?<!\d)\d{6}[-.\s]?[1-8]\d{6}(?!\d)"
 PHONE = r"(?<!\d)(?:\+?82[-.\s]?)?(?:01[016789]|02|0[3-6]\d)[-.\s]?\d{3,4}[-.\s]?\d{4}(?!\d)"
 LABELLED = r"(?i)((?:고객명|성명|명의자|이름)(?:\s*(?:변경|수정|오등록))?\s*(?::|=|은|는)?\s+)(?:[가-힣]{2,5}|[A-Za-z][A-Za-z .'’-]{1,60})"

@@ -6,9 +6,28 @@ import random
 
 import numpy as np
 
+from fenwright import catalog
 from fenwright.operators import spatial
 
 
+def told(name, tables):
+    """Rows that DuckDB gives for a query's SQL over these tables (name to folder), sorted."""
+    import duckdb
+
+    con = duckdb.connect()
+    for table, path in tables.items():
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    return sorted(map(tuple, con.execute(catalog.oracle_sql()[name]).fetchall()))
+
+
+def held(spark, folder, **tables):
+    """Tables as Parquet in a folder, as queries read them."""
+    paths = {name: f"{folder}/{name}.parquet" for name in tables}
+    for name, df in tables.items():
+        df.write.parquet(paths[name])
+    return paths
+
+
 def test_barriers_are_met_where_edges_are(spark, monkeypatch):
     """Edges against walls in several passes, as all pairs say; no edge becomes a row for each wall."""
     rng = random.Random(3)
@@ -27,3 +46,11 @@ def test_barriers_are_met_where_edges_are(spark, monkeypatch):
         assert sorted(r.edge for r in found.collect()) == expected
         assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert spatial.crossing(table, barriers.limit(0)).count() == 0
+
+
+def test_addresses_with_marks_behind_them(spark, tmp_path):
+    """An address at the end of a sentence, or with a digit behind it, counts as the SQL counts it."""
+    texts = ["Write to a@b.com. Then c@d.org", "x@y.co1 and z@w.net_", "a@b@c.com", "A@B.COM,b@c.de;c@d.e", "\u212Aa@b.com \u017F@s.com \u0131@b.com", "p.q@r.s-t.uk-", "no@one", "", None, "a@b.co\nc@d.co%", "..@..aa"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    paths = held(spark, tmp_path, documents=docs)
+    assert sorted(map(tuple, catalog.queries()["mask_email"](spark, str(tmp_path)).collect())) == told("mask_email", paths)
