@@ -54,3 +54,9 @@ def test_addresses_with_marks_behind_them(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     paths = held(spark, tmp_path, documents=docs)
     assert sorted(map(tuple, catalog.queries()["mask_email"](spark, str(tmp_path)).collect())) == told("mask_email", paths)
+
+
+def test_snapshots_of_late_years(spark, tmp_path):
+    """Years of five digits are written as the SQL writes them."""
+    paths = held(spark, tmp_path, part=spark.range(1, 1_200_000, 1000).withColumnRenamed("id", "p_partkey").unionByName(spark.createDataFrame([(20,), (21,), (40,)], "p_partkey long")))
+    assert sorted(map(tuple, catalog.queries()["snapshots_kept"](spark, str(tmp_path)).collect())) == told("snapshots_kept", paths)
