@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 from fenwright import catalog
-from fenwright.operators import spatial
+from fenwright.operators import learn, spatial
 
 
 def told(name, tables):
@@ -60,3 +60,28 @@ def test_snapshots_of_late_years(spark, tmp_path):
     """Years of five digits are written as the SQL writes them."""
     paths = held(spark, tmp_path, part=spark.range(1, 1_200_000, 1000).withColumnRenamed("id", "p_partkey").unionByName(spark.createDataFrame([(20,), (21,), (40,)], "p_partkey long")))
     assert sorted(map(tuple, catalog.queries()["snapshots_kept"](spark, str(tmp_path)).collect())) == told("snapshots_kept", paths)
+
+
+def said(rng, many, words=9):
+    """Texts of few words, some of them the same, some empty."""
+    return ["", "a", *(" ".join(rng.choice(["aa", "bb", "c", "dd", "ee", "fff", "요금", "고객"]) for _ in range(rng.randrange(1, words))) for _ in range(many))]
+
+
+def test_evidence_is_counted_by_digest(spark):
+    """Texts of several owners, days and people; no sequence goes over the wire before it is known to count."""
+    rng = random.Random(8)
+    rows = [(n, rng.choice(["x", "y", None]), t, rng.randrange(3), rng.choice([1, 2, None]), rng.random() < 0.3) for n, t in enumerate(said(rng, 150))]
+    seen = {}
+    for _, owner, text, day, person, candidate in rows:
+        w = text.split()
+        for size in (2, 3, 4):
+            for g in {" ".join(w[i : i + size]) for i in range(len(w) - size + 1)}:
+                seen.setdefault((owner, g, size), []).append((day, person, candidate))
+    total = {}
+    for (_, g, _), found in seen.items():
+        total[g] = total.get(g, 0) + len(found)
+    expected = {(*k, len(v), len({d for d, _, _ in v}), len({p for _, p, _ in v if p is not None}), sum(c for *_, c in v), total[k[1]] - len(v)) for k, v in seen.items() if len(v) >= 2}
+    found = learn.evidence(spark.createDataFrame(rows, "id long, owner string, normal string, date long, person long, candidate boolean"))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert "LeftSemi" not in found._jdf.queryExecution().executedPlan().toString()
