@@ -69,12 +69,12 @@ def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{PAIRS}, l AS (SELECT least(p.label, q.label) AS a, greatest(p.label, q.label) AS b, distance FROM pairs JOIN points p ON p.id = pairs.a JOIN points q ON q.id = pairs.b WHERE p.label <> q.label) SELECT a, b, round(min(distance), 3) AS distance FROM l GROUP BY a, b")
 def contract_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = D.points(spark, sf_dir).select(F.col("id").alias("node"), F.col("label").alias("block"))
-    return spatial.contract(_pairs(spark, sf_dir), labels).withColumn("distance", F.round("distance", 3))
+    return spatial.between_blocks(D.points(spark, sf_dir), labels, REACH).withColumn("distance", F.round("distance", 3))
 
 
 @query(f"{PAIRS}, e AS (SELECT a AS node, b AS neighbour, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs) SELECT node, neighbour, row_number() OVER (PARTITION BY node ORDER BY distance, neighbour) AS nth FROM e QUALIFY nth <= 3")
 def top_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.top_neighbours(_pairs(spark, sf_dir), 3).select("node", "neighbour", "nth")
+    return spatial.nearest(D.points(spark, sf_dir), REACH, 3).select("node", "neighbour", "nth")
 
 
 @query(f"{POINTS} SELECT label AS block, count(*) AS members, sum(orders)::BIGINT AS orders, round(sum(x * orders) / sum(orders), 4) AS cx, round(sum(y * orders) / sum(orders), 4) AS cy, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM points GROUP BY label")

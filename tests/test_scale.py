@@ -85,3 +85,36 @@ def test_evidence_is_counted_by_digest(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(expected) and set(got) == expected
     assert "LeftSemi" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frequent_patterns_are_counted_by_digest(spark):
+    rng = random.Random(5)
+    rows = [(n, rng.choice(["x", "y"]), t) for n, t in enumerate(said(rng, 200))]
+    seen = {}
+    for _, owner, text in rows:
+        w = text.split()
+        for k in {(owner, " ".join(w[i : i + size]), size) for size in (2, 3, 4) for i in range(len(w) - size + 1)}:
+            seen[k] = seen.get(k, 0) + 1
+    found = learn.frequent(spark.createDataFrame(rows, "id long, owner string, normal string"), 4)
+    assert sorted(map(tuple, found.collect())) == sorted((*k, n) for k, n in seen.items() if n >= 4)
+
+
+def test_nearest_by_growing_reach(spark):
+    """The nearest points and the best distance between blocks, crowded and lonely ones, as all pairs say."""
+    rng = random.Random(6)
+    spots = [(rng.gauss(0, 20), rng.gauss(0, 20)) for _ in range(120)] + [(rng.uniform(-600, 600), rng.uniform(-600, 600)) for _ in range(60)] + [(5.0, 5.0)] * 5 + [(2000.0, 2000.0)]
+    label = [9 if n == 185 else 8 if n >= 150 else n % 3 for n in range(len(spots))]
+    points = spark.createDataFrame([(n, x, y) for n, (x, y) in enumerate(spots)], "id long, x double, y double")
+    far = lambda a, b: float(np.hypot(spots[a][0] - spots[b][0], spots[a][1] - spots[b][1]))
+    near = {a: sorted((far(a, b), b) for b in range(len(spots)) if b != a and far(a, b) <= 250)[:3] for a in range(len(spots))}
+    got = spatial.nearest(points, 250.0, 3).select("node", "neighbour", "nth").collect()
+    assert sorted(map(tuple, got)) == sorted((a, b, n + 1) for a, found in near.items() for n, (_, b) in enumerate(found))
+    best = {}
+    for a in range(len(spots)):
+        for b in range(a):
+            if label[a] != label[b] and far(a, b) <= 250:
+                k = tuple(sorted((label[a], label[b])))
+                best[k] = min(best.get(k, 1e9), far(a, b))
+    blocks = spark.createDataFrame(list(enumerate(label)), "node long, block long")
+    found = {(r.a, r.b): r.distance for r in spatial.between_blocks(points, blocks, 250.0).collect()}
+    assert {k: round(v, 9) for k, v in found.items()} == {k: round(v, 9) for k, v in best.items()}
