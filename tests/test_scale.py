@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 from fenwright import catalog
-from fenwright.operators import learn, spatial
+from fenwright.operators import learn, rules, spatial
 
 
 def told(name, tables):
@@ -118,3 +118,14 @@ def test_nearest_by_growing_reach(spark):
     blocks = spark.createDataFrame(list(enumerate(label)), "node long, block long")
     found = {(r.a, r.b): r.distance for r in spatial.between_blocks(points, blocks, 250.0).collect()}
     assert {k: round(v, 9) for k, v in found.items()} == {k: round(v, 9) for k, v in best.items()}
+
+
+def test_contexts_are_looked_for_in_the_text(spark, monkeypatch):
+    """Few keys or many, the same rows; few make no row of every sequence of words."""
+    texts = spark.createDataFrame([(1, "a", "b c d e f"), (2, "x", "b c d e f"), (3, "a", "b c"), (4, "a", ""), (5, None, "e f d"), (6, "a", "b b c d")], "id int, own string, normal string")
+    contexts = spark.createDataFrame([("x", "b c"), ("x", "e f"), ("x", "b"), ("y", "c d"), ("y", "d"), ("z", "b c d e f"), ("z", None), ("x", "d")], "owner string, key string")
+    few = rules.context_conflict(texts, contexts)
+    got = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(rules, "FEW_KEYS", 1)
+    assert got == sorted(map(tuple, rules.context_conflict(texts, contexts).collect())) == [(1, "x"), (6, "x")]
+    assert "array_intersect" in few._jdf.queryExecution().executedPlan().toString()
