@@ -478,3 +478,30 @@ def test_parcel_neighbours_are_of_all_parcels(spark, monkeypatch):
     expected = {(*sorted((number(i, j), number(i + di, j + dj))), "touches") for i, j in held for di in (-1, 0, 1) for dj in (-1, 0, 1) if (di or dj) and (i + di, j + dj) in held}
     got = [tuple(r) for r in spatial_queries.parcel_neighbours(spark, "no folder").select("a", "b", "relation").collect()]
     assert len(held) == 54 and len(got) == len(expected) and set(got) == expected
+
+
+def test_matching_blocks_of_long_texts_and_given_up():
+    from difflib import SequenceMatcher
+
+    r = random.Random(11)
+    for letters, n in (("ab", 300), ("abcdefghijklmnopqrstuvwxyz", 2000), ("가나다라abc" * 9, 900)):
+        for m in (1, 40, 300):
+            a, b = ("".join(r.choice(letters) for _ in range(k)) for k in (n, m))
+            b += a[n // 2 : n // 2 + 40]
+            for x, y in ((a, b), (b, a)):
+                expected = sum(k.size for k in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+                assert X.in_blocks(x, y) == expected and X.in_blocks(x, y, expected - 1) == expected
+                assert X.in_blocks(x, y, expected) <= expected and X.in_blocks(x, y, len(y)) <= expected
+    assert X.in_blocks("", "a") == X.in_blocks("a", "") == 0
+
+
+def test_nearest_shuffles_no_pairs(spark):
+    cands = spark.createDataFrame([("o", "계량기교체요청오류"), ("o", "a"), ("o", ""), ("p", "a")], "owner string, sig string")
+    refs = spark.createDataFrame([("o", s) for s in ("계량기교체", "ab", "a", "")], "owner string, sig string")
+    found = rules.nearest(cands, refs, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1  # once had a window over each text, repeated for every reference
+    alike = rules.nearest(cands.withColumn("owner", F.lit("o")), refs, 3)
+    assert alike._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [(n.sig, n.ref, n.nth) for n in found.where("sig in ('a', '')").orderBy("sig", "nth").collect()] == [("", "계량기교체", 1), ("", "ab", 2), ("", "a", 3), ("a", "a", 1), ("a", "계량기교체", 2), ("a", "ab", 3)]
+    assert found.where("owner = 'p'").count() == 0
