@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fenwright.functions import privacy
 from fenwright.functions import text as X
 from fenwright.operators import clean
+from fenwright.operators.cut import cut
 from fenwright.operators.rules import few
 
 # Columns of names, titles, words beside which a name stands, words that look like names and are none.
@@ -60,5 +61,6 @@ def normal_templates(counts: DataFrame, truth: DataFrame) -> DataFrame:
     """(owner, template): the different templates of texts that an owner has had as normal work: counts (owner, signature, total) of which
     truth (owner, signature), a row for each confirmed error, leaves some."""
     errors = truth.groupBy("owner", "signature").agg(F.count("*").alias("errors"))
-    left = counts.join(errors, ["owner", "signature"], "left").where(F.col("total") - F.coalesce("errors", F.lit(0)) > 0)
+    # A table, as Spark would carry what is asked of templates down to the rows that were counted, and make a template of each.
+    left = cut(counts.join(errors, ["owner", "signature"], "left").where(F.col("total") - F.coalesce("errors", F.lit(0)) > 0), "normal")
     return left.select("owner", X.template(F.col("signature"), privacy.SURNAMES, privacy.NOT_NAMES).alias("template")).where("template <> ''").distinct()

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fenwright import catalog
-from fenwright.operators import learn, rules, spatial
+from fenwright.operators import learn, names, rules, spatial
 
 
 def told(name, tables):
@@ -129,3 +130,11 @@ def test_contexts_are_looked_for_in_the_text(spark, monkeypatch):
     monkeypatch.setattr(rules, "FEW_KEYS", 1)
     assert got == sorted(map(tuple, rules.context_conflict(texts, contexts).collect())) == [(1, "x"), (6, "x")]
     assert "array_intersect" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_templates_are_made_of_what_was_counted(spark):
+    """What is asked of a template is not asked of each row that was counted."""
+    rows = spark.createDataFrame([("o", "체납 금액 안내")] * 3 + [("o", "두달 체납"), ("o", "12"), ("p", "두달 체납")], "owner string, signature string")
+    found = names.normal_templates(rows.groupBy("owner", "signature").agg(F.count("*").alias("total")), rows.where("owner = 'p'"))
+    assert "count(" not in found._jdf.queryExecution().optimizedPlan().toString()  # once the template's condition stood below the counting
+    assert sorted(map(tuple, found.collect())) == [("o", "기간값 체납"), ("o", "체납 금액값 안내")]
