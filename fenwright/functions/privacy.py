@@ -47,9 +47,10 @@ def mask_frame(df: DataFrame, detail: str, subcategory: str | None = None) -> tu
     """df masked, and one row of counters: changed rows, marks of each kind that masking added, addresses masked."""
     addresses = [c for c in df.columns if c.replace(" ", "") in ADDRESS_COLUMNS]
     masked = mask(F.col(detail), F.col(subcategory) if subcategory else None)
-    added = lambda m: F.coalesce(F.sum(F.regexp_count(masked, F.lit(m)) - F.regexp_count(F.col(detail), F.lit(m))), F.lit(0))
+    added = lambda m: F.coalesce(F.sum(F.regexp_count("_masked", F.lit(m)) - F.regexp_count("_detail", F.lit(m))), F.lit(0))
     hidden = sum((F.when(~F.col(f"`{c}`").eqNullSafe(mask_address(F.col(f"`{c}`"))), 1).otherwise(0) for c in addresses), F.lit(0))
-    counters = df.agg(F.count_if(~masked.eqNullSafe(F.col(detail))).alias("changed"), *(added(m).alias(n) for n, m in (("phones", PHONE_MARK), ("names", NAME_MARK), ("emails", EMAIL_MARK), ("ids", ID_MARK))), F.coalesce(F.sum(hidden), F.lit(0)).alias("addresses"))
+    told = df.select(F.col(detail).alias("_detail"), masked.alias("_masked"), hidden.alias("_hidden"))  # a column, so that each text is masked once
+    counters = told.agg(F.count_if(~F.col("_masked").eqNullSafe(F.col("_detail"))).alias("changed"), *(added(m).alias(n) for n, m in (("phones", PHONE_MARK), ("names", NAME_MARK), ("emails", EMAIL_MARK), ("ids", ID_MARK))), F.coalesce(F.sum("_hidden"), F.lit(0)).alias("addresses"))
     return df.withColumns({detail: masked, **{c: mask_address(F.col(f"`{c}`")) for c in addresses}}), counters
 
 

@@ -164,7 +164,7 @@ def rule_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     text = F.concat(F.lit("전화 0"), (10 + k % 2).cast("string"), F.lit("-"), (1000 + k % 9000).cast("string"), F.lit("-"), (1000 + k * 7 % 9000).cast("string"), F.lit(" "), _pick(("김철수", "박스", "홍길동님", "고객"), k), F.lit(", 성명: "), _pick(("이영희", "Ann Lee"), k), F.lit(" 메일 a"), k.cast("string"), F.lit("@mail.example.com, "), F.lpad((k % 999999).cast("string"), 6, "0"), F.lit("-1"), F.lpad((k * 3 % 999999).cast("string"), 6, "0"))
-    return D.table(spark, sf_dir, "customer").select(k.alias("id"), text.alias("detail"), F.when(k % 3 > 0, F.col("c_name")).alias("주소"), F.when(k % 4 == 0, " ").otherwise("x").alias("구 주소"))
+    return D.spread(D.table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(k.alias("id"), text.alias("detail"), F.when(k % 3 > 0, F.col("c_name")).alias("주소"), F.when(k % 4 == 0, " ").otherwise("x").alias("구 주소"))
 
 
 @query("""WITH made AS (SELECT c_custkey AS id, c_custkey AS k FROM customer)
@@ -184,7 +184,7 @@ def mask_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps of texts: addresses whole, names beside arrows in one category only."""
     k = F.col("c_custkey")
     category = F.when(k % 2 == 0, privacy.CUSTOMER_INFO).otherwise("그 밖")
-    rows = D.table(spark, sf_dir, "customer").select(k.alias("id"), F.create_map(F.lit("주소"), F.col("c_name"), F.lit("메모"), F.lit("김철수 -> 이영희")).alias("payload"), category.alias("category"))
+    rows = D.spread(D.table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(k.alias("id"), F.create_map(F.lit("주소"), F.col("c_name"), F.lit("메모"), F.lit("김철수 -> 이영희")).alias("payload"), category.alias("category"))
     masked = rows.select("id", privacy.mask_payload(F.col("payload"), F.col("category")).alias("p"))
     return masked.select("id", F.col("p")["주소"].alias("address"), F.col("p")["메모"].alias("memo"))
 

@@ -138,3 +138,13 @@ def test_templates_are_made_of_what_was_counted(spark):
     found = names.normal_templates(rows.groupBy("owner", "signature").agg(F.count("*").alias("total")), rows.where("owner = 'p'"))
     assert "count(" not in found._jdf.queryExecution().optimizedPlan().toString()  # once the template's condition stood below the counting
     assert sorted(map(tuple, found.collect())) == [("o", "기간값 체납"), ("o", "체납 금액값 안내")]
+
+
+def test_masking_is_spread_over_the_cores(spark, tmp_path):
+    """A table of one row group is not one task's masking; and counters say what the SQL says."""
+    paths = held(spark, tmp_path, customer=spark.range(200).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name").coalesce(1))
+    for name in ("mask_personal", "mask_payloads"):
+        found = catalog.queries()[name](spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 200
+    for name in ("mask_personal", "mask_payloads", "mask_personal_counters"):
+        assert sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).collect()), key=str) == sorted(told(name, paths), key=str)
