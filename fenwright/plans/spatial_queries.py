@@ -55,7 +55,7 @@ def edge_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT a AS node, a AS reached FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a) SELECT node, min(reached) AS component FROM r GROUP BY node")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.connected_components(_pairs(spark, sf_dir), "a", "b")
+    return spatial.components(D.points(spark, sf_dir), REACH)
 
 
 @query(f"{PAIRS} SELECT pairs.a, pairs.b, round(2 * 6371000.0 * asin(least(1.0, sqrt(sin(radians((b.y - a.y) / 100000) / 2) ** 2 + cos(radians(a.y / 100000)) * cos(radians(b.y / 100000)) * sin(radians((b.x - a.x) / 100000) / 2) ** 2))), 2) AS metres FROM pairs JOIN points a ON a.id = pairs.a JOIN points b ON b.id = pairs.b")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fenwright import catalog
-from fenwright.operators import learn, names, rules, spatial
+from fenwright.operators import graph, learn, names, rules, spatial
 
 
 def told(name, tables):
@@ -148,3 +148,18 @@ def test_masking_is_spread_over_the_cores(spark, tmp_path):
         assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.count() == 200
     for name in ("mask_personal", "mask_payloads", "mask_personal_counters"):
         assert sorted(map(tuple, catalog.queries()[name](spark, str(tmp_path)).collect()), key=str) == sorted(told(name, paths), key=str)
+
+
+def test_components_without_all_pairs(spark):
+    """As the pairs within reach say, for crowds, lone points, chains just within and just beyond reach; a crowd makes no pairs of its points."""
+    rng = random.Random(5)
+    for spread, n in ((400, 250), (4000, 250), (12000, 300)):
+        rows = [(i, round(rng.uniform(-spread, spread), 2), round(rng.uniform(-spread, spread), 2)) for i in range(n)]
+        rows += [(1000 + i, 20000.0 + 250.0 * i, 0.0) for i in range(4)] + [(2000 + i, 30000.0 + 250.01 * i, 7.0) for i in range(4)]
+        rows += [(3000, 50000.0, 1.0), (3001, 50000.0, 1.0), (3002, None, 1.0), (3003, float("nan"), 1.0), (3004, float("inf"), 1.0), (3005, float("inf"), 1.0)]
+        points = spark.createDataFrame(rows, "id long, x double, y double")
+        expected = sorted(map(tuple, graph.connected_components(spatial.within(points.where("abs(x) < 1e9"), 250.0), "a", "b").collect()))
+        assert sorted(map(tuple, spatial.components(points, 250.0).collect())) == expected
+    # 40,000 points of one place have 800 million pairs.
+    crowd = spark.range(40000).selectExpr("id", "id % 200 / 2 AS x", "floor(id / 200) / 2 AS y")
+    assert [tuple(r) for r in spatial.components(crowd, 250.0).groupBy("component").count().collect()] == [(0, 40000)]
