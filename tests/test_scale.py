@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fenwright import catalog
-from fenwright.operators import graph, learn, names, rules, spatial
+from fenwright.operators import grams, graph, learn, names, rules, spatial
 
 
 def told(name, tables):
@@ -163,3 +163,12 @@ def test_components_without_all_pairs(spark):
     # 40,000 points of one place have 800 million pairs.
     crowd = spark.range(40000).selectExpr("id", "id % 200 / 2 AS x", "floor(id / 200) / 2 AS y")
     assert [tuple(r) for r in spatial.components(crowd, 250.0).groupBy("component").count().collect()] == [(0, 40000)]
+
+
+def test_all_sequences_are_counted_by_tasks_that_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(grams, "LETTERS_A_TASK", 10)
+    rows = [(1, "a b c d a b c", "en", "s", 13), (2, "A, b c!", "en", "s", 7), (3, None, None, "s", 0), (4, "x y", "de", "s", 3), (5, "", "de", "s", 0), (6, "가 나 다 " * 40, "ko", "s", 240)]
+    paths = held(spark, tmp_path, documents=spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    found = catalog.queries()["token_ngrams"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 27  # 263 letters
+    assert sorted(map(tuple, found.collect())) == told("token_ngrams", paths)
