@@ -15,8 +15,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost nothing before it."""
+    return written_at(df, new_path(df.sparkSession, name), *partition_by)
+
+
+def written_at(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
-    path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

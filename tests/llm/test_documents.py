@@ -374,6 +374,34 @@ def test_repeated_substrings_over_several_shards(spark, monkeypatch):
     assert Counter(tuple(r) for r in got.collect()) == Counter((d, *e) for (d, _), e in zip(rows, expected))
 
 
+def passage_words(texts: list[str | None], size: int) -> list[int]:
+    """Words of each text inside `size` consecutive ones that another text of the list has."""
+    words = [split(t) for t in texts]
+    where = {}
+    for d, w in enumerate(words):
+        for i in range(len(w) - size + 1):
+            where.setdefault(tuple(w[i : i + size]), set()).add(d)
+    return [len({j for i in range(len(w) - size + 1) if len(where[tuple(w[i : i + size])]) > 1 for j in range(i, i + size)}) for w in words]
+
+
+@pytest.mark.parametrize("pieces", [1500, 4])
+def test_passages_shorter_than_removed_strings(spark, empty, monkeypatch, pieces):
+    monkeypatch.setattr(suffix_dedup, "SHARD_PIECES", pieces)
+    short = " ".join(prose(200, 43).replace("\n", " ").split()[:60])
+    word = [w[:4] for w in short.split()]
+    passage = " ".join(word)
+    assert len(passage) < 400
+    texts = [None, "", "w " * 50, " ".join(word[:50]), passage, passage]
+    texts += [prose(20 + i, 820 + i) + " " + " ".join(word[i % 5 : 51 + i % 9]) + " " + prose(15, 920 + i) for i in range(24)]
+    texts += [prose(9, 5) + " " + " \n".join(word) + "\t", (" ".join(f"n{i}" for i in range(70)) + " ") * 2, "a b " * 60, "b a " * 60, "only " * 80]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.judge(df, words=suffix_dedup.WORDS).collect()}
+    expected = suffix_dedup.brute_force([(t or "").encode() for t in texts])
+    assert [tuple(got[i])[1:] for i in range(len(texts))] == [(*e, n) for e, n in zip(expected, passage_words(texts, 51))]
+    assert got[4].n_removed == 0 and got[4].n_passage_words == 60 and got[3].n_passage_words == 0
+    assert suffix_dedup.judge(empty, words=51).count() == 0
+
+
 def test_suffix_order_and_prefixes():
     rng = np.random.default_rng(3)
     data = np.frombuffer(b"".join(bytes(rng.integers(97, 99, 30, dtype=np.uint8)) * 4 for _ in range(8)), np.uint8)
