@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from fenwright import catalog
 from fenwright.operators import grams, graph, learn, names, rules, spatial
+from fenwright.operators.cut import cut
 
 
 def told(name, tables):
@@ -172,3 +174,68 @@ def test_all_sequences_are_counted_by_tasks_that_grow_in_number(spark, tmp_path,
     found = catalog.queries()["token_ngrams"](spark, str(tmp_path))
     assert found.rdd.getNumPartitions() == 27  # 263 letters
     assert sorted(map(tuple, found.collect())) == told("token_ngrams", paths)
+
+
+def sequences(rows, shapes):
+    """How many rows (owner, text) of an owner hold each sequence, and their weight."""
+    seen = {}
+    for owner, text, weight in rows:
+        w = [t for t in text.split(" ")]
+        for k in {(owner, " ".join(w[i + p] for p in s), len(s)) for s in shapes for i in range(len(w) - s[-1]) if all(w[i + p] for p in s)}:
+            n, total = seen.get(k, (0, 0))
+            seen[k] = n + 1, total + weight
+    return seen
+
+
+def test_sequences_are_counted_in_passes(spark, monkeypatch):
+    """Many chunks, buckets and passes, several owners, none of them or of days: the rows of brute force; and no row of a shuffle is a sequence."""
+    for k, v in (("CHUNK", 300), ("A_PASS", 200), ("A_BUCKET", 60), ("CHUNKS_A_TASK", 2)):
+        monkeypatch.setattr(grams, k, v)
+    rng = random.Random(12)
+    rows = [(rng.choice(["x", "y", None]), t, rng.randrange(1, 4), rng.choice([None, 1, 2]), rng.choice([None, 1, 2]), rng.random() < 0.5) for t in [*said(rng, 250), "", " ".join(f"w{n}" for n in range(400))]]
+    table = spark.createDataFrame(rows, "owner string, normal string, weight int, day int, person int, good boolean")
+    shapes = [(0, 1), (0, 2), (0, 1, 3)]
+    expected = {(*k, *v) for k, v in sequences([r[:3] for r in rows], shapes).items() if v[0] >= 2 and v[1] >= 5}
+    found = grams.grouped(table, ["owner"], F.split("normal", " "), shapes, "g", {"n": ("n", None), "weight": ("weight", None)}, 2, 5)
+    assert {tuple(r) for r in found.collect()} == expected and found.count() == len(expected) > 50
+    days, people, good, every = {}, {}, {}, {}
+    for owner, text, _, day, person, flag in rows:
+        for k in sequences([(owner, text, 1)], [(0, 1)]):
+            days.setdefault(k, set()).add(day), people.setdefault(k, set()).add(person)
+            good[k], every[k[1]] = good.get(k, 0) + flag, every.get(k[1], 0) + 1
+    measures = {"n": ("n", None), "days": ("different", "day"), "people": ("different", "person"), "good": ("where", "good"), "others": ("other", None)}
+    got = grams.grouped(table, ["owner", "day", "person", "good"], F.split("normal", " "), [(0, 1)], "g", measures, 3)
+    assert {tuple(r) for r in got.collect()} == {(*k, n, len(days[k] - {None}), len(people[k] - {None}), good[k], every[k[1]] - n) for k, (n, _) in sequences([(o, t, 1) for o, t, *_ in rows], [(0, 1)]).items() if n >= 3}
+
+
+def test_what_was_shuffled_for_a_table_goes(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().endswith(".data")}
+    before = files()
+    table = cut(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert table.count() == 1000
+
+
+def test_frequent_patterns_send_no_sequence(spark):
+    """What a chunk tells a bucket of its sequences is one row."""
+    rows = spark.createDataFrame([(n, "x", " ".join(f"w{(n * 7 + i) % 90}" for i in range(60))) for n in range(40)], "id long, owner string, normal string")
+    status = lambda: sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before = status()
+    assert learn.frequent(rows, 4).count() > 100
+    assert status() - before < 500  # once one for each of thousands of sequences
+
+
+def test_error_hits_are_looked_for_by_digest(spark, monkeypatch):
+    """Patterns in several passes; sequences of error texts are not shuffled."""
+    monkeypatch.setattr(grams, "PATTERNS", 20, raising=False)
+    rng = random.Random(9)
+    errors = [(rng.choice(["x", "y", None]), t) for t in said(rng, 80)]
+    patterns = [(o, " ".join(w), n) for n, (o, w) in enumerate(dict.fromkeys((rng.choice(["x", "y", "z"]), tuple(rng.choice(["aa", "bb", "c", "dd", "요금"]) for _ in range(rng.randrange(1, 6)))) for _ in range(150)))]
+    inside = lambda p, t: 2 <= len(p.split()) <= 4 and f" {p} " in f" {t} "
+    found = learn.error_hits(spark.createDataFrame(patterns, "owner string, pattern string, n int"), spark.createDataFrame(errors, "owner string, normal string"))
+    assert {tuple(r) for r in found.select("owner", "pattern", "n", "error_hits").collect()} == {(o, p, n, len({t for q, t in errors if q == o and inside(p, t)})) for o, p, n in patterns}
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
