@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fenwright import catalog
+from fenwright.functions import text
 from fenwright.operators import grams, graph, learn, names, rules, spatial
 from fenwright.operators.cut import cut
 
@@ -239,3 +240,20 @@ def test_error_hits_are_looked_for_by_digest(spark, monkeypatch):
     found = learn.error_hits(spark.createDataFrame(patterns, "owner string, pattern string, n int"), spark.createDataFrame(errors, "owner string, normal string"))
     assert {tuple(r) for r in found.select("owner", "pattern", "n", "error_hits").collect()} == {(o, p, n, len({t for q, t in errors if q == o and inside(p, t)})) for o, p, n in patterns}
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_are_matched_as_a_tree(spark, monkeypatch):
+    """All phrases at once, in one pass or several, as each by itself; and no text meets phrases by a join."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
+    texts = [(rng.choice(["x", "y", None]), " ".join(word() for _ in range(rng.randint(0, 30))), rng.randint(0, 2), rng.randint(0, 1)) for _ in range(150)] + [("x", "ab " * 3 + "b" * 60 + " a ba", 1, 0)]
+    phrases = sorted({(rng.choice(["x", "y", "z"]), " ".join(word() for _ in range(rng.randint(1, 4)))) for _ in range(500)})
+    t, p = spark.createDataFrame(texts, "owner string, normal string, confirmed int, normal_count int"), spark.createDataFrame(phrases, "owner string, phrase string")
+    pairs = t.join(p, "owner").select("owner", "phrase", "confirmed", "normal_count", text.words(F.col("normal")).alias("w")).where(text.holds_phrase(F.col("w"), F.col("phrase")))
+    one = {(r.owner, r.phrase): (r.c, r.n) for r in pairs.groupBy("owner", "phrase").agg(F.sum("confirmed").alias("c"), F.sum("normal_count").alias("n")).collect()}
+    assert len(one) > 200
+    for k, most in (("PHRASES", 1 << 18), ("PHRASES", 70)):
+        monkeypatch.setattr(learn, k, most, raising=False)
+        found = learn.confirm(p, t)
+        assert {(r.owner, r.phrase): (r.confirmed, r.normal, r.status) for r in found.collect()} == {k: (*one.get(k, (0, 0)), "audit" if one.get(k, (0, 0))[1] else "active") for k in phrases}
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
