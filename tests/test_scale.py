@@ -257,3 +257,17 @@ def test_phrases_are_matched_as_a_tree(spark, monkeypatch):
         found = learn.confirm(p, t)
         assert {(r.owner, r.phrase): (r.confirmed, r.normal, r.status) for r in found.collect()} == {k: (*one.get(k, (0, 0)), "audit" if one.get(k, (0, 0))[1] else "active") for k in phrases}
         assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_reference_need_not_be_among_the_nearest(spark, monkeypatch):
+    """The best likeness is that of all references, however few are compared first."""
+    rng = random.Random(4)
+    made = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    refs, sigs = [made(rng.randint(1, 40)) for _ in range(60)], [made(rng.randint(0, 60)) for _ in range(80)]
+    expected = {s: max(text._likeness(s, r) for r in refs) for s in sigs}
+    for letters in (rules.REFERENCE_LETTERS, 300):
+        monkeypatch.setattr(rules, "REFERENCE_LETTERS", letters)
+        for first in (1, 5):
+            found = rules.closest(spark.createDataFrame([("o", s) for s in sigs], "owner string, sig string"), spark.createDataFrame([("o", r) for r in refs], "owner string, sig string"), first)
+            got = {r.sig: r.score for r in found.collect()}
+            assert got.keys() == expected.keys() and all(abs(got[s] - v) < 1e-9 for s, v in expected.items())
